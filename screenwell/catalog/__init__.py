@@ -1,5 +1,5 @@
 """All registered queries."""
 import importlib
 
-for _m in ("scans", "columns"):
+for _m in ("scans", "columns", "joins", "summaries", "similar", "flows"):
     importlib.import_module(f"{__name__}.{_m}")

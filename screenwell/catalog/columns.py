@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -193,7 +195,7 @@ def tanimoto_packed(t):
 
 @query("P16", """
 SELECT o_orderkey, """ + ", ".join(
-    f"round((SELECT sum((o_orderkey // CAST(pow({b}, k) AS BIGINT)) % {b} / pow({b}, k + 1)) FROM range(0, 25) r(k)), 9) AS h{b}"
+    f"round((SELECT sum((o_orderkey // CAST(pow({b}, k) AS BIGINT)) % {b} / pow({b}, k + 1)) FROM range(0, {int(40 / math.log2(b))}) r(k)), 9) AS h{b}"
     for b in PRIMES) + " FROM orders")
 def halton(t):
     return t.orders.select("o_orderkey", *[

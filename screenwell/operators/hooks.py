@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..runtime import with_field
 from .selection import pick_candidates, top_n
 
 Strategy = Callable[[DataFrame], DataFrame]
@@ -19,7 +20,7 @@ def pick_with(targets: DataFrame, strategies: dict[str, Strategy], target: str,
 
 def score_with(df: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], out: str = "score") -> DataFrame:
     """Run an external scorer over Arrow batches; it gets a frame of the rows and returns one number each."""
-    schema = df.schema.add(out, "double")
+    schema = with_field(df.schema, out, "double")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..runtime import as_list, attach, groups_fit, largest_group, materialise, sort_cols, sort_names
+from ..runtime import as_list, attach, groups_fit, largest_group, materialise, sort_cols, sort_names, with_field
 from .ordering import Running, last_known, number_rows, running, running_sum
 
 # Spark drops rows beyond the n-th before the shuffle only up to this n.
@@ -102,7 +102,7 @@ def earlier_smaller(values: np.ndarray) -> np.ndarray:
 
 def _count_within(rows: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
     """`out` = earlier rows (by `order`) of the group whose `value` is smaller; groups are bounded."""
-    schema = rows.schema.add(out, "long")
+    schema = with_field(rows.schema, out, "long")
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")

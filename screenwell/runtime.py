@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 # A group at or below this many rows may be handled by one task.
 GROUP_ROWS = 2_000_000
@@ -95,3 +96,8 @@ def sort_names(order) -> list[str]:
 def sort_cols(order) -> list[Column]:
     """Sort columns of an order such as ["score desc", "id"]; nulls come last when descending."""
     return [F.desc(o.split()[0]) if o.lower().endswith(" desc") else F.asc(o.split()[0]) for o in as_list(order)]
+
+
+def with_field(schema: StructType, name: str, kind: str) -> StructType:
+    """A copy of `schema` with one more field."""
+    return StructType(list(schema.fields)).add(name, kind)

@@ -13,7 +13,7 @@ from ..operators.models import refit_due
 from ..operators.selection import top_n
 from ..operators.similarity import filter_novel
 from ..operators.windows import top_per_key
-from ..runtime import fresh_dir
+from ..runtime import fresh_dir, with_field
 from ..sources.files import molecules_of, parse_telemetry
 
 
@@ -31,7 +31,7 @@ def drain(stream: DataFrame, mode: str = "append", keys=(), path: str | None = N
 
     (stream.writeStream.outputMode(mode).foreachBatch(store)
      .option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start().awaitTermination())
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{root}/out")
+    rows = spark.read.schema(with_field(stream.schema, "batch", "long")).parquet(f"{root}/out")
     if mode == "complete":
         return rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
     if mode == "update":
