@@ -20,12 +20,21 @@ from .columns import SIGN_SQL
 
 
 def landed(t, df, parts: int = 4, by: str = "event_id"):
-    """Write a table as `parts` parquet files in order and open them as a stream, a file per batch."""
+    """Write a table as `parts` parquet files and open them as a stream, a file per batch."""
     path = fresh_dir(t.spark, "landed")
     df.repartitionByRange(parts, by).write.parquet(path)
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def landed_weekly(t, df, ts: str = "ts"):
+    """The same with one file per calendar week, landed one after the other."""
+    path = fresh_dir(t.spark, "landed")
+    week = F.floor(F.unix_seconds(ts) / 604_800)
+    for (w,) in sorted(df.select(week).distinct().collect()):
+        df.filter(week == w).coalesce(1).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query("R1", "SELECT event_id, event_type AS target_id, value AS score FROM events WHERE event_type <> 'error'")
 def stream_log(t):
     from ..sources.files import stream_log as tail
@@ -118,7 +127,7 @@ SELECT event_type, event_id, round(value * -30.0, 3) AS affinity, round(coalesce
 FROM (SELECT *, last_value(CASE WHEN value < 5 THEN round(value * -30.0, 3) END IGNORE NULLS)
         OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ref FROM events)""")
 def stream_threshold(t):
-    rows = landed(t, t.events.withColumn("is_ref", F.col("value") < 5))
+    rows = landed_weekly(t, t.events.withColumn("is_ref", F.col("value") < 5))
     out = R.drain(R.stream_threshold(rows, "event_type", "event_id", "value", "is_ref", own=-900.0))
     return out.withColumn("effective_threshold", F.round("effective_threshold", 6))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.fingerprints import qgram_fp, sign_bits, sign_word, tanimoto_word
 from ..operators import aggregates as A
 from ..operators import similarity as X
+from ..runtime import spread
 from .base import query
 from .columns import SIGN_SQL
 
@@ -24,8 +25,8 @@ def sign_sets(t):
 
 def text_sets(t):
     """Documents as sets of hashed eight-character substrings of the whole text."""
-    return (t.documents.select("doc_id", "lang", "n_chars", qgram_fp("text", 8, 2_147_483_647).alias("fp"))
-            .filter(F.size("fp") > 0))
+    rows = spread(t.documents.filter(F.length("text") >= 8).select("doc_id", "lang", "n_chars", "text"))
+    return rows.select("doc_id", "lang", "n_chars", qgram_fp("text", 8, 2_147_483_647).alias("fp"))
 
 
 _ENTROPY = _SETS + """, n AS (SELECT label, count(*) AS n FROM e WHERE len(fp) > 0 GROUP BY 1),

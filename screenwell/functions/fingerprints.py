@@ -22,7 +22,7 @@ def qgram_fp(text, q: int = 4, nbits: int = 2048, hashing: str = "xxhash64") ->
         if hashing == "md5":
             return (F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long") % nbits).cast("int")
         return F.pmod(F.xxhash64(g), F.lit(nbits)).cast("int")
-    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(qgrams(text, q)), bit)))
+    return F.sort_array(F.array_distinct(F.transform(qgrams(text, q), bit)))
 
 
 def sign_bits(vector) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fingerprints import tanimoto
-from ..runtime import as_list, at_most, materialise, sort_cols, sort_names
+from ..runtime import as_list, at_most, largest_group, materialise, sort_cols, sort_names
 from .joins import salted_join
 from .ordering import number_rows
 from .windows import dedup_first, top_per_key
@@ -47,7 +47,7 @@ def _rarity(sides: list[DataFrame], fp: str) -> Column:
 def _prefixes(sets: DataFrame, ident: str, fp: str, rarity: Column, t: float) -> DataFrame:
     """(ident, n, token) for the tokens that any similar set must share one of."""
     n = F.size(fp)
-    ranked = F.array_sort(F.transform(fp, lambda x: F.struct(
+    ranked = F.sort_array(F.transform(fp, lambda x: F.struct(
         F.get(rarity, F.pmod(x, F.lit(_FREQUENCY_SLOTS))).alias("f"), x.alias("token"))))
     keep = (n - F.ceil(n * t - _EPS) + 1).cast("int")
     return (sets.select(ident, n.alias("n"), F.explode(F.slice(ranked, F.lit(1), keep)).alias("p"))
@@ -67,12 +67,16 @@ def _candidates(left: DataFrame, right: DataFrame, a: str, b: str, t: float, ext
     return pairs.select(a, b).distinct()
 
 
+def _alike(a: Column, b: Column, t: float) -> Column:
+    """Tanimoto >= t with the intersection evaluated once."""
+    return F.size(F.array_intersect(a, b)) * (1 + t) >= (F.size(a) + F.size(b)) * t - _EPS
+
+
 def _verified(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, fp: str, t: float) -> DataFrame:
-    sim = tanimoto("__fa", "__fb")
+    x, y = F.col("__fa"), F.col("__fb")
     return (pairs.join(left.select(a, F.col(fp).alias("__fa")), a)
             .join(right.select(b, F.col(fp).alias("__fb")), b)
-            .withColumn("similarity", sim).filter(F.col("similarity") >= t - _EPS)
-            .select(a, b, "similarity"))
+            .filter(_alike(x, y, t)).select(a, b, tanimoto(x, y).alias("similarity")))
 
 
 def similar_pairs(df: DataFrame, ident: str, fp: str, t: float) -> DataFrame:
@@ -81,7 +85,7 @@ def similar_pairs(df: DataFrame, ident: str, fp: str, t: float) -> DataFrame:
     Rows that hold equal sets stay folded: `copies` lists them, one link per row instead of a pair
     for every two copies.
     """
-    sets = distinct_sets(df.select(ident, fp), ident, fp, [ident]).withColumnRenamed(ident, "id_a")
+    sets = materialise(distinct_sets(df.select(ident, fp), ident, fp, [ident]).withColumnRenamed(ident, "id_a"))
     prefixes = _prefixes(sets, "id_a", fp, _rarity([sets], fp), t)
     other = prefixes.withColumnRenamed("id_a", "id_b")
     pairs = _candidates(prefixes, other, "id_a", "id_b", t, F.col("id_a") < F.col("id_b"))
@@ -94,9 +98,10 @@ def similar_ids(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float,
     Existence is enough, so each candidate first meets only a few memory sets per token; whatever is
     settled there, such as a mass of near copies, never meets the rest.
     """
-    cand = distinct_sets(df.select(ident, fp), ident, fp, [ident]).withColumnRenamed(ident, "__c")
-    known = (memory.filter(F.size(fp) > 0).select(fp).distinct()
-             .withColumn("__m", F.md5(F.array_join(F.col(fp).cast("array<string>"), ","))))
+    rows = materialise(df.filter(F.size(fp) > 0).select(ident, fp))
+    cand = materialise(distinct_sets(rows, ident, fp, [ident]).withColumnRenamed(ident, "__c"))
+    known = memory.filter(F.size(fp) > 0).select(fp).distinct()
+    known = materialise(known.withColumn("__m", F.monotonically_increasing_id()))
     rarity = _rarity([cand, known], fp)
     mine, theirs = _prefixes(cand, "__c", fp, rarity, t), _prefixes(known, "__m", fp, rarity, t)
     few = top_per_key(theirs, ["token"], ["n", "__m"], slice_rows)
@@ -105,7 +110,7 @@ def similar_ids(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float,
     rest = mine.join(quick, "__c", "left_anti")
     slow = _verified(_candidates(rest, theirs, "__c", "__m", t), cand, known, "__c", "__m", fp, t).select("__c")
     found = cand.join(quick.unionAll(slow).distinct(), "__c", "left_semi").select(F.col(fp))
-    return df.select(ident, fp).join(found, fp, "left_semi").select(ident)
+    return rows.join(found, fp, "left_semi").select(ident)
 
 
 def novel(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float = 0.65) -> DataFrame:
@@ -150,29 +155,55 @@ def leader_filter(df: DataFrame, ident: str, fp: str, order, t: float = 0.85, *,
     it, it is kept, and everything that resembles a kept row is rejected. The best undecided row is
     always decided, so the rounds end, and a cluster of near copies goes in one round.
     """
-    sets = distinct_sets(df, ident, fp, order).select(ident, fp, *[c for c in sort_names(order) if c != ident])
+    names = list(dict.fromkeys([ident, fp, *sort_names(order)]))
+    sets = distinct_sets(df.select(*names), ident, fp, order)
     sets = materialise(number_rows(sets, order, (), "__a", **how).select(ident, fp, "__a"))
-    twin = sets.select(F.col("__a").alias("__b"), fp)
     live = materialise(_prefixes(sets, "__a", fp, _rarity([sets], fp), t))
+    if largest_group(live, ["token"]) <= visible:
+        lost = _settle(_rivals(live, live, sets, fp, t))
+        kept = sets.join(lost, "__a", "left_anti") if lost is not None else sets
+    else:
+        kept = sets.join(_leaders_by_rounds(live, sets, fp, t, visible), "__a", "left_semi")
+    return df.join(kept.select(ident), ident, "left_semi")
+
+
+def _rivals(better: DataFrame, worse: DataFrame, sets: DataFrame, fp: str, t: float, ranked: bool = True) -> DataFrame:
+    """Similar pairs (a, b) over shared prefix tokens; `ranked` keeps a before b."""
+    other = worse.withColumnRenamed("__a", "__b")
+    pairs = _candidates(better, other, "__a", "__b", t, F.col("__a") < F.col("__b") if ranked else None)
+    return _verified(pairs, sets, sets.withColumnRenamed("__a", "__b"), "__a", "__b", fp, t).select("__a", "__b")
+
+
+def _settle(edges: DataFrame) -> DataFrame | None:
+    """Rows a greedy walk rejects, from all similar pairs (a before b); rounds over the pairs only."""
+    edges, lost = materialise(edges), None
+    while not edges.isEmpty():
+        losing = edges.select(F.col("__b").alias("__a")).distinct()
+        sure = edges.select("__a").distinct().join(losing, "__a", "left_anti")
+        gone = materialise(edges.join(sure, "__a", "left_semi").select(F.col("__b").alias("__a")).distinct())
+        lost = gone if lost is None else lost.unionAll(gone)
+        # A rejected row no longer counts on either side; a sure one has done its work.
+        done = gone.unionAll(sure)
+        edges = materialise(edges.join(done, "__a", "left_anti")
+                            .join(gone.withColumnRenamed("__a", "__b"), "__b", "left_anti").select("__a", "__b"))
+    return lost
+
+
+def _leaders_by_rounds(live: DataFrame, sets: DataFrame, fp: str, t: float, visible: int) -> DataFrame:
+    """Kept rows when some token is shared by more than `visible` rows."""
     kept = None
     while not live.isEmpty():
-        seen = top_per_key(live, ["token"], ["__a"], visible)
+        seen = materialise(top_per_key(live, ["token"], ["__a"], visible))
         whole = (live.groupBy("__a").agg(F.count(F.lit(1)).alias("all"))
                  .join(seen.groupBy("__a").agg(F.count(F.lit(1)).alias("shown")), "__a")
                  .filter("all = shown").select("__a"))
-        rivals = _verified(_candidates(seen, seen.withColumnRenamed("__a", "__b"), "__a", "__b", t,
-                                       F.col("__a") < F.col("__b")), sets, twin, "__a", "__b", fp, t)
-        blocked = rivals.select(F.col("__b").alias("__a")).distinct()
+        blocked = _rivals(seen, seen, sets, fp, t).select(F.col("__b").alias("__a")).distinct()
         accepted = materialise(whole.join(blocked, "__a", "left_anti"))
-        leaders = live.join(accepted, "__a", "left_semi")
-        losers = live.join(accepted, "__a", "left_anti").withColumnRenamed("__a", "__b")
-        rejected = _verified(_candidates(leaders, losers, "__a", "__b", t), sets, twin, "__a", "__b", fp, t)
-        decided = accepted.unionAll(rejected.select("__b")).distinct()
-        live = materialise(live.join(decided, "__a", "left_anti"))
+        leaders, others = live.join(accepted, "__a", "left_semi"), live.join(accepted, "__a", "left_anti")
+        rejected = _rivals(leaders, others, sets, fp, t, ranked=False).select(F.col("__b").alias("__a"))
+        live = materialise(others.join(rejected.distinct(), "__a", "left_anti"))
         kept = accepted if kept is None else kept.unionAll(accepted)
-    if kept is None:
-        return df.limit(0)
-    return df.join(sets.join(kept, "__a", "left_semi").select(ident), ident, "left_semi")
+    return kept
 
 
 def _sim(a: frozenset, b: frozenset) -> float:
@@ -193,7 +224,7 @@ def diverse_top_n(df: DataFrame, ident: str, fp: str, order, t: float, n: int, *
         return leader_filter(df, ident, fp, order, t).orderBy(*sort_cols(order)).limit(n)
     spark = df.sparkSession
     names = list(dict.fromkeys([ident, *sort_names(order)]))
-    sets = distinct_sets(df.select(*names, fp), ident, fp, order)
+    sets = materialise(distinct_sets(df.select(*names, fp), ident, fp, order))
     kept: list[tuple] = []
     fresh: list[tuple] = []
     schema = f"__k {df.schema[ident].dataType.simpleString()}, __f {df.schema[fp].dataType.simpleString()}"
@@ -202,7 +233,7 @@ def diverse_top_n(df: DataFrame, ident: str, fp: str, order, t: float, n: int, *
             known = spark.createDataFrame(fresh, schema)
             ids = known.select(F.col("__k").alias(ident))
             sets = materialise(
-                sets.join(F.broadcast(known), tanimoto(fp, "__f") >= t - _EPS, "left_anti")
+                sets.join(F.broadcast(known), _alike(F.col(fp), F.col("__f"), t), "left_anti")
                 .join(F.broadcast(ids), ident, "left_anti"))
         rows = sets.orderBy(*sort_cols(order)).limit(batch).collect()
         fresh = []

@@ -58,6 +58,16 @@ def groups_fit(df: DataFrame, keys: list[str], rows: int = GROUP_ROWS) -> bool:
     return bool(keys) and largest_group(df, keys) <= rows
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a table that lies in fewer files than there are cores, before costly per-row work.
+
+    A table of many files already fills the cluster and is left alone.
+    """
+    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """True if `df` has no more than `rows` rows; stops counting past the bound."""
     return df.limit(rows + 1).count() <= rows
