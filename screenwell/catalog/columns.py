@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fingerprints as fp
 from ..functions.quasi import PRIMES, radical_inverse
+from ..runtime import spread
 from .base import query
 
 _KIND = {"view": "zinc15", "click": "pulse", "signup": "ref", "purchase": "generate", "error": "manual"}
@@ -163,10 +164,10 @@ FROM (SELECT doc_id, list_sort(list_distinct(list_transform(
         list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))),
         lambda g: CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 2048))) AS bits FROM documents WHERE length(text) >= 4)""")
 def qgram_fp(t):
-    rows = t.documents.select("doc_id", fp.qgram_fp("text", 4, 2048, "md5").alias("fp")).filter(F.size("fp") > 0)
-    return rows.select("doc_id", F.size("fp").alias("n_on"),
-                       F.aggregate("fp", F.lit(0).cast("long"), lambda a, b: a + b).alias("bit_sum"),
-                       F.get("fp", F.lit(0)).alias("first_bit"))
+    rows = spread(t.documents.filter(F.length("text") >= 4).select("doc_id", "text"))
+    sets = rows.select("doc_id", fp.qgram_fp("text", 4, 2048, "md5").alias("fp"))
+    bit = sets.select("doc_id", F.explode_outer("fp").alias("bit"))  # an inner explode computes fp twice
+    return bit.groupBy("doc_id").agg(F.count("*").alias("n_on"), F.sum("bit").alias("bit_sum"), F.min("bit").alias("first_bit"))
 
 
 @query("P15", f"""

@@ -90,7 +90,7 @@ def copies(t):
 @query("J5")
 def novel_documents(t):
     """Documents unlike every benchmark passage and every conversation turn."""
-    memory = t.benchmark.select("text").unionAll(t.conversations.select("text")).select(
+    memory = spread(t.benchmark.select("text").unionAll(t.conversations.select("text"))).select(
         qgram_fp("text", 8, 2_147_483_647).alias("fp"))
     return X.novel(text_sets(t), memory, "doc_id", "fp").select("doc_id")
 

@@ -1,8 +1,8 @@
 """Set-similarity joins and greedy diverse selection, exact and without comparing all pairs.
 
-Two sets with Tanimoto >= t share a token among the first |x| - ceil(t|x|) + 1 tokens of each when
-tokens are ordered rarest first, and their sizes differ by a factor of at most t (Chaudhuri et al.
-2006; Bayardo et al. 2007; Xiao et al. 2008). Equal sets are folded into one before any join, so a
+Two sets with Tanimoto >= t share tokens among the first |x| - ceil(t|x|) + 1 of each when tokens are
+ordered rarest first, and their sizes differ by a factor of at most t (Chaudhuri et al. 2006;
+Bayardo et al. 2007; Xiao et al. 2008). Equal sets are folded into one before any join, so a
 mass of copies costs one row.
 """
 
@@ -18,6 +18,7 @@ from .windows import dedup_first, top_per_key
 
 _FREQUENCY_SLOTS = 1 << 16
 _EPS = 1e-9
+_SHARE = 0.05
 
 
 def distinct_sets(df: DataFrame, ident: str, fp: str, order) -> DataFrame:
@@ -27,8 +28,18 @@ def distinct_sets(df: DataFrame, ident: str, fp: str, order) -> DataFrame:
 
 def copies(df: DataFrame, ident: str, fp: str) -> DataFrame:
     """Every row beside the smallest id that holds the same set."""
-    first = df.filter(F.size(fp) > 0).groupBy(fp).agg(F.min(ident).alias("first_id"))
-    return df.select(ident, fp).join(first, fp).select(ident, "first_id")
+    rows = _held(df, ident, fp)
+    first = rows.groupBy(fp).agg(F.min(ident).alias("first_id"))
+    return rows.join(first, fp).select(ident, "first_id")
+
+
+def _held(df: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, written once, without empty sets (last column).
+
+    The sets are read by several branches below; a filter on an unwritten set would also be pushed
+    down and compute every set a second time.
+    """
+    return materialise(df.select(*columns)).filter(F.size(columns[-1]) > 0)
 
 
 def _rarity(sides: list[DataFrame], fp: str) -> Column:
@@ -45,13 +56,18 @@ def _rarity(sides: list[DataFrame], fp: str) -> Column:
 
 
 def _prefixes(sets: DataFrame, ident: str, fp: str, rarity: Column, t: float) -> DataFrame:
-    """(ident, n, token) for the tokens that any similar set must share one of."""
+    """(ident, n, k, token): the rarest tokens of each set, as many as similarity calls for.
+
+    Sets with Tanimoto >= t share at least k of the first n - ceil(tn) + k tokens of each (Wang, Li
+    and Feng 2012). k grows with the set, so that chance meetings are dropped before any set is read.
+    """
     n = F.size(fp)
-    ranked = F.sort_array(F.transform(fp, lambda x: F.struct(
-        F.get(rarity, F.pmod(x, F.lit(_FREQUENCY_SLOTS))).alias("f"), x.alias("token"))))
-    keep = (n - F.ceil(n * t - _EPS) + 1).cast("int")
-    return (sets.select(ident, n.alias("n"), F.explode(F.slice(ranked, F.lit(1), keep)).alias("p"))
-            .select(ident, "n", F.col("p.token").alias("token")))
+    k = F.floor(n * _SHARE).cast("int") + 1
+    # Rarity in the high half, token in the low half: one sort of plain longs.
+    ranked = F.sort_array(F.transform(fp, lambda x: F.coalesce(
+        F.get(rarity, F.pmod(x, F.lit(_FREQUENCY_SLOTS))) * (1 << 32) + x, F.lit(0).cast("long"))))
+    keep = (n - F.ceil(n * t - _EPS)).cast("int") + k
+    return sets.select(ident, n.alias("n"), k.alias("k"), F.explode(F.slice(ranked, F.lit(1), keep)).alias("token"))
 
 
 def _sizes_allow(n: Column, m: Column, t: float) -> Column:
@@ -59,12 +75,15 @@ def _sizes_allow(n: Column, m: Column, t: float) -> Column:
 
 
 def _candidates(left: DataFrame, right: DataFrame, a: str, b: str, t: float, extra: Column | None = None) -> DataFrame:
-    """Distinct (a, b) that share a prefix token and have compatible sizes."""
-    r = right.select(F.col(b), F.col("n").alias("m"), "token")
+    """(a, b) of compatible sizes that share enough prefix tokens."""
+    r = right.select(F.col(b), F.col("n").alias("m"), F.col("k").alias("l"), "token")
     pairs = left.join(r, "token").filter(_sizes_allow(F.col("n"), F.col("m"), t))
     if extra is not None:
         pairs = pairs.filter(extra)
-    return pairs.select(a, b).distinct()
+    # A similar pair overlaps in at least ceil(t * larger size) tokens, so no more may be asked for.
+    enough = F.least("k", "l", F.ceil(F.greatest("n", "m") * t - _EPS))
+    return pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("shared"), F.first(enough).alias("enough")).filter(
+        "shared >= enough").select(a, b)
 
 
 def _alike(a: Column, b: Column, t: float) -> Column:
@@ -85,38 +104,46 @@ def similar_pairs(df: DataFrame, ident: str, fp: str, t: float) -> DataFrame:
     Rows that hold equal sets stay folded: `copies` lists them, one link per row instead of a pair
     for every two copies.
     """
-    sets = materialise(distinct_sets(df.select(ident, fp), ident, fp, [ident]).withColumnRenamed(ident, "id_a"))
+    sets = materialise(distinct_sets(_held(df, ident, fp), ident, fp, [ident]).withColumnRenamed(ident, "id_a"))
     prefixes = _prefixes(sets, "id_a", fp, _rarity([sets], fp), t)
     other = prefixes.withColumnRenamed("id_a", "id_b")
     pairs = _candidates(prefixes, other, "id_a", "id_b", t, F.col("id_a") < F.col("id_b"))
     return _verified(pairs, sets, sets.withColumnRenamed("id_a", "id_b"), "id_a", "id_b", fp, t)
 
 
-def similar_ids(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float, slice_rows: int = 32) -> DataFrame:
-    """Ids of `df` that resemble at least one set of `memory`.
+def _split(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float, slice_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with a set, ids of those that resemble a memory set).
 
     Existence is enough, so each candidate first meets only a few memory sets per token; whatever is
     settled there, such as a mass of near copies, never meets the rest.
     """
-    rows = materialise(df.filter(F.size(fp) > 0).select(ident, fp))
+    rows = _held(df, ident, fp)
     cand = materialise(distinct_sets(rows, ident, fp, [ident]).withColumnRenamed(ident, "__c"))
-    known = memory.filter(F.size(fp) > 0).select(fp).distinct()
-    known = materialise(known.withColumn("__m", F.monotonically_increasing_id()))
+    known = materialise(_held(memory, fp).distinct().withColumn("__m", F.monotonically_increasing_id()))
     rarity = _rarity([cand, known], fp)
-    mine, theirs = _prefixes(cand, "__c", fp, rarity, t), _prefixes(known, "__m", fp, rarity, t)
-    few = top_per_key(theirs, ["token"], ["n", "__m"], slice_rows)
-    quick = _verified(_candidates(mine, few, "__c", "__m", t), cand, known, "__c", "__m", fp, t).select("__c").distinct()
-    quick = materialise(quick)
-    rest = mine.join(quick, "__c", "left_anti")
-    slow = _verified(_candidates(rest, theirs, "__c", "__m", t), cand, known, "__c", "__m", fp, t).select("__c")
-    found = cand.join(quick.unionAll(slow).distinct(), "__c", "left_semi").select(F.col(fp))
-    return rows.join(found, fp, "left_semi").select(ident)
-
-
-def novel(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float = 0.65) -> DataFrame:
+    mine = materialise(_prefixes(cand, "__c", fp, rarity, t))
+    theirs = materialise(_prefixes(known, "__m", fp, rarity, t))
+    hits, rest = [], mine
+    if largest_group(theirs, ["token"]) > slice_rows:
+        few = top_per_key(theirs, ["token"], ["n", "__m"], slice_rows)
+        quick = _verified(_candidates(mine, few, "__c", "__m", t), cand, known, "__c", "__m", fp, t)
+        hits.append(materialise(quick.select("__c").distinct()))
+        rest = mine.join(hits[0], "__c", "left_anti")
+    hits.append(_verified(_candidates(rest, theirs, "__c", "__m", t), cand, known, "__c", "__m", fp, t).select("__c"))
+    found = hits[0] if len(hits) == 1 else hits[0].unionAll(hits[1])
+    sets = cand.join(found.distinct(), "__c", "left_semi").select(F.col(fp))
+    return rows, rows.join(sets, fp, "left_semi").select(ident)
+
+
+def similar_ids(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float, slice_rows: int = 64) -> DataFrame:
+    """Ids of `df` that resemble at least one set of `memory`."""
+    return _split(df, memory, ident, fp, t, slice_rows)[1]
+
+
+def novel(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float = 0.65, slice_rows: int = 64) -> DataFrame:
     """Rows below Tanimoto t to every memory row; rows with an empty set are invalid and dropped."""
-    close = similar_ids(df, memory, ident, fp, t)
-    return df.filter(F.size(fp) > 0).join(close, ident, "left_anti")
+    rows, close = _split(df, memory, ident, fp, t, slice_rows)
+    return df.join(rows.select(ident).join(close, ident, "left_anti"), ident, "left_semi")
 
 
 def nearest_active(df: DataFrame, actives: DataFrame, ident: str, target: str, fp: str, label: str, order,
@@ -147,7 +174,7 @@ def nearest_active(df: DataFrame, actives: DataFrame, ident: str, target: str, f
 
 # --- greedy selection ----------------------------------------------------------------------
 
-def leader_filter(df: DataFrame, ident: str, fp: str, order, t: float = 0.85, *, visible: int = 64, **how) -> DataFrame:
+def leader_filter(df: DataFrame, ident: str, fp: str, order, t: float = 0.85, *, visible: int = 256, **how) -> DataFrame:
     """Walk rows in `order`; keep a row unless it resembles (>= t) a row kept before.
 
     Solved in rounds instead of row by row. Per token only the `visible` best undecided rows are
@@ -155,8 +182,8 @@ def leader_filter(df: DataFrame, ident: str, fp: str, order, t: float = 0.85, *,
     it, it is kept, and everything that resembles a kept row is rejected. The best undecided row is
     always decided, so the rounds end, and a cluster of near copies goes in one round.
     """
-    names = list(dict.fromkeys([ident, fp, *sort_names(order)]))
-    sets = distinct_sets(df.select(*names), ident, fp, order)
+    names = list(dict.fromkeys([ident, *sort_names(order)]))
+    sets = distinct_sets(_held(df, *names, fp), ident, fp, order)
     sets = materialise(number_rows(sets, order, (), "__a", **how).select(ident, fp, "__a"))
     live = materialise(_prefixes(sets, "__a", fp, _rarity([sets], fp), t))
     if largest_group(live, ["token"]) <= visible:
@@ -224,7 +251,7 @@ def diverse_top_n(df: DataFrame, ident: str, fp: str, order, t: float, n: int, *
         return leader_filter(df, ident, fp, order, t).orderBy(*sort_cols(order)).limit(n)
     spark = df.sparkSession
     names = list(dict.fromkeys([ident, *sort_names(order)]))
-    sets = materialise(distinct_sets(df.select(*names, fp), ident, fp, order))
+    sets = distinct_sets(_held(df, *names, fp), ident, fp, order)
     kept: list[tuple] = []
     fresh: list[tuple] = []
     schema = f"__k {df.schema[ident].dataType.simpleString()}, __f {df.schema[fp].dataType.simpleString()}"
