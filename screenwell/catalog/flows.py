@@ -26,15 +26,6 @@ def landed(t, df, parts: int = 4, by: str = "event_id"):
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def landed_weekly(t, df, ts: str = "ts"):
-    """The same with one file per calendar week, landed one after the other."""
-    path = fresh_dir(t.spark, "landed")
-    week = F.floor(F.unix_seconds(ts) / 604_800)
-    for (w,) in sorted(df.select(week).distinct().collect()):
-        df.filter(week == w).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
 @query("R1", "SELECT event_id, event_type AS target_id, value AS score FROM events WHERE event_type <> 'error'")
 def stream_log(t):
     from ..sources.files import stream_log as tail
@@ -90,7 +81,8 @@ def stream_elite(t):
 SELECT event_type, list(event_id ORDER BY event_id) AS recent FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS r FROM events)
 WHERE r <= 20 GROUP BY 1""")
 def stream_last_n(t):
-    return R.drain(R.stream_last_n(landed(t, t.events), "event_type", "event_id", 20), "update", ["event_type"])
+    held = R.stream_last_n(landed(t, t.events.select("event_type", "event_id")), "event_type", ["event_id desc"], 20)
+    return held.groupBy("event_type").agg(F.sort_array(F.collect_list("event_id")).alias("recent"))  # at most 20
 
 
 @query("R9", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
@@ -127,8 +119,10 @@ SELECT event_type, event_id, round(value * -30.0, 3) AS affinity, round(coalesce
 FROM (SELECT *, last_value(CASE WHEN value < 5 THEN round(value * -30.0, 3) END IGNORE NULLS)
         OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ref FROM events)""")
 def stream_threshold(t):
-    rows = landed_weekly(t, t.events.withColumn("is_ref", F.col("value") < 5))
-    out = R.drain(R.stream_threshold(rows, "event_type", "event_id", "value", "is_ref", own=-900.0))
+    path = fresh_dir(t.spark, "landed")
+    t.events.withColumn("is_ref", F.col("value") < 5).write.parquet(path)
+    rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
+    out = R.stream_threshold(rows, "event_type", "event_id", "value", "is_ref", own=-900.0)
     return out.withColumn("effective_threshold", F.round("effective_threshold", 6))
 
 

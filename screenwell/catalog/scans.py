@@ -82,8 +82,9 @@ def _write_alignments(t, path):
     """One alignment per language: documents in order, the first one is the query."""
     body = F.translate("text", ">\r", "")
     rec = F.concat(F.lit(">"), "doc_id", F.lit("\n"), body)
+    # Range partitions: part numbers follow (language, document), so a large alignment is several files in order.
     (t.documents.select(rec.alias("value"), F.col("lang").alias("uniprot_id"), "doc_id")
-     .repartition("uniprot_id").sortWithinPartitions("uniprot_id", "doc_id").drop("doc_id")
+     .repartitionByRange("uniprot_id", "doc_id").sortWithinPartitions("uniprot_id", "doc_id").drop("doc_id")
      .write.partitionBy("uniprot_id").text(path))
 
 
@@ -115,20 +116,20 @@ def read_targets(t):
     target = F.struct(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("gene_name"),
                       F.when(F.col("s_acctbal") > 0, -F.col("s_acctbal")).alias("target_score_threshold"),
                       F.when(F.col("s_nationkey") < 10, F.col("s_nationkey")).alias("difficulty_tier"))
-    (t.supplier.groupBy("s_nationkey").agg(F.to_json(F.collect_list(target)).alias("value"))
-     .write.partitionBy("s_nationkey").text(path))
-    return files.read_targets(t.spark, path).select("id", "gene_name", "target_score_threshold", "difficulty_tier")
+    few = F.floor(F.col("s_suppkey") / 50)  # an array of at most 50 targets per line
+    t.supplier.groupBy(few.alias("k")).agg(F.to_json(F.collect_list(target)).alias("value")).select("value").write.text(path)
+    return files.read_targets(t.spark, path, whole_files=False).select("id", "gene_name", "target_score_threshold", "difficulty_tier")
 
 
 @query("S7", """
-SELECT c_mktsegment || c_nationkey AS target_id, arg_max(c_name, c_custkey) AS smiles FROM customer GROUP BY 1""")
+SELECT l_orderkey || l_returnflag AS target_id, CAST(arg_max(l_partkey, l_partkey) AS VARCHAR) AS smiles FROM lineitem GROUP BY 1""")
 def read_reference_compounds(t):
     path = fresh_dir(t.spark, "compounds")
-    entry = F.struct("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("target_id"),
-                     F.col("c_name").alias("smiles"))
-    document = F.to_json(F.struct(F.sort_array(F.collect_list(entry)).alias("compounds")))
-    (t.customer.groupBy("c_nationkey").agg(document.alias("value")).write.partitionBy("c_nationkey").text(path))
-    return files.read_reference_compounds(t.spark, path)
+    entry = F.struct("l_partkey", F.concat(F.col("l_orderkey").cast("string"), "l_returnflag").alias("target_id"),
+                     F.col("l_partkey").cast("string").alias("smiles"))
+    document = F.to_json(F.struct(F.sort_array(F.collect_list(entry)).alias("compounds")))  # the few lines of one order
+    t.lineitem.groupBy("l_orderkey").agg(document.alias("value")).select("value").write.text(path)
+    return files.read_reference_compounds(t.spark, path, whole_files=False)
 
 
 @query("S8", """
@@ -185,9 +186,9 @@ SELECT count(*) AS n_files, count(*) AS n_valid, CAST(min(b) AS BIGINT) AS min_b
 FROM (SELECT source, sum(strlen(text) + 1) AS b FROM documents GROUP BY 1)""")
 def file_inventory(t):
     path = fresh_dir(t.spark, "files")
-    (t.documents.select(F.col("text").alias("value"), "source").repartition("source")
-     .write.partitionBy("source").text(path))
-    out = files.file_inventory(files.list_files(t.spark, path, "*.txt"), least=1)
+    t.documents.select(F.col("text").alias("value"), "source").write.partitionBy("source").text(path)
+    keys = files.list_files(t.spark, path, "*.txt").groupBy("folder").agg(F.sum("length").alias("length"))
+    out = files.file_inventory(keys, least=1)
     return out.withColumn("avg_bytes", F.round("avg_bytes", 3))
 
 

@@ -95,9 +95,33 @@ def novel_documents(t):
     return X.novel(text_sets(t), memory, "doc_id", "fp").select("doc_id")
 
 
-@query("T5")
+# The same walk in SQL, one row per step: keep a word unless it resembles one kept before.
+_WALK = """, o AS (SELECT list(w ORDER BY {order}) AS ws, list(vec_id ORDER BY {order}) AS ids FROM c),
+  k AS (SELECT 1 AS i, CAST([] AS UBIGINT[]) AS kept, CAST([] AS BIGINT[]) AS out, ws, ids FROM o
+    UNION ALL
+    SELECT i + 1, CASE WHEN ok THEN list_append(kept, ws[i]) ELSE kept END, CASE WHEN ok THEN list_append(out, ids[i]) ELSE out END, ws, ids
+    FROM (SELECT *, len(list_filter(kept, lambda v: bit_count(v & ws[i]) / bit_count(v | ws[i]) >= {t})) = 0 AS ok FROM k)
+    WHERE i <= len(ws) AND len(out) < {n})
+SELECT vec_id FROM (SELECT unnest(out) AS vec_id FROM (SELECT out FROM k ORDER BY i DESC LIMIT 1))"""
+_RWORDS = _WORDS.replace("WITH e", "WITH RECURSIVE e", 1)
+
+
+@query("T5", _RWORDS + ", c AS (SELECT * FROM e WHERE w <> 0)" + _WALK.format(order="label DESC, vec_id", t=0.5, n=50))
 def diverse_top_n(t):
-    return X.diverse_top_n(sign_sets(t), "vec_id", "fp", ["label desc", "vec_id"], 0.5, 50).select("vec_id", "label")
+    return X.diverse_top_n(sign_sets(t), "vec_id", "fp", ["label desc", "vec_id"], 0.5, 50).select("vec_id")
+
+
+@query("T7", _RWORDS + ", c AS (SELECT * FROM e WHERE w <> 0)" + _WALK.format(order="vec_id", t=0.45, n=1_000_000_000))
+def leader_vectors(t):
+    return X.leader_filter(sign_sets(t), "vec_id", "fp", ["vec_id"], 0.45).select("vec_id")
+
+
+@query("T6", _RWORDS + f""", c AS (SELECT a.* FROM e a WHERE label >= 5 AND w <> 0 AND NOT EXISTS
+  (SELECT 1 FROM e b WHERE b.label < 5 AND {_WSIM} >= 0.5))""" + _WALK.format(order="label, vec_id", t=0.5, n=1_000_000_000))
+def filter_novel_vectors(t):
+    sets = sign_sets(t)
+    new, memory = sets.filter("label >= 5"), sets.filter("label < 5")
+    return X.filter_novel(new, memory, "vec_id", "fp", ["label", "vec_id"], 0.5).select("vec_id")
 
 
 @query("T5")

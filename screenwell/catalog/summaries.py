@@ -247,7 +247,7 @@ def elite_pool(t):
     return S.elite_pool(t.events.select("event_id", "value"), "value", "event_id", 50)
 
 
-@query("T8")
+@query("T8", "SELECT p_partkey, p_name FROM part ORDER BY md5(p_partkey || '|42'), p_partkey LIMIT 500")
 def sample_n(t):
     return S.sample_n(t.part.select("p_partkey", "p_name"), "p_partkey", 500)
 

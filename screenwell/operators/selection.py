@@ -47,8 +47,9 @@ def elite_pool(df: DataFrame, score: str, tie, n: int = 50) -> DataFrame:
 
 
 def sample_n(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
-    """`n` rows without replacement, the same ones for the same seed."""
-    return df.orderBy(F.xxhash64(*as_list(key), F.lit(seed)), *as_list(key)).limit(n)
+    """`n` rows without replacement, the same ones for the same seed: the smallest hashes of key and seed."""
+    drawn = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in as_list(key)], F.lit(str(seed))))
+    return df.orderBy(drawn, *as_list(key)).limit(n)
 
 
 def halton_sample(df: DataFrame, order, n: int, start: int = 0, dim: int = 0, **how) -> DataFrame:

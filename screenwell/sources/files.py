@@ -118,9 +118,12 @@ def read_a3m(spark: SparkSession, path, key: str = "uniprot_id", **how) -> DataF
                          header.alias("header"), sequence.alias("sequence"))
 
 
-def read_targets(spark: SparkSession, path, threshold: float = -7.0, tier: int = 9) -> DataFrame:
-    """The target dimension with defaults for a missing threshold and tier."""
-    raw = spark.read.schema(as_schema(schemas.TARGETS)).option("multiLine", True).json(path)
+def read_targets(spark: SparkSession, path, threshold: float = -7.0, tier: int = 9, whole_files: bool = True) -> DataFrame:
+    """The target dimension with defaults for a missing threshold and tier.
+
+    A file is one JSON array, or with whole_files=False a JSON array or object per line.
+    """
+    raw = spark.read.schema(as_schema(schemas.TARGETS)).option("multiLine", whole_files).json(path)
     return target_defaults(raw, threshold, tier)
 
 
@@ -130,9 +133,9 @@ def target_defaults(targets: DataFrame, threshold: float = -7.0, tier: int = 9)
             .withColumn("difficulty_tier", F.coalesce("difficulty_tier", F.lit(tier))))
 
 
-def read_reference_compounds(spark: SparkSession, path) -> DataFrame:
+def read_reference_compounds(spark: SparkSession, path, whole_files: bool = True) -> DataFrame:
     """One reference molecule per target; the last entry of the document wins."""
-    raw = spark.read.schema(as_schema(schemas.REFERENCE_COMPOUNDS)).option("multiLine", True).json(path)
+    raw = spark.read.schema(as_schema(schemas.REFERENCE_COMPOUNDS)).option("multiLine", whole_files).json(path)
     return last_compound(raw)
 
 
@@ -164,10 +167,11 @@ def parse_telemetry(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def list_files(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """Name and size of every file; contents are never read."""
+    """Folder, name and size of every file; contents are never read."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern)
             .option("recursiveFileLookup", True).load(path)
-            .select(F.element_at(F.split("path", "/"), -1).alias("file"), "length"))
+            .select(F.element_at(F.split("path", "/"), -2).alias("folder"),
+                    F.element_at(F.split("path", "/"), -1).alias("file"), "length"))
 
 
 def file_inventory(files: DataFrame, least: int = 1024) -> DataFrame:

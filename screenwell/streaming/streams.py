@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.columns import is_hit, to_affinity
 from ..operators.models import refit_due
+from ..operators.ordering import last_known
 from ..operators.selection import top_n
 from ..operators.similarity import filter_novel
 from ..operators.windows import top_per_key
@@ -89,48 +88,6 @@ def ingest_fragments(spark: SparkSession, path: str, files_per_trigger: int = 10
     return molecules_of(lines).select("smiles")
 
 
-# --- keyed state -----------------------------------------------------------------------------
-
-def stream_threshold(events: DataFrame, key: str, seq: str, score: str, is_reference: str, own: float,
-                     margin: float = 0.5) -> DataFrame:
-    """Effective threshold of each event: its key's last reference affinity plus a margin, else `own`.
-
-    `is_reference` names a boolean column. Events of a micro-batch are applied in order of `seq`.
-    """
-    kt = events.schema[key].dataType.simpleString()
-
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(seq)
-        ref = rows["affinity"].where(rows[is_reference]).ffill()
-        if state.exists:
-            ref = ref.fillna(state.get[0])
-        if len(ref) and pd.notna(ref.iloc[-1]):
-            state.update((float(ref.iloc[-1]),))
-        limit = (ref + margin).fillna(own)
-        yield pd.DataFrame({key: rows[key], seq: rows[seq], "affinity": rows["affinity"],
-                            "effective_threshold": limit, "hit": rows["affinity"] <= limit})
-
-    rows = events.withColumn("affinity", to_affinity(score)).select(key, seq, "affinity", is_reference)
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kt}, {seq} long, affinity double, effective_threshold double, hit boolean",
-        "ref double", "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_last_n(events: DataFrame, key: str, seq: str, n: int) -> DataFrame:
-    """Ring buffer per key as state: after each micro-batch the newest `n` sequence numbers (update mode)."""
-    kt = events.schema[key].dataType.simpleString()
-
-    def step(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            held = sorted([*held, *(int(v) for v in frame[seq].nlargest(n))])[-n:]
-        state.update((held,))
-        yield pd.DataFrame({key: [k[0]], "recent": [held]})
-
-    return events.select(key, seq).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kt}, recent array<long>", "held array<long>", "update", GroupStateTimeout.NoTimeout)
-
-
 # --- state kept as tables, updated per micro-batch ---------------------------------------------
 
 class TableState:
@@ -173,6 +130,40 @@ def stream_elite(events: DataFrame, score: str, tie, n: int = 50, path: str | No
                        lambda pool, batch: top_n(pool.unionByName(batch).filter(F.col(score) > 0), score, tie, n), path)
 
 
+def stream_last_n(events: DataFrame, key: str, newest_first, n: int, path: str | None = None) -> DataFrame:
+    """Ring buffer per key over a stream: the newest `n` rows of every key."""
+    return fold_stream(events, events.schema,
+                       lambda held, batch: top_per_key(held.unionByName(batch), [key], newest_first, n), path)
+
+
+def stream_threshold(events: DataFrame, key: str, seq: str, score: str, is_reference: str, own: float,
+                     margin: float = 0.5, path: str | None = None, **how) -> DataFrame:
+    """Effective threshold of each event: its key's last reference affinity plus a margin, else `own`.
+
+    `is_reference` names a boolean column. Events of a micro-batch are applied in order of `seq`; the last
+    reference per key goes on to the next batch as a table, so a hot key is split like in a batch job.
+    """
+    spark = events.sparkSession
+    root = path or fresh_dir(spark, "threshold")
+    kt = events.schema[key].dataType.simpleString()
+    state = TableState(spark, f"{root}/state", f"{key} {kt}, ref double")
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(key, seq, to_affinity(score).alias("affinity"), is_reference, F.lit(1).alias("__new"))
+        rows = rows.withColumn("ref", F.when(F.col(is_reference), F.col("affinity"))).drop(is_reference)
+        lined = rows.unionByName(state.read(number - 1).withColumn("__new", F.lit(0)), allowMissingColumns=True)
+        known = last_known(lined, "ref", ["__new", seq], [key], "__last", **how).filter("__new = 1")
+        limit = F.coalesce(F.col("__last") + margin, F.lit(own))
+        (known.select(key, seq, "affinity", limit.alias("effective_threshold"), is_hit("affinity", limit).alias("hit"))
+         .write.mode("overwrite").parquet(f"{root}/out/batch={number}"))
+        at = F.when(F.col("ref").isNotNull(), F.struct("__new", seq))
+        state.write(lined.groupBy(key).agg(F.max_by("ref", at).alias("ref")).filter("ref IS NOT NULL"), number)
+
+    (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/progress")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(f"{root}/out").drop("batch")
+
+
 def append_state(stream: DataFrame, schema, select: Callable[[DataFrame, DataFrame], DataFrame],
                  path: str | None = None) -> DataFrame:
     """Growing table: each micro-batch adds select(table so far, batch) in its own folder."""

@@ -58,8 +58,10 @@ def rows_of(columns, rows):
 
 
 def compare(spark, con, folder, query, sql) -> str | None:
+    t0 = time.time()
     df = query(spark, folder)
     mine = df.collect()
+    compare.spark_seconds = time.time() - t0
     got = rows_of(df.columns, mine)
     res = con.execute(sql)
     cols = [d[0] for d in res.description]
@@ -84,7 +86,7 @@ def main(folder, names):
         try:
             if name in sqls:
                 err = compare(spark, con, folder, fn, sqls[name])
-                note = "same" if err is None else err
+                note = f"same (spark {compare.spark_seconds:.1f}s)" if err is None else err
             else:
                 n = fn(spark, folder).count()
                 err, note = (None if n else "no rows"), f"{n} rows (no sql)"
