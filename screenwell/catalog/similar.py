@@ -57,14 +57,16 @@ def novel(t):
     return X.novel(sets.filter("label >= 5"), sets.filter("label < 5"), "vec_id", "fp", 0.5).select("vec_id")
 
 
-@query("J6", _WORDS + f""", p AS (SELECT a.vec_id, b.vec_id AS other, {_WSIM} AS s FROM e a JOIN e b
-  ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id < 250),
+@query("J6", _WORDS + f""", c AS (SELECT vec_id, label % 5 AS target, w FROM e WHERE label >= 5),
+  m AS (SELECT vec_id, label % 5 AS target, w FROM e WHERE label < 5),
+  p AS (SELECT a.vec_id, b.vec_id AS other, {_WSIM} AS s FROM c a JOIN m b ON a.target = b.target),
   r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other) AS k FROM p)
 SELECT vec_id, round(coalesce(s, 0), 6) AS similarity, CASE WHEN s > 0 THEN CAST(other AS VARCHAR) ELSE '' END AS closest, coalesce(s, 0) < 0.4 AS is_novel
-FROM e LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (vec_id) WHERE vec_id >= 250""")
+FROM c LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (vec_id)""")
 def nearest_active(t):
-    words = t.embeddings.select("vec_id", "label", sign_word("embedding").alias("fp"))
-    out = X.nearest_active(words.filter("vec_id >= 250"), words.filter("vec_id < 250"), "vec_id", "label", "fp", "vec_id",
+    """Vectors of the upper labels as candidates, those of the lower labels as actives."""
+    words = t.embeddings.select("vec_id", "label", (F.col("label") % 5).alias("target"), sign_word("embedding").alias("fp"))
+    out = X.nearest_active(words.filter("label >= 5"), words.filter("label < 5"), "vec_id", "target", "fp", "vec_id",
                            ["vec_id"], similarity=tanimoto_word)
     return out.select("vec_id", "similarity", "closest", "is_novel")
 

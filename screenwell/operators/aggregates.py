@@ -24,10 +24,9 @@ def network_totals(accounts: DataFrame, registered: Column, screened: str, activ
     members = accounts.agg(F.count(F.when(registered, 1)).alias("__reg"),
                            F.count(F.when(F.col(screened) > 0, 1)).alias("__active"),
                            F.sum(screened).alias("screened"))
-    # Two one-row aggregates side by side.
-    total = activity.agg(F.sum(hits).alias("hits"))
-    return (members.join(total).select(
-        F.when(F.col("__reg") > 0, F.col("__reg")).otherwise(F.col("__active")).alias("miners"), "screened", "hits"))
+    total = activity.agg(F.sum(hits)).scalar()
+    return members.select(F.when(F.col("__reg") > 0, F.col("__reg")).otherwise(F.col("__active")).alias("miners"),
+                          "screened", total.alias("hits"))
 
 
 def active_submitters(df: DataFrame, who: str, slot: str, now_slot: int, span: int = 216_000,
@@ -53,7 +52,7 @@ def bit_entropy(df: DataFrame, fp: str, nbits: int, by=()) -> DataFrame:
     sizes = valid.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     ones = (valid.select(*by, F.explode(fp).alias("bit")).groupBy(*by, "bit")
             .agg(F.count(F.lit(1)).alias("ones")))
-    joined = attach(ones, sizes, by) if by else ones.join(F.broadcast(sizes))  # sizes is one row
+    joined = attach(ones, sizes, by) if by else ones.withColumn("n", sizes.scalar())
     p = F.col("ones") / F.col("n")
     h = F.when(p < 1, -(p * F.log2(p) + (1 - p) * F.log2(1 - p))).otherwise(0.0)
     return joined.groupBy(*by).agg(F.first("n").alias("n"), (F.sum(h) / nbits).alias("entropy"))

@@ -62,13 +62,6 @@ def improving(children: DataFrame, parents: DataFrame, parent_key: str, key: str
     return children.join(known, parent_key).filter(F.col(child_score) > F.col("parent_score"))
 
 
-def agreeing(submissions: DataFrame, validations: DataFrame, key, claim: str, rescore: str,
-             tolerance: float = 0.05) -> DataFrame:
-    """Validations within the relative tolerance of the claim."""
-    both = validations.join(submissions.select(*as_list(key), claim), as_list(key))
-    return both.filter(F.abs(F.col(rescore) - F.col(claim)) <= tolerance * F.abs(F.col(claim)))
-
-
 def consensus(submissions: DataFrame, validations: DataFrame, key: str, claim: str, rescore: str,
               validator: str, tolerance: float = 0.05, need: int = 2) -> DataFrame:
     """Per submission: validations, distinct agreeing validators, and whether enough agree."""

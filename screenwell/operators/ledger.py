@@ -150,10 +150,9 @@ def eligibility(accounts: DataFrame, members: DataFrame, key: str, balance: Colu
                 free_places: int = FREE_PLACES) -> DataFrame:
     """registered, free (places left), funded, or insufficient."""
     known = members.select(key).distinct()
-    taken = known.agg(F.count(F.lit(1)).alias("__taken"))
-    flagged = (accounts.join(known.withColumn("__in", F.lit(True)), key, "left")
-               .join(F.broadcast(taken)))  # one row
+    taken = known.agg(F.count(F.lit(1))).scalar()
+    flagged = accounts.join(known.withColumn("__in", F.lit(True)), key, "left")
     least = F.when(multi if isinstance(multi, Column) else F.lit(multi), FUNDED_MULTI).otherwise(FUNDED)
     return flagged.withColumn("eligibility", F.when(F.col("__in"), "registered")
-                              .when(F.col("__taken") < free_places, "free").when(balance >= least, "funded")
-                              .otherwise("insufficient")).drop("__in", "__taken")
+                              .when(taken < free_places, "free").when(balance >= least, "funded")
+                              .otherwise("insufficient")).drop("__in")

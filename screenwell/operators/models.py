@@ -10,6 +10,7 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
+from ..runtime import at_most
 from .selection import sample_n
 from .windows import top_per_key
 
@@ -17,6 +18,7 @@ from .windows import top_per_key
 SETTINGS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
 MIN_ROWS, REFIT_ROWS, MAX_FOLDS, TRUSTED_R2 = 30, 20, 5, 0.5
 POOL, KEEP = 10_000, 10
+MAX_TARGETS = 10_000
 DESCRIPTORS = ("mw", "logp", "hbd", "hba", "tpsa", "rot_bonds", "rings", "heavy_atoms")
 
 
@@ -60,7 +62,10 @@ def train_targets(df: DataFrame, target: str, label: str, key: str, min_rows: in
 
     Targets are a small dimension; every fit is a distributed job, a few run at a time.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(target).count().collect() if only is None or r[0] in only}
+    counts = (df if only is None else df.filter(F.col(target).isin(list(only)))).groupBy(target).count()
+    if not at_most(counts, MAX_TARGETS):
+        raise ValueError(f"more than {MAX_TARGETS} targets: train them in several calls with `only`")
+    sizes = {r[0]: r[1] for r in counts.collect()}
 
     def fit(t):
         n = sizes[t]

@@ -42,8 +42,8 @@ def next_candidates(df: DataFrame, key: str, proxy: str, order, n: int, confirme
 def elite_pool(df: DataFrame, score: str, tie, n: int = 50) -> DataFrame:
     """The best `n` rows above zero, each with the score a newcomer must beat (0 until full)."""
     best = top_n(df.filter(F.col(score) > 0), score, tie, n)
-    entry = best.agg(F.when(F.count(F.lit(1)) >= n, F.min(score)).otherwise(0.0).alias("entry_threshold"))
-    return best.join(F.broadcast(entry))  # one row
+    entry = best.agg(F.when(F.count(F.lit(1)) >= n, F.min(score)).otherwise(0.0)).scalar()
+    return best.withColumn("entry_threshold", entry)
 
 
 def sample_n(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
@@ -58,11 +58,10 @@ def halton_sample(df: DataFrame, order, n: int, start: int = 0, dim: int = 0, **
     A row may be drawn more than once, as in the sequence.
     """
     placed = number_rows(df, order, (), "__pos", **how)
-    size = df.agg(F.count(F.lit(1)).alias("__n"))
+    size = df.agg(F.count(F.lit(1))).scalar()
     draws = (df.sparkSession.range(start, start + n).withColumnRenamed("id", "draw")
-             .join(F.broadcast(size))  # one row
-             .withColumn("__pos", F.floor(halton("draw", dim) * F.col("__n")).cast("long") + 1))
-    return draws.join(placed, "__pos").drop("__pos", "__n")
+             .withColumn("__pos", F.floor(halton("draw", dim) * size).cast("long") + 1))
+    return draws.join(placed, "__pos").drop("__pos")
 
 
 def pick_candidates(sources: list[tuple[str, DataFrame]], target: str, order, label: str = "method") -> DataFrame:

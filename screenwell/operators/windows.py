@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import as_list, attach, groups_fit, largest_group, materialise, sort_cols, sort_names, with_field
-from .ordering import Running, last_known, number_rows, running, running_sum
+from .ordering import Running, last_known, number_rows, running
 
 # Spark drops rows beyond the n-th before the shuffle only up to this n.
 _PRESHUFFLE_LIMIT = 1000

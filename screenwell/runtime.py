@@ -73,16 +73,6 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast when a count proves the side small; else leave the join to Catalyst."""
-    return F.broadcast(df) if at_most(df, rows) else df
-
-
-def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Null-safe equality on `keys`, for joining a summary back to the rows it came from."""
-    return functools.reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join the other columns of `right` to `left` on null-safe `keys`."""
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys],
