@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, jaccard, packing, rules
+from . import bytebpe, exact, jaccard, langid, nbsvm, packing, rules
 from .tokenizers import tokenizer_path
 
 QUERIES: dict = {}
@@ -24,6 +24,15 @@ def query(sql: str | None = None):
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@query()
+def op1_language_id(spark: SparkSession, table) -> DataFrame:
+    docs = table("documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = langid.learn_dictionaries(docs.filter(~held_out))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
 @query(rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
   s AS (SELECT doc_id, CASE WHEN len(w) = 0 OR w IS NULL THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE
@@ -49,9 +58,23 @@ def op5_quality_rules(spark: SparkSession, table) -> DataFrame:
     return rules.judge(docs, rules.learn_rules(docs, table("labels")))
 
 
+@query()
+def op6_quality_classifier(spark: SparkSession, table) -> DataFrame:
+    docs, labels = table("documents"), table("labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = nbsvm.fit(docs, labels.filter(~held_out))
+    return nbsvm.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
   k AS (SELECT *, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k""")
 def op7_exact_dedup(spark: SparkSession, table) -> DataFrame:
     return exact.exact_groups(table("documents"), capacity=32_768)
+
+
+@query()
+def op10_byte_bpe(spark: SparkSession, table) -> DataFrame:
+    from public_tokenizers import PATTERN
+    return bytebpe.digest_round_trip(table("documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), PATTERN)
