@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, exact, jaccard, langid, nbsvm, packing, rules
+from . import bytebpe, chat, exact, html, jaccard, langid, nbsvm, packing, rules
 from .tokenizers import tokenizer_path
 
 QUERIES: dict = {}
@@ -47,6 +47,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, table) -> DataFrame:
     return jaccard.jaccard_components(table("documents"))
 
 
+@query()
+def op3_html_extraction(spark: SparkSession, table) -> DataFrame:
+    return html.extract(table("pages"))
+
+
 @query()
 def op4_packing(spark: SparkSession, table) -> DataFrame:
     return packing.pack(table("documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
@@ -74,6 +79,34 @@ def op7_exact_dedup(spark: SparkSession, table) -> DataFrame:
     return exact.exact_groups(table("documents"), capacity=32_768)
 
 
+_CONVERSATIONS = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  t AS (SELECT *, 23 + length(role) + length(text) + 2 * length(text) - length(replace(text, '\', '')) - length(replace(text, '<|', '<')) + length(role)
+    - length(replace(role, '\', '')) + length(role) - length(replace(role, '<|', '<')) AS n FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+
+
+@query(_CONVERSATIONS)
+def op9_chat_formatting(spark: SparkSession, table) -> DataFrame:
+    """Digests are read back from the formatted text."""
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(
+        "assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = table("conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    records = rows.select("conv_id", "turn", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    turns = chat.canonical_turns(records).select("conv_id", "turn", F.posexplode("turns").alias("place", "said")).select(
+        "conv_id", "turn", "place", "said.role", "said.text")
+    out = chat.format_turns(turns, "conv_id", ["turn", "place"]).withColumn("back", chat.read_back(F.col("formatted")))
+    said = F.array_join(F.transform("back", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join(F.transform(F.filter("back", lambda x: x["role"] == chat.ASSISTANT), lambda x: x["text"]), "")
+    return out.withColumn("loss", loss).select(
+        "conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 @query()
 def op10_byte_bpe(spark: SparkSession, table) -> DataFrame:
     from public_tokenizers import PATTERN

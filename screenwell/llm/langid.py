@@ -11,11 +11,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import kernels as K
 
 # The text is encoded in segments of so many bytes, so that the dictionary, not the text's own past, explains each of them.
 SEGMENT = 2048
-LEVEL = 3
 
 
 def learn_dictionaries(rows: DataFrame, lang: str = "lang", text: str = "text", ident: str = "doc_id", texts: int = 256,
@@ -30,11 +28,13 @@ def learn_dictionaries(rows: DataFrame, lang: str = "lang", text: str = "text",
     out: dict[str, list[str]] = {}
     for r in parts.orderBy("lang", F.desc("rank")).collect():
         out.setdefault(r["lang"], []).append(r["part"])
-    return {k: "\n".join(v).encode() for k, v in out.items()}
+    return {k: "\n".join(v).lower().encode() for k, v in out.items()}
 
 
 def encoders(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompressor]:
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+    params = zstandard.ZstdCompressionParameters.from_level(
+        3, strategy=zstandard.STRATEGY_LAZY, min_match=4, search_log=3, hash_log=17, chain_log=17, write_content_size=0,
+        write_checksum=0, write_dict_id=0)
     out = {}
     for lang, content in sorted(dictionaries.items()):
         data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -44,7 +44,7 @@ def encoders(dictionaries: dict[str, bytes]) -> dict[str, zstandard.ZstdCompress
 
 
 def sizes(text: bytes, coders: dict[str, zstandard.ZstdCompressor]) -> list[int]:
-    """Encoded bytes of the whole text per language."""
+    """Encoded bytes of the whole text, in lower case, per language."""
     parts = [text[k:k + SEGMENT] for k in range(0, len(text), SEGMENT)]
     return [sum(len(c.compress(p)) for p in parts) for c in coders.values()]
 
@@ -57,11 +57,11 @@ def _predict(dictionaries, margin: float):
         names = list(coders)
         for batch in batches:
             lang, score, gap = [], [], []
-            for text, lettered in zip(K.raw(batch.column(1)), batch.column(2).to_pylist()):
+            for text, lettered in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if not lettered or not names:
                     lang.append("und"), score.append(0.0), gap.append(0.0)
                     continue
-                found = sizes(text, coders)
+                found = sizes(text.lower().encode(), coders)
                 best = min(range(len(names)), key=found.__getitem__)
                 others = [n - found[best] for k, n in enumerate(found) if k != best]
                 lang.append(names[best])
