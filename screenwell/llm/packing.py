@@ -7,19 +7,23 @@ partitions.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
+from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from . import kernels as K
+from .bytebpe import byte_characters
 from .shared import kept
 
 WIDTH = 4  # bytes of an id
-# Strings between white space whose ids a task remembers at most.
-REMEMBERED = 400_000
+# Strings whose ids a task remembers at most, but for those of one text.
+REMEMBERED = 500_000
 GROUP = 256  # partitions whose leftovers are merged by one task
 MERGED = 1 << 62
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -27,32 +31,72 @@ _FIELDS = pa.schema([*[(c, pa.int64()) for c in ("doc_id", "start", "length", "i
 
 
 class WordEncoder:
-    """Ids of a tokenizer whose pre-tokens never span white space, as little-endian unsigned 32-bit numbers.
+    """Ids of a tokenizer as little-endian unsigned 32-bit numbers.
 
-    Each string between white space is encoded once and remembered, up to a bound. The four separators \\x1c-\\x1f, white
-    space to Python but not to the tokenizer, send the whole text to the tokenizer.
+    A tokenizer that normalises to NFC, drops white space, folds case and cuts text by a pattern encodes each string between
+    white space on its own; such strings and their pre-tokens are remembered, up to a bound. Any other tokenizer, and a text with
+    one of the separators \\x1c-\\x1f (white space to Python but not to the tokenizer), is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(WIDTH, "little") for i in e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [(x["type"], x.get("pattern"), x.get("content")) for x in (made["normalizer"] or {}).get("normalizers", [])]
+        cut = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_word = (steps == [("NFC", None, None), ("Replace", {"Regex": "\\s+"}, " "), ("Lowercase", None, None)]
+                        and [x["type"] for x in cut] == ["Split", "ByteLevel"] and cut[0]["behavior"] == "Removed" and cut[0]["invert"]
+                        and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"] and "[\\p{L}]+" in cut[0]["pattern"]["Regex"])
+        self.tokenize = self.tokenizer.model.tokenize
+        if self.by_word:
+            self.find = regex.compile(cut[0]["pattern"]["Regex"]).findall
+        self.letters = dict(enumerate(byte_characters()))
+        self.number = [k.to_bytes(WIDTH, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.known: dict[str, bytes] = {}  # a pre-token alone has the ids of its string
+
+    def _whole(self, text: str) -> bytes:
+        return b"".join(map(self.number.__getitem__, self.tokenizer.encode(text, add_special_tokens=False).ids))
+
+    def _part(self, part: str) -> bytes:
+        ids = self.known.get(part)
+        if ids is None:
+            word = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+            ids = self.known[part] = b"".join([self.number[t.id] for t in self.tokenize(word)])
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word):  # what it is depends on the Unicode version
+            return self._whole(word)
+        if word.isalpha():
+            return self._part(word)
+        if word[:-1].isalpha():
+            ids = self._part(word[:-1]) + self._part(word[-1])
+        else:
+            ids = b"".join(map(self._part, self.find(word)))
+        self.known[word] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        if not text.isprintable() and any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._encode([text])[0]
-        items, known = text.split(), self.known
-        new = list({w for w in items if w not in known})
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(items))
-            known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, items))
+        if not self.by_word or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self._whole(text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # The tokenizer folds characters one by one; only the sigma looks at its neighbours here.
+        items = ("".join(map(str.lower, text)) if "\u03a3" in text else text.lower()).split()
+        found = list(map(self.known.get, items))
+        if None in found:
+            found = [self._word(w) if ids is None else ids for w, ids in zip(items, found)]
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+        return b"".join(found)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One per worker process, so that later tasks find it filled."""
+    return WordEncoder(path)
 
 
 class Packer:
@@ -93,7 +137,7 @@ class Packer:
 
 def _pack(path: str, end_id: int, size: int, windows: int, slack: int, with_ids: bool):
     def run(batches):
-        encode, packer = WordEncoder(path), Packer(size, windows, slack)
+        encode, packer = encoder(path), Packer(size, windows, slack)
         base = TaskContext.get().partitionId() << 32
         waiting: dict[int, list] = {}  # pieces of the open windows
         end = end_id.to_bytes(WIDTH, "little")
