@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import kernels as K
 from .shared import bounded, components, kept
 
-SLOTS, CHUNK = 1 << 19, 1 << 10
+SLOTS, CHUNK, WIDE = 1 << 19, 1 << 10, 1 << 11
 # What a scanned list entry costs against an enumerated subset, which needs no later check.
 SCAN_COST = 6
 LARGEST_BOUNDARY = 24
@@ -46,7 +46,7 @@ def _sign(words: int):
             for i, text in zip(batch.column(0).to_pylist(), K.raw(batch.column(1))):
                 members = K.shingles(text, words)
                 np.add.at(seen, members & np.uint64(SLOTS - 1), 1)
-                rows.append((i, len(members), K.set_key(members)))
+                rows.append((i, len(members), K.set_key(members), *parities(members)))
             yield _table(rows, None)
         chunks = seen.reshape(-1, CHUNK)
         filled = [k for k in range(len(chunks)) if chunks[k].any()]
@@ -55,15 +55,23 @@ def _sign(words: int):
     return run
 
 
-_SIGNED = "id long, n long, set_id long, chunk int, counts binary"
+_SKETCH = [f"s{k}" for k in range(4)]
+_SIGNED = "id long, n long, set_id long, " + "".join(f"{c} long, " for c in _SKETCH) + "chunk int, counts binary"
+
+
+def parities(members: np.ndarray) -> list[int]:
+    """256 parity bits as four longs: bit b tells whether an odd number of members falls to it. Two sets differ in at least as
+    many members as their sketches differ in bits, so a pair can be ruled out without its sets."""
+    bits = np.bincount(((members >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _table(rows, counts):
     n = len(rows if rows is not None else counts)
-    ids, sizes, keys = (list(x) for x in zip(*rows)) if rows else ([None] * n,) * 3
+    ids, sizes, keys, *sketch = (list(x) for x in zip(*rows)) if rows else ([None] * n,) * 7
     chunk, data = (list(x) for x in zip(*counts)) if counts else ([None] * n,) * 2
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                                       pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], ["id", "n", "set_id", "chunk", "counts"])
+                                       *[pa.array(x, pa.int64()) for x in sketch], pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], ["id", "n", "set_id", *_SKETCH, "chunk", "counts"])
 
 
 def _sum_chunks(batches):
@@ -125,8 +133,24 @@ def _sets(words: int):
             members = [K.shingles(t, words) for t in K.raw(batch.column(0))]
             ends = np.cumsum([0] + [len(m) for m in members]).astype(np.int32)
             values = np.concatenate(members).view(np.int64) if members else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([K.set_key(m) for m in members], pa.int64()),
-                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["set_id", "members"])
+            yield pa.RecordBatch.from_arrays([pa.array([K.set_key(m) for m in members], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
+                                              pa.array([wide_parities(m) for m in members], pa.binary()), pa.array(np.diff(ends).astype(np.int64))],
+                                             ["set_id", "members", "sketch", "size"])
+    return run
+
+
+def wide_parities(members: np.ndarray) -> bytes:
+    """The same over WIDE bits, for sets that would fill a short sketch."""
+    return np.packbits((np.bincount(((members >> np.uint64(20)) & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+
+
+def _possible(percent: int):
+    def run(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            mask = pa.array((100 + percent) * differ <= (100 - percent) * batch.column(4).to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
     return run
 
 
@@ -151,7 +175,10 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int, perc
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = kept(ids.join(reps, "set_id").select(F.col("rep").alias("id")), "wanted")
     texts = docs.join(bounded(wanted), "id", "left_semi").select("text")
-    sets = kept(texts.mapInArrow(_sets(words), "set_id long, members array<long>").dropDuplicates(["set_id"]), "sets")
+    sets = kept(texts.mapInArrow(_sets(words), "set_id long, members array<long>, sketch binary, size long").dropDuplicates(["set_id"]), "sets")
+    left, right = (sets.select(F.col("set_id").alias(k), F.col("sketch").alias(f"{k}k"), F.col("size").alias(f"{k}n")) for k in "ab")
+    sketched = pairs.join(left, "a").join(right, "b").select("a", "b", "ak", "bk", (F.col("an") + F.col("bn")).alias("sizes"))
+    pairs = kept(sketched.mapInArrow(_possible(percent), "a long, b long"), "possible")
     left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
@@ -172,8 +199,10 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     spark = docs.sparkSession
     docs = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     signed = kept(docs.mapInArrow(_sign(words), _SIGNED), "signed")
-    rows = signed.filter("chunk is null").select("id", "n", "set_id")
-    reps = kept(rows.filter("n > 0 and id is not null").groupBy("set_id").agg(F.min("id").alias("rep")), "reps")
+    rows = signed.filter("chunk is null").select("id", "n", "set_id", *_SKETCH)
+    sets = kept(rows.filter("n > 0 and id is not null").groupBy("set_id").agg(
+        F.min("id").alias("rep"), *[F.max(c).alias(c) for c in _SKETCH]), "reps")
+    reps = sets.select("set_id", "rep")
     sizes = {r["n"]: r["count"] for r in rows.filter(F.col("n") < LARGEST_BOUNDARY).groupBy("n").count().collect()}
     bound = boundary(sizes, percent)
     counts = spark.sparkContext.broadcast(slot_counts(signed))
@@ -189,27 +218,31 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     owners = lists.filter("small = 1").withColumns({"b": F.first("set_id").over(by_size), "m": F.first("n").over(by_size)})
     light = owners.filter(f"set_id <> b and 100 * pos >= {percent} * (n + m - pos)").select(F.col("set_id").alias("a"), "b")
 
-    heavy = lists.filter("small = 0")
-    fits = (f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * "
-            f"(least(pos, q) + 1 + least(n - pos, m - q) - 1) >= {percent} * (n + m)")
-    chain = heavy.withColumns({"b": F.lag("set_id").over(by_size), "m": F.lag("n").over(by_size), "q": F.lag("pos").over(by_size)})
+    heavy = kept(lists.filter("small = 0").join(sets, "set_id").select("token", "set_id", "rep", "n", "pos", *_SKETCH), "heavy")
+    differ = " + ".join(f"bit_count({c} ^ o{c})" for c in _SKETCH)
+    fits = (f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * (least(pos, q) + least(n - pos, m - q)) >= "
+            f"{percent} * (n + m) and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (n + m)")
+    chain = heavy.withColumns({to: F.lag(c).over(by_size) for to, c in [("b", "set_id"), ("m", "n"), ("q", "pos"), *[(f"o{c}", c) for c in _SKETCH]]})
     ordered = [F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")]
     first = kept(chain.filter("b is not null").filter(fits).select(*ordered).distinct(), "pairs")
     links = kept(light.unionByName(_linked(docs, first, reps, words, percent)), "links")
     named = _named(links, reps)
     found = components(named)
 
-    labelled = heavy.join(reps, "set_id").join(found, F.col("rep") == F.col("node"), "left").select(
-        "token", "set_id", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    spans = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+    labelled = heavy.join(found, F.col("rep") == F.col("node"), "left").select(
+        "token", "set_id", "n", "pos", *_SKETCH, F.coalesce("component", "rep").alias("c"))
+    # The pair of a list of two has been judged above.
+    spans = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).filter(
+        "lo <> hi and k > 2").select("token")
     mixed = kept(labelled.join(spans, "token"), "mixed")
-    other = mixed.select("token", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
+    other = mixed.select("token", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"),
+                         *[F.col(c).alias(f"o{c}") for c in _SKETCH])
     second = mixed.join(other, "token").filter("c < d").filter(fits).select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
     second = kept(second, "pairs")
     if second.limit(1).count():
         more = _named(kept(_linked(docs, second, reps, words, percent), "links"), reps)
         found = components(named.unionByName(more))
-    out = rows.join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
+    out = rows.select("id", "n", "set_id").join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
 
