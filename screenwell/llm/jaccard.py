@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels as K
-from .shared import bounded, components, kept
+from .shared import bounded, components, dropped, kept
 
 SLOTS, CHUNK, WIDE = 1 << 19, 1 << 10, 1 << 11
 # What a scanned list entry costs against an enumerated subset, which needs no later check.
@@ -129,8 +129,12 @@ def _entries(words: int, percent: int, bound: int, counts):
 
 def _sets(words: int):
     def run(batches):
+        seen = set()
         for batch in batches:
-            members = [K.shingles(t, words) for t in K.raw(batch.column(0))]
+            # A repeated row gives its set once per task.
+            members = {K.set_key(m): m for m in (K.shingles(t, words) for t in K.raw(batch.column(0)))}
+            members = [m for k, m in members.items() if k not in seen]
+            seen.update(map(K.set_key, members))
             ends = np.cumsum([0] + [len(m) for m in members]).astype(np.int32)
             values = np.concatenate(members).view(np.int64) if members else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([K.set_key(m) for m in members], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
@@ -175,13 +179,18 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int, perc
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
     wanted = kept(ids.join(reps, "set_id").select(F.col("rep").alias("id")), "wanted")
     texts = docs.join(bounded(wanted), "id", "left_semi").select("text")
-    sets = kept(texts.mapInArrow(_sets(words), "set_id long, members array<long>, sketch binary, size long").dropDuplicates(["set_id"]), "sets")
+    sets = kept(texts.mapInArrow(_sets(words), "set_id long, members array<long>, sketch binary, size long"), "sets")
     left, right = (sets.select(F.col("set_id").alias(k), F.col("sketch").alias(f"{k}k"), F.col("size").alias(f"{k}n")) for k in "ab")
     sketched = pairs.join(left, "a").join(right, "b").select("a", "b", "ak", "bk", (F.col("an") + F.col("bn")).alias("sizes"))
-    pairs = kept(sketched.mapInArrow(_possible(percent), "a long, b long"), "possible")
-    left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    pairs = kept(sketched.mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    live = sets.join(bounded(ids), "set_id", "left_semi")
+    left = live.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
+    right = live.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
+    found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    out = kept(found.distinct(), "links")
+    dropped(wanted, sets, pairs)
+    return out
 
 
 def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -208,40 +217,45 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     counts = spark.sparkContext.broadcast(slot_counts(signed))
     entries = docs.filter("id is not null").select("text").mapInArrow(
         _entries(words, percent, bound, counts), "token long, small byte, n int, set_id long, pos int")
-    whole = Window.partitionBy("token")
-    lists = kept(entries.repartition("token").withColumns({"lo": F.min("set_id").over(whole), "hi": F.max("set_id").over(whole)})
-                 .filter("lo <> hi").drop("lo", "hi").dropDuplicates(["token", "small", "set_id"]), "lists")
+    whole, by_size = Window.partitionBy("token"), Window.partitionBy("token").orderBy("n", "set_id")
+    fits = (f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * (least(pos, q) + least(n - pos, m - q)) >= {percent} * (n + m)")
+    lists = entries.repartition("token").withColumns({"lo": F.min("set_id").over(whole), "hi": F.max("set_id").over(whole)}).filter(
+        "lo <> hi").drop("lo", "hi").dropDuplicates(["token", "small", "set_id"])
+    # Most lists hold two sets; their one pair is judged by size and position here.
+    beside = {"k": F.count(F.lit(1)).over(whole), **{f"{to}{c}": f(c).over(by_size) for to, f in (("l", F.lag), ("r", F.lead)) for c in ("n", "pos")}}
+    near = [fits.replace("m", f"{x}n").replace("q", f"{x}pos") for x in "lr"]
+    lists = kept(lists.withColumns(beside).filter(f"small = 1 or k > 2 or ({near[0]}) or ({near[1]})").select(
+        "token", "small", "n", "set_id", "pos", "k"), "lists")
 
     # Small sets: all who share a subset of s members with the smallest owner link with it if the sizes allow; if the
     # smallest does not allow it, no other owner does.
-    by_size = Window.partitionBy("token").orderBy("n", "set_id")
     owners = lists.filter("small = 1").withColumns({"b": F.first("set_id").over(by_size), "m": F.first("n").over(by_size)})
     light = owners.filter(f"set_id <> b and 100 * pos >= {percent} * (n + m - pos)").select(F.col("set_id").alias("a"), "b")
 
-    heavy = kept(lists.filter("small = 0").join(sets, "set_id").select("token", "set_id", "rep", "n", "pos", *_SKETCH), "heavy")
+    heavy = kept(lists.filter("small = 0").join(sets, "set_id").select("token", "set_id", "rep", "n", "pos", "k", *_SKETCH), "heavy")
     differ = " + ".join(f"bit_count({c} ^ o{c})" for c in _SKETCH)
-    fits = (f"100 * least(n, m) >= {percent} * greatest(n, m) and (100 + {percent}) * (least(pos, q) + least(n - pos, m - q)) >= "
-            f"{percent} * (n + m) and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (n + m)")
+    fits += f" and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (n + m)"
     chain = heavy.withColumns({to: F.lag(c).over(by_size) for to, c in [("b", "set_id"), ("m", "n"), ("q", "pos"), *[(f"o{c}", c) for c in _SKETCH]]})
     ordered = [F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")]
     first = kept(chain.filter("b is not null").filter(fits).select(*ordered).distinct(), "pairs")
-    links = kept(light.unionByName(_linked(docs, first, reps, words, percent)), "links")
-    named = _named(links, reps)
+    named = _named(light.unionByName(_linked(docs, first, reps, words, percent)), reps)
     found = components(named)
 
-    labelled = heavy.join(found, F.col("rep") == F.col("node"), "left").select(
+    # The pair of a list of two has been judged above. Of lists with the same sets one is enough, since a similar pair fits at
+    # every shared shingle.
+    labelled = heavy.filter("k > 2").join(found, F.col("rep") == F.col("node"), "left").select(
         "token", "set_id", "n", "pos", *_SKETCH, F.coalesce("component", "rep").alias("c"))
-    # The pair of a list of two has been judged above.
-    spans = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).filter(
-        "lo <> hi and k > 2").select("token")
-    mixed = kept(labelled.join(spans, "token"), "mixed")
+    spans = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"),
+                                          F.count(F.lit(1)).alias("k")).filter("lo <> hi").groupBy("sum", "k").agg(F.min("token").alias("token"))
+    mixed = kept(labelled.join(spans.select("token"), "token"), "mixed")
     other = mixed.select("token", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"),
                          *[F.col(c).alias(f"o{c}") for c in _SKETCH])
-    second = mixed.join(other, "token").filter("c < d").filter(fits).select(*ordered).distinct().join(first, ["a", "b"], "left_anti")
+    second = mixed.join(other, "token").filter("c <> d and (m < n or m = n and b < set_id)").filter(fits).select(*ordered).distinct().join(
+        first, ["a", "b"], "left_anti")
     second = kept(second, "pairs")
     if second.limit(1).count():
-        more = _named(kept(_linked(docs, second, reps, words, percent), "links"), reps)
-        found = components(named.unionByName(more))
+        found = components(named.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
+    dropped(lists, heavy, first, mixed, second, named)
     out = rows.select("id", "n", "set_id").join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))

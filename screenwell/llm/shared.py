@@ -17,6 +17,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by `kept`, once nothing will read them again."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:  # a kept table is one folder
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast `small` if counting shows at most `rows` rows; otherwise it is joined by shuffling."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
@@ -35,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 edges.select("v", "v").distinct())
-        before = state
+        before, last = state, edges
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -43,3 +51,4 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", "m")).filter("u <> v").distinct()
         edges = kept(small, "links")
+        dropped(last)
