@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import kernels as K
 from .shared import bounded, components, dropped, kept
 
-SLOTS, CHUNK, WIDE = 1 << 19, 1 << 10, 1 << 11
+SLOTS, CHUNK = 1 << 19, 1 << 10
 # What a scanned list entry costs against an enumerated subset, which needs no later check.
 SCAN_COST = 6
 LARGEST_BOUNDARY = 24
@@ -55,20 +55,20 @@ def _sign(words: int):
     return run
 
 
-_SKETCH = [f"s{k}" for k in range(4)]
+_SKETCH = [f"s{k}" for k in range(16)]
 _SIGNED = "id long, n long, set_id long, " + "".join(f"{c} long, " for c in _SKETCH) + "chunk int, counts binary"
 
 
 def parities(members: np.ndarray) -> list[int]:
-    """256 parity bits as four longs: bit b tells whether an odd number of members falls to it. Two sets differ in at least as
+    """1024 parity bits as 16 longs: bit b tells whether an odd number of members falls to it. Two sets differ in at least as
     many members as their sketches differ in bits, so a pair can be ruled out without its sets."""
-    bits = np.bincount(((members >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    bits = np.bincount(((members >> np.uint64(20)) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
 def _table(rows, counts):
     n = len(rows if rows is not None else counts)
-    ids, sizes, keys, *sketch = (list(x) for x in zip(*rows)) if rows else ([None] * n,) * 7
+    ids, sizes, keys, *sketch = (list(x) for x in zip(*rows)) if rows else ([None] * n,) * 19
     chunk, data = (list(x) for x in zip(*counts)) if counts else ([None] * n,) * 2
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
                                        *[pa.array(x, pa.int64()) for x in sketch], pa.array(chunk, pa.int32()), pa.array(data, pa.binary())], ["id", "n", "set_id", *_SKETCH, "chunk", "counts"])
@@ -137,25 +137,21 @@ def _sets(words: int):
             seen.update(map(K.set_key, members))
             ends = np.cumsum([0] + [len(m) for m in members]).astype(np.int32)
             values = np.concatenate(members).view(np.int64) if members else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([K.set_key(m) for m in members], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)),
-                                              pa.array([wide_parities(m) for m in members], pa.binary()), pa.array(np.diff(ends).astype(np.int64))],
-                                             ["set_id", "members", "sketch", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([K.set_key(m) for m in members], pa.int64()),
+                                              pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["set_id", "members"])
     return run
 
 
-def wide_parities(members: np.ndarray) -> bytes:
-    """The same over WIDE bits, for sets that would fill a short sketch."""
-    return np.packbits((np.bincount(((members >> np.uint64(20)) & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+def _unlike(left: str, right: str) -> str:
+    """SQL for the members that two sets surely do not share."""
+    return " + ".join(f"bit_count({left}{c} ^ {right}{c})" for c in _SKETCH)
 
 
-def _possible(percent: int):
-    def run(batches):
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
-            differ = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
-            mask = pa.array((100 + percent) * differ <= (100 - percent) * batch.column(4).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-    return run
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, n, m) whose sketches do not rule them out."""
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col("set_id").alias(k), *[F.col(c).alias(k + c) for c in _SKETCH]), k)
+    return pairs.filter(f"(100 + {percent}) * ({_unlike('a', 'b')}) <= (100 - {percent}) * (n + m)").select("a", "b")
 
 
 def _verify(percent: int):
@@ -176,20 +172,15 @@ def _verify(percent: int):
 
 def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids whose sets really are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    ids = pairs.select(F.col("a").alias("set_id")).distinct().union(pairs.select("b").distinct()).distinct()
     wanted = kept(ids.join(reps, "set_id").select(F.col("rep").alias("id")), "wanted")
     texts = docs.join(bounded(wanted), "id", "left_semi").select("text")
-    sets = kept(texts.mapInArrow(_sets(words), "set_id long, members array<long>, sketch binary, size long"), "sets")
-    left, right = (sets.select(F.col("set_id").alias(k), F.col("sketch").alias(f"{k}k"), F.col("size").alias(f"{k}n")) for k in "ab")
-    sketched = pairs.join(left, "a").join(right, "b").select("a", "b", "ak", "bk", (F.col("an") + F.col("bn")).alias("sizes"))
-    pairs = kept(sketched.mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    live = sets.join(bounded(ids), "set_id", "left_semi")
-    left = live.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
-    right = live.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
+    sets = kept(texts.mapInArrow(_sets(words), "set_id long, members array<long>"), "sets")
+    left = sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
     out = kept(found.distinct(), "links")
-    dropped(wanted, sets, pairs)
+    dropped(wanted, sets)
     return out
 
 
@@ -232,30 +223,30 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     owners = lists.filter("small = 1").withColumns({"b": F.first("set_id").over(by_size), "m": F.first("n").over(by_size)})
     light = owners.filter(f"set_id <> b and 100 * pos >= {percent} * (n + m - pos)").select(F.col("set_id").alias("a"), "b")
 
-    heavy = kept(lists.filter("small = 0").join(sets, "set_id").select("token", "set_id", "rep", "n", "pos", "k", *_SKETCH), "heavy")
-    differ = " + ".join(f"bit_count({c} ^ o{c})" for c in _SKETCH)
-    fits += f" and (100 + {percent}) * ({differ}) <= (100 - {percent}) * (n + m)"
-    chain = heavy.withColumns({to: F.lag(c).over(by_size) for to, c in [("b", "set_id"), ("m", "n"), ("q", "pos"), *[(f"o{c}", c) for c in _SKETCH]]})
+    heavy = lists.filter("small = 0")
+    chain = heavy.withColumns({to: F.lag(c).over(by_size) for to, c in (("b", "set_id"), ("m", "n"), ("q", "pos"))}).filter("b is not null").filter(fits)
     ordered = [F.least("set_id", "b").alias("a"), F.greatest("set_id", "b").alias("b")]
-    first = kept(chain.filter("b is not null").filter(fits).select(*ordered).distinct(), "pairs")
+    chain = chain.select(*ordered, "n", "m").dropDuplicates(["a", "b"])  # n + m is all that counts
+    first = kept(_possible(chain, sets, percent), "pairs")
     named = _named(light.unionByName(_linked(docs, first, reps, words, percent)), reps)
     found = components(named)
 
     # The pair of a list of two has been judged above. Of lists with the same sets one is enough, since a similar pair fits at
     # every shared shingle.
-    labelled = heavy.filter("k > 2").join(found, F.col("rep") == F.col("node"), "left").select(
+    labelled = heavy.filter("k > 2").join(sets, "set_id").join(found, F.col("rep") == F.col("node"), "left").select(
         "token", "set_id", "n", "pos", *_SKETCH, F.coalesce("component", "rep").alias("c"))
     spans = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"),
                                           F.count(F.lit(1)).alias("k")).filter("lo <> hi").groupBy("sum", "k").agg(F.min("token").alias("token"))
     mixed = kept(labelled.join(spans.select("token"), "token"), "mixed")
     other = mixed.select("token", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"),
                          *[F.col(c).alias(f"o{c}") for c in _SKETCH])
-    second = mixed.join(other, "token").filter("c <> d and (m < n or m = n and b < set_id)").filter(fits).select(*ordered).distinct().join(
+    second = mixed.join(other, "token").filter("c <> d and (m < n or m = n and b < set_id)").filter(
+        f"{fits} and (100 + {percent}) * ({_unlike('', 'o')}) <= (100 - {percent}) * (n + m)").select(*ordered).distinct().join(
         first, ["a", "b"], "left_anti")
     second = kept(second, "pairs")
     if second.limit(1).count():
         found = components(named.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
-    dropped(lists, heavy, first, mixed, second, named)
+    dropped(lists, first, mixed, second, named)
     out = rows.select("id", "n", "set_id").join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
