@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, chat, exact, html, jaccard, langid, nbsvm, packing, rules
+from . import bytebpe, chat, exact, html, jaccard, langid, nbsvm, packing, rules, spans
 from .tokenizers import tokenizer_path
 
 QUERIES: dict = {}
@@ -79,6 +79,12 @@ def op7_exact_dedup(spark: SparkSession, table) -> DataFrame:
     return exact.exact_groups(table("documents"), capacity=32_768)
 
 
+@query()
+def op8_substring_dedup(spark: SparkSession, table) -> DataFrame:
+    """The remaining text of every document, with what was removed from it."""
+    return spans.remove_repeats(table("documents"))
+
+
 _CONVERSATIONS = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
