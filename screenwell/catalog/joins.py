@@ -148,9 +148,9 @@ def assign_epoch(t):
     return J.assign_epoch(rows, epochs, "slot", "start", "len", "epoch", "o_orderkey").select("o_orderkey", "epoch")
 
 
-@query("J13", "SELECT event_id, (event_id * 37 - 1000) // 216000 AS epoch FROM events WHERE event_id * 37 >= 1000")
+@query("J13", "SELECT event_id, CASE WHEN event_id * 37 >= 1000 THEN (event_id * 37 - 1000) // 216000 END AS epoch FROM events")
 def fixed_epoch(t):
-    rows = t.events.select("event_id", (F.col("event_id") * 37).alias("slot")).filter("slot >= 1000")
+    rows = t.events.select("event_id", (F.col("event_id") * 37).alias("slot"))
     return rows.select("event_id", J.fixed_epoch("slot", 1000, 216_000).alias("epoch"))
 
 

@@ -12,7 +12,7 @@ from .columns import col
 PRIMES = (2, 3, 5, 7, 11, 13, 17)
 
 
-def radical_inverse(index, base: int, largest: int = 1 << 40) -> Column:
+def radical_inverse(index, base: int, largest: int = (1 << 63) - 1) -> Column:
     """Digits of `index` in `base`, mirrored at the point. `largest` bounds the index."""
     i, power, terms = col(index).cast("long"), 1, []
     while power <= largest:
@@ -21,6 +21,6 @@ def radical_inverse(index, base: int, largest: int = 1 << 40) -> Column:
     return functools.reduce(lambda a, b: a + b, terms)
 
 
-def halton(index, dim: int = 0, largest: int = 1 << 40) -> Column:
+def halton(index, dim: int = 0, largest: int = (1 << 63) - 1) -> Column:
     """The draw for a 0-based index in one dimension."""
     return radical_inverse(col(index) + 1, PRIMES[dim], largest)

@@ -87,8 +87,8 @@ def enumerate_decorations(df: DataFrame, decorations=DECORATIONS) -> DataFrame:
 
 
 def fixed_epoch(slot, start: int, length: int):
-    """Epoch number of a slot when all epochs are equally long."""
-    return F.floor((F.col(slot) - start) / length).cast("long")
+    """Epoch number of a slot when all epochs are equally long; null before the start."""
+    return F.when(F.col(slot) >= start, F.floor((F.col(slot) - start) / length).cast("long"))
 
 
 def assign_epoch(df: DataFrame, epochs: DataFrame, slot: str, start: str, length: str, name: str, ident: str,
