@@ -8,13 +8,20 @@ from ..runtime import fresh_dir
 
 # Rows of one or two longs that may be broadcast (32 MB).
 BROADCAST_ROWS = 2_000_000
+# With it Spark removes a query's shuffle files when the query ends, not when the driver happens to collect its garbage.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """`df` written once to the shared folder and read back: columns can be pruned and a lost executor costs nothing."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_dir(spark, name), spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(*tables: DataFrame) -> None:
