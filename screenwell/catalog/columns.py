@@ -232,19 +232,20 @@ SELECT o_orderkey, {_ORD_SQL} AS ordinal,
        'Discovery #' || o_orderkey || ' — ' || o_orderpriority || ' ' || strftime(o_orderdate, '%Y-%m-%d') AS name FROM orders""")
 def ordinal(t):
     return t.orders.select("o_orderkey", C.ordinal("o_orderkey").alias("ordinal"), C.discovery_name(
-        "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("name"))
+        "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"), "Discovery").alias("name"))
 
 
 @query("P20", """
 SELECT o_orderkey, doc, 'data:application/json;base64,' || base64(encode(doc)) AS uri FROM (SELECT o_orderkey,
- '{"name":"Discovery #' || o_orderkey || '","symbol":"DSC","description":"Order of ' || o_custkey ||
- '","attributes":[{"trait_type":"target_id","value":"' || o_orderpriority || '"},{"trait_type":"discovery_number","value":"' || o_orderkey ||
+ '{"name":"Discovery #' || o_orderkey || '","symbol":"ORD","description":"Order of ' || o_custkey ||
+ '","image":"https://example.org/' || o_orderkey || '.png","external_url":"https://example.org","attributes":[{"trait_type":"target_id","value":"' || o_orderpriority || '"},{"trait_type":"discovery_number","value":"' || o_orderkey ||
  '"}],"properties":{"category":"image","creators":[{"address":"' || o_custkey || '","share":100}]}}' AS doc FROM orders)""")
 def metadata_json(t):
     doc = C.metadata_json(F.concat(F.lit("Discovery #"), F.col("o_orderkey").cast("string")),
                           F.concat(F.lit("Order of "), F.col("o_custkey").cast("string")),
                           {"target_id": F.col("o_orderpriority"), "discovery_number": F.col("o_orderkey")},
-                          F.col("o_custkey").cast("string"))
+                          F.col("o_custkey").cast("string"), "ORD",
+                          F.format_string("https://example.org/%d.png", "o_orderkey"), F.lit("https://example.org"))
     return t.orders.select("o_orderkey", doc.alias("doc")).withColumn("uri", F.regexp_replace(C.data_uri("doc"), "\\s", ""))
 
 

@@ -162,7 +162,7 @@ def decode_records(t):
                     u(F.round(F.col("o_totalprice") * 1_000_000).cast("long"), 8), u("o_custkey", 8),
                     u(F.col("o_orderkey") % 1000, 8), u((F.col("o_orderstatus") == "F").cast("int"), 1), u(F.lit(255), 1),
                     u(F.substring("o_orderpriority", 1, 1).cast("int"), 1), u("o_orderkey", 8))
-    rows = records.decode_records(t.orders.select("o_orderkey", blob.alias("data")), "data", "miner_account", _TAG,
+    rows = records.decode_records(t.orders.select("o_orderkey", blob.alias("data")), "data", "submitter_account", _TAG,
                                   keep=["o_orderkey"])
     return rows.select("o_orderkey", F.hex("owner").alias("owner_hex"), F.col("total_earned").cast("long").alias("total_earned"),
                        F.col("molecules_screened").cast("long").alias("molecules_screened"),

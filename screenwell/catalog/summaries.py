@@ -33,7 +33,7 @@ def fleet_totals(t):
 
 @query("A3", """
 SELECT (SELECT CASE WHEN count(CASE WHEN c_acctbal < -900 THEN 1 END) > 0 THEN count(CASE WHEN c_acctbal < -900 THEN 1 END)
-          ELSE count(CASE WHEN c_nationkey > 0 THEN 1 END) END FROM customer) AS miners,
+          ELSE count(CASE WHEN c_nationkey > 0 THEN 1 END) END FROM customer) AS submitters,
        (SELECT CAST(sum(c_nationkey) AS BIGINT) FROM customer) AS screened, (SELECT CAST(sum(o_custkey) AS BIGINT) FROM orders) AS hits""")
 def network_totals(t):
     return A.network_totals(t.customer, F.col("c_acctbal") < -900, "c_nationkey", t.orders, "o_custkey")
@@ -79,10 +79,12 @@ def user_decile_threshold(t):
 
 
 @query("A11", f"""
-WITH e AS (SELECT event_id, user_id, value FROM events WHERE {SOURCE_SQL} IN ('zinc15', 'zinc15-fallback', 'mutant', 'generate', 'pulse')),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM e),
+WITH e AS (SELECT event_id, user_id, value, source FROM (SELECT *, {SOURCE_SQL} AS source FROM events) WHERE value IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value) AS k, count(*) OVER (PARTITION BY user_id) AS n
+  FROM e WHERE source IS NULL OR source NOT IN ('ref', 'reference')),
 q AS (SELECT user_id, max(n) AS n, max(CASE WHEN k = greatest(1, CAST(floor(n * 0.1) AS BIGINT)) THEN value END) AS thr FROM r GROUP BY 1)
-SELECT event_id, n < 10 OR value <= thr AS qualifies FROM e JOIN q USING (user_id)""")
+SELECT event_id, n < 10 OR value <= thr AS qualifies FROM e JOIN q ON e.user_id IS NOT DISTINCT FROM q.user_id
+WHERE source IN ('zinc15', 'zinc15-fallback', 'mutant', 'generate', 'pulse')""")
 def discovery_gate(t):
     rows = t.events.withColumn("source", source_of())
     return A.discovery_gate(rows, "user_id", "value", "source").select("event_id", "qualifies")
@@ -342,18 +344,23 @@ def minus_submitted(t):
 
 
 @query("U4", """
-SELECT uniprot_id, row_number() OVER (PARTITION BY uniprot_id ORDER BY side, doc_id) - 1 AS pos, CAST(doc_id AS VARCHAR) AS header,
+WITH s AS (SELECT lang, doc_id, CASE doc_id % 3 WHEN 0 THEN 'query' WHEN 1 THEN '101' ELSE CAST(doc_id AS VARCHAR) END AS header FROM documents WHERE n_chars >= 2000),
+  f AS (SELECT lang, min(doc_id) AS first FROM s WHERE header NOT IN ('query', '101') GROUP BY 1)
+SELECT uniprot_id, row_number() OVER (PARTITION BY uniprot_id ORDER BY side, doc_id) - 1 AS pos, header,
        CASE side WHEN 0 THEN 'primary' ELSE 'secondary' END AS origin
-FROM (SELECT lang AS uniprot_id, doc_id, 0 AS side FROM documents WHERE n_chars < 2000
-      UNION ALL SELECT lang, doc_id, 1 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE n_chars >= 2000) WHERE r > 1)""")
+FROM (SELECT lang AS uniprot_id, doc_id, CAST(doc_id AS VARCHAR) AS header, 0 AS side FROM documents WHERE n_chars < 2000
+      UNION ALL SELECT lang, doc_id, header, 1 FROM s JOIN f USING (lang) WHERE doc_id >= first)""")
 def merge_msa(t):
     from ..operators.ordering import number_rows
     from ..sources.files import merge_msa as merge
 
-    def side(rows):
+    def side(rows, header):
         placed = number_rows(rows.select(F.col("lang").alias("uniprot_id"), "doc_id"), ["doc_id"], ["uniprot_id"], "p")
-        return placed.select("uniprot_id", (F.col("p") - 1).cast("int").alias("pos"), F.col("doc_id").cast("string").alias("header"))
-    out = merge(side(t.documents.filter("n_chars < 2000")), side(t.documents.filter("n_chars >= 2000")))
+        return placed.select("uniprot_id", (F.col("p") - 1).cast("int").alias("pos"), header.alias("header"))
+    own = F.col("doc_id").cast("string")
+    third = F.col("doc_id") % 3
+    out = merge(side(t.documents.filter("n_chars < 2000"), own),
+                side(t.documents.filter("n_chars >= 2000"), F.when(third == 0, "query").when(third == 1, "101").otherwise(own)))
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 

@@ -188,19 +188,21 @@ def ordinal(number) -> Column:
     return F.concat(n.cast("string"), suffix)
 
 
-def discovery_name(number, target, day, label: str = "Discovery") -> Column:
+def discovery_name(number, target, day, label: str) -> Column:
     return F.concat(F.lit(f"{label} #"), col(number).cast("string"), F.lit(" — "), col(target),
                     F.lit(" "), col(day))
 
 
 def metadata_json(name: Column, description: Column, traits: dict[str, Column], creator: Column,
-                  symbol: str = "DSC") -> Column:
-    """Metadata document: name, symbol, description, trait list and one creator with full share."""
+                  symbol: str, image: Column | None = None, external_url: Column | None = None) -> Column:
+    """Metadata document: name, symbol, description, links if given, trait list and one creator with full share."""
     attributes = F.array(*[F.struct(F.lit(k).alias("trait_type"), v.cast("string").alias("value"))
                            for k, v in traits.items()])
     creators = F.array(F.struct(creator.alias("address"), F.lit(100).alias("share")))
+    links = {"image": image, "external_url": external_url}
     return F.to_json(F.struct(
         name.alias("name"), F.lit(symbol).alias("symbol"), description.alias("description"),
+        *[v.alias(k) for k, v in links.items() if v is not None],
         attributes.alias("attributes"),
         F.struct(F.lit("image").alias("category"), creators.alias("creators")).alias("properties")))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import NOVEL_SOURCES, or_general, pct
+from ..functions.columns import NOVEL_SOURCES, REFERENCE_SOURCES, or_general, pct
 from ..runtime import as_list, attach
 from .ordering import rank_pick
 
@@ -25,7 +25,7 @@ def network_totals(accounts: DataFrame, registered: Column, screened: str, activ
                            F.count(F.when(F.col(screened) > 0, 1)).alias("__active"),
                            F.sum(screened).alias("screened"))
     total = activity.agg(F.sum(hits)).scalar()
-    return members.select(F.when(F.col("__reg") > 0, F.col("__reg")).otherwise(F.col("__active")).alias("miners"),
+    return members.select(F.when(F.col("__reg") > 0, F.col("__reg")).otherwise(F.col("__active")).alias("submitters"),
                           "screened", total.alias("hits"))
 
 
@@ -76,11 +76,15 @@ def decile_threshold(df: DataFrame, key: str, value: str, q: float = 0.10, min_n
 
 
 def discovery_gate(df: DataFrame, key: str, value: str, source: str, novel=NOVEL_SOURCES, q: float = 0.10,
-                   min_n: int = 10, **how) -> DataFrame:
-    """Novel rows at or below their key's threshold; every novel row of a key that is still short."""
-    fresh = df.filter(F.col(source).isin(*novel) & F.col(value).isNotNull())
-    limits = decile_threshold(fresh, key, value, q, min_n, **how)
-    return fresh.join(limits, key).withColumn(
+                   min_n: int = 10, reference=REFERENCE_SOURCES, **how) -> DataFrame:
+    """Novel rows at or below their key's threshold; every novel row of a key that is still short.
+
+    The threshold comes from all rows that are no reference, novel or not, a null source included.
+    """
+    valued = df.filter(F.col(value).isNotNull())
+    history = valued.filter(F.col(source).isNull() | ~F.col(source).isin(*reference))
+    limits = decile_threshold(history.select(key, value), key, value, q, min_n, **how)
+    return attach(valued.filter(F.col(source).isin(*novel)), limits, [key], "inner").withColumn(
         "qualifies", (F.col("n") < min_n) | (F.col(value) <= F.col("threshold")))
 
 
@@ -139,7 +143,7 @@ def daily_report(df: DataFrame, day: Column, target: str, affinity: str, hit: Co
                  F.min(affinity).alias("best_affinity")))
 
 
-def leaderboard(df: DataFrame, miner: str, reward: str, n: int) -> DataFrame:
-    """The top miners by reward; ties go to the smaller name."""
-    totals = df.groupBy(miner).agg(F.count(F.lit(1)).alias("hits"), F.sum(reward).alias("earned"))
-    return totals.orderBy(F.desc("earned"), F.asc(miner)).limit(n)
+def leaderboard(df: DataFrame, submitter: str, reward: str, n: int) -> DataFrame:
+    """The top submitters by reward; ties go to the smaller name."""
+    totals = df.groupBy(submitter).agg(F.count(F.lit(1)).alias("hits"), F.sum(reward).alias("earned"))
+    return totals.orderBy(F.desc("earned"), F.asc(submitter)).limit(n)

@@ -14,15 +14,15 @@ def salted_join(left: DataFrame, right: DataFrame, on, how: str = "left", salts:
     on = as_list(on)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(how)
-    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    hashable = [c for c, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
+    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*hashable), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def enrich(df: DataFrame, dim: DataFrame, on, small: int = 100_000) -> DataFrame:
-    """Left join to a dimension: broadcast when a count proves it small, salted beyond that."""
-    hinted = at_most(dim, small)
-    return df.join(F.broadcast(dim), as_list(on), "left") if hinted else salted_join(df, dim, on)
+    """Left join to a dimension: broadcast when a count proves it small; beyond that AQE splits skewed keys."""
+    return df.join(F.broadcast(dim) if at_most(dim, small) else dim, as_list(on), "left")
 
 
 def registered(df: DataFrame, members: DataFrame, on) -> DataFrame:

@@ -20,10 +20,10 @@ HIT_TIERS = ((1000, Decimal("0.50")), (100, Decimal("0.75")))
 MONEY = "decimal(20,6)"
 
 
-def weekly_leaders(df: DataFrame, week: str, target: str, miner: str, affinity: str, tie) -> DataFrame:
+def weekly_leaders(df: DataFrame, week: str, target: str, submitter: str, affinity: str, tie) -> DataFrame:
     """The lowest affinity of each week and target, and who reached it."""
     best = top_per_key(df, [week, target], [affinity, *as_list(tie)], 1)
-    return best.select(week, target, F.col(miner).alias("leader"), F.col(affinity).alias("leader_affinity"))
+    return best.select(week, target, F.col(submitter).alias("leader"), F.col(affinity).alias("leader_affinity"))
 
 
 def bonus_due(leaders: DataFrame, week: str, current_week, paid: DataFrame, keys) -> DataFrame:
@@ -41,8 +41,8 @@ def base_reward(tier, is_reference=None, rewards=TIER_REWARD, flat=REFERENCE_REW
     return reward if is_reference is None else F.when(is_reference, flat).otherwise(reward)
 
 
-def earnings(df: DataFrame, miner: str, reward: Column) -> DataFrame:
-    return df.groupBy(miner).agg(F.count(F.lit(1)).alias("hits"), F.sum(reward).alias("earned"))
+def earnings(df: DataFrame, submitter: str, reward: Column) -> DataFrame:
+    return df.groupBy(submitter).agg(F.count(F.lit(1)).alias("hits"), F.sum(reward).alias("earned"))
 
 
 def hit_multiplier(prior) -> Column:

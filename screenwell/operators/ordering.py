@@ -62,6 +62,7 @@ def running(df: DataFrame, specs: list[Running], order, keys=(), *,
     by = [*keys, BLOCK]
     win = W.partitionBy(*by).orderBy(*sort_cols(order))
     rows = rows.select("*", *[_local(s, win).alias(s.out) for s in specs])
+    kinds = {s.out: rows.schema[s.out].dataType for s in specs}
 
     ascending = not any(o.lower().endswith(" desc") for o in order)
     at = F.struct(*sort_names(order))
@@ -74,8 +75,10 @@ def running(df: DataFrame, specs: list[Running], order, keys=(), *,
         elif ascending:
             totals.append(F.max_by(F.col(s.col), F.when(F.col(s.col).isNotNull(), at))
                           .alias(f"__t_{s.out}"))
-        else:
-            raise ValueError("a running 'last' needs an ascending order")
+        else:  # the block's last value, found in order
+            rows = rows.withColumn(f"__l_{s.out}", F.last(s.col, ignorenulls=True).over(
+                win.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+            totals.append(F.first(f"__l_{s.out}", ignorenulls=True).alias(f"__t_{s.out}"))
     source = rows.groupBy(*by).agg(*totals)
 
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
@@ -90,7 +93,7 @@ def running(df: DataFrame, specs: list[Running], order, keys=(), *,
             merged = F.coalesce(own, prev)
         else:
             merged = F.when(prev.isNull(), own).otherwise(F.coalesce(own, F.lit(0)) + prev)
-        out = out.withColumn(s.out, merged)
+        out = out.withColumn(s.out, merged.cast(kinds[s.out]))
     return out.select(*df.columns, *[s.out for s in specs])
 
 

@@ -119,6 +119,7 @@ def running_quantile_gate(df: DataFrame, key: str, order, value: str, ident: str
     same as being at or below the quantile. Smaller-and-earlier pairs are counted by cutting time
     into blocks and values into buckets: inside a block, inside a bucket across blocks, and by a
     two-way prefix sum over whole block/bucket cells. Every task holds one block or one bucket.
+    A row without a value has no counts and does not qualify.
     """
     lean = df.filter(F.col(value).isNotNull()).select(
         ident, F.col(key).alias("__k"), *[F.col(o).alias(f"__o{i}") for i, o in enumerate(sort_names(order))],
@@ -148,7 +149,7 @@ def running_quantile_gate(df: DataFrame, key: str, order, value: str, ident: str
     verdict = counted.select(
         ident, n.alias("n_so_far"), F.col("__below").alias("n_below"),
         ((n < min_n) | (F.col("__below") < F.greatest(F.lit(1), F.floor(n * q)))).alias("qualifies"))
-    return df.join(verdict, ident)
+    return attach(df, verdict, [ident]).withColumn("qualifies", F.coalesce("qualifies", F.lit(False)))
 
 
 # --- throttle ---------------------------------------------------------------------------------
@@ -210,17 +211,17 @@ def throttle(df: DataFrame, key: str, ts_micros: str, interval: int, order=(), *
     marked = materialise(nodes.groupBy(key).agg(F.min("__at").alias("__at")))
     size = marked.count()
     while True:
-        reached = marked.join(jump, [key, "__at"]).select(key, F.col("__next").alias("__at"))
+        reached = attach(marked, jump, [key, "__at"], "inner").select(key, F.col("__next").alias("__at"))
         marked = materialise(marked.unionByName(reached).distinct())
         grown = marked.count()
         if grown == size:
             break
         size = grown
         onward = jump.select(key, F.col("__at").alias("__next"), F.col("__next").alias("__then"))
-        jump = materialise(jump.join(onward, [key, "__next"]).select(key, "__at", F.col("__then").alias("__next")))
+        jump = materialise(attach(jump, onward, [key, "__next"], "inner").select(key, "__at", F.col("__then").alias("__next")))
 
     entry = marked.select(F.col(key), F.col("__at").alias(ts_micros), F.lit(True).alias("__entry"))
-    rows = placed.join(entry, [key, ts_micros], "left")
+    rows = attach(placed, entry, [key, ts_micros])
     schema = heads.schema
 
     def walk_segment(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -27,19 +27,19 @@ LAYOUTS = {
         ("current_epoch", "u64"), ("epoch_start_slot", "i64"), ("epoch_duration_slots", "u64"),
         ("validators_required", "u8"), ("validation_tolerance", "f32"), ("validators", "keys5"),
         ("validator_count", "u8"), ("bump", "u8"), ("mint_authority_bump", "u8"),
-        ("total_miners_registered", "u64"), ("total_validators_registered", "u64")],
+        ("total_submitters_registered", "u64"), ("total_validators_registered", "u64")],
     "target_account": [
         ("target_id", "u16"), ("uniprot_id", "bytes10"), ("difficulty", "enumEasy|Medium|Hard"),
         ("is_active", "bool"), ("best_score_this_week", "f32"), ("best_scorer_this_week", KEY),
         ("week_number", "u64"), ("hit_count", "u64"), ("bump", "u8")],
-    "miner_account": [
+    "submitter_account": [
         ("owner", KEY), ("total_earned", "u64"), ("molecules_screened", "u64"), ("last_epoch", "u64"),
         ("is_registered", "bool"), ("bump", "u8"), ("submission_count", "u8"), ("submission_epoch", "u64")],
     "job_assignment": [
-        ("miner", KEY), ("target_id", "u16"), ("seq", "u8"), ("epoch", "u64"), ("assigned_slot", "i64"),
+        ("submitter", KEY), ("target_id", "u16"), ("seq", "u8"), ("epoch", "u64"), ("assigned_slot", "i64"),
         ("is_fulfilled", "bool"), ("bump", "u8")],
     "result_submission": [
-        ("miner", KEY), ("target_id", "u16"), ("epoch", "u64"), ("smiles", "bytes512"),
+        ("submitter", KEY), ("target_id", "u16"), ("epoch", "u64"), ("smiles", "bytes512"),
         ("smiles_len", "u16"), ("claimed_affinity", "f32"), ("submitted_slot", "i64"),
         ("status", "enumPending|Validating|Confirmed|Rejected"), ("validation_count", "u8"),
         ("validation_score_sum", "f32"), ("validator_list", "keys5"), ("reward_minted", "bool"),
@@ -49,7 +49,7 @@ LAYOUTS = {
         ("validator", KEY), ("result_pda", KEY), ("rescored_affinity", "f32"), ("is_confirmed", "bool"),
         ("validated_slot", "i64"), ("bump", "u8")],
     "weekly_leaderboard": [
-        ("week", "u64"), ("target_id", "u16"), ("leader_miner", KEY), ("leader_score", "f32"),
+        ("week", "u64"), ("target_id", "u16"), ("leader_submitter", KEY), ("leader_score", "f32"),
         ("bonus_minted", "bool"), ("bump", "u8")],
     "validator_account": [
         ("validator", KEY), ("total_validations", "u64"), ("confirmations", "u64"),

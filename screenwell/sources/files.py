@@ -136,13 +136,15 @@ def target_defaults(targets: DataFrame, threshold: float = -7.0, tier: int = 9)
 def read_reference_compounds(spark: SparkSession, path, whole_files: bool = True) -> DataFrame:
     """One reference molecule per target; the last entry of the document wins."""
     raw = spark.read.schema(as_schema(schemas.REFERENCE_COMPOUNDS)).option("multiLine", whole_files).json(path)
-    return last_compound(raw)
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return last_compound(raw.select("compounds", at.alias("at")))
 
 
 def last_compound(documents: DataFrame) -> DataFrame:
-    return (documents.select(F.posexplode("compounds").alias("pos", "c"))
+    """The last compound of every target by (`at`, place in the document); `at` orders the documents."""
+    return (documents.select("at", F.posexplode("compounds").alias("pos", "c"))
             .groupBy(F.col("c.target_id").alias("target_id"))
-            .agg(F.max_by("c.smiles", "pos").alias("smiles")))
+            .agg(F.max_by("c.smiles", F.struct("at", "pos")).alias("smiles")))
 
 
 def read_activity_pages(spark: SparkSession, path) -> DataFrame:
@@ -182,17 +184,22 @@ def file_inventory(files: DataFrame, least: int = 1024) -> DataFrame:
                      F.avg(size).alias("avg_bytes"))
 
 
+# Fixed value: headers of the query itself in an alignment.
+QUERY_HEADER = "^(query|101)$"
+
+
 def merge_msa(primary: DataFrame, secondary: DataFrame, key: str = "uniprot_id") -> DataFrame:
-    """Primary alignment, then the secondary without its leading query record.
+    """Primary alignment, then the secondary from its first record on that is not a query record.
 
-    A key that only one side holds comes from that side whole.
+    Query records later in the secondary stay. A key that only one side holds comes from that side whole.
     """
-    both = primary.select(key).distinct().withColumn("__has", F.lit(True))
-    rest = (attach(secondary, both, [key]).filter(F.col("__has").isNull() | (F.col("pos") > 0)).drop("__has"))
     depth = primary.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    shifted = (attach(rest, depth, [key])
+    hit = ~F.coalesce(F.trim("header").rlike(QUERY_HEADER), F.lit(False))
+    first = secondary.filter(hit).groupBy(key).agg(F.min("pos").alias("__first"))
+    shifted = (attach(attach(secondary, depth, [key]), first, [key])
+               .filter(F.col("__n").isNull() | (F.col("pos") >= F.col("__first")))
                .withColumn("pos", F.when(F.col("__n").isNull(), F.col("pos"))
-                           .otherwise(F.col("pos") - 1 + F.col("__n")).cast("int")).drop("__n"))
+                           .otherwise(F.col("pos") - F.col("__first") + F.col("__n")).cast("int")).drop("__n", "__first"))
     return (primary.withColumn("origin", F.lit("primary"))
             .unionByName(shifted.withColumn("origin", F.lit("secondary"))))
 

@@ -93,17 +93,17 @@ def test_quantile_gate(spark, block):
 @pytest.mark.parametrize("group", [500_000, 13])
 def test_throttle(spark, interval, group):
     rnd = random.Random(interval)
-    rows = [(i, "hot" if rnd.random() < 0.8 else "b", rnd.randrange(900)) for i in range(400)]
+    rows = [(i, rnd.choice(["hot", "hot", "hot", "b", None]), rnd.randrange(900)) for i in range(400)]
     df = spark.createDataFrame(rows, "id long, key string, ts long")
     how = {} if group > 1000 else {"partitions": 4}
-    got = sorted((r["key"], r["ts"], r["id"]) for r in W.throttle(df, "key", "ts", interval, "id", group_rows=group, **how).collect())
+    got = sorted((r["key"] or "", r["ts"], r["id"]) for r in W.throttle(df, "key", "ts", interval, "id", group_rows=group, **how).collect())
     want, last = [], {}
     for i, key, ts in sorted(rows, key=lambda r: (r[2], r[0])):
         if key not in last or ts >= last[key] + interval:
             if key in last and ts == last[key]:
                 continue
             last[key] = ts
-            want.append((key, ts, i))
+            want.append((key or "", ts, i))
     assert got == sorted(want)
 
 
@@ -152,7 +152,33 @@ def test_assign_epoch_leaves_gaps_empty(spark, how):
     assert got == {0: 1, 9: 1, 10: 2, 14: 2, 15: None, 99: None, 100: 3, 109: 3, 110: None}
 
 
-def test_last_known_refuses_descending_blocks(spark):
-    _, df = log(spark)
-    with pytest.raises(ValueError):
-        last_known(df, "ref", ["ts desc", "id"], ["key"], **SPLIT)
+@pytest.mark.parametrize("how", [{}, SPLIT])
+def test_last_known_descending(spark, how):
+    rows, df = log(spark)
+    got = {r["id"]: r["last"] for r in last_known(df, "ref", ["ts desc", "id"], ["key"], **how).collect()}
+    state, want = {}, {}
+    for i, key, _, ref, _ in sorted(rows, key=lambda r: (-r[2], r[0])):
+        state[key] = want[i] = ref if ref is not None else state.get(key)
+    assert got == want
+
+
+def test_both_paths_give_one_schema(spark):
+    df = spark.sql("SELECT id, id % 2 AS k, CAST(id AS DECIMAL(20, 6)) AS v, map('a', id) AS m FROM range(20)")
+    window, blocks = (running(df, [Running("s", "sum", "v")], ["id"], ["k"], **how) for how in ({}, SPLIT))
+    assert window.schema["s"].dataType == blocks.schema["s"].dataType
+    dim = spark.range(2).selectExpr("id AS k", "id * 10 AS x")
+    small, large = (sorted((r["id"], r["x"]) for r in J.enrich(df, dim, "k", n).collect()) for n in (10, 1))
+    assert small == large and len(small) == 20
+
+
+def test_quantile_gate_keeps_rows_without_a_value(spark):
+    df = spark.createDataFrame([(1, "k", 1, 5.0), (2, "k", 2, None)], "id long, key string, ts long, v double")
+    got = {r["id"]: r["qualifies"] for r in W.running_quantile_gate(df, "key", ["ts", "id"], "v", "id").collect()}
+    assert got == {1: True, 2: False}
+
+
+def test_gate_history_holds_all_but_references(spark):
+    rows = [(i, "t", float(i % 5), "sweep") for i in range(20)] + [(20, "t", 15.0, "mutant"), (21, "t", -9.0, "ref"), (22, "t", 0.0, "mutant")]
+    df = spark.createDataFrame(rows, "id long, target string, v double, source string")
+    got = {r["id"]: (r["n"], r["qualifies"]) for r in A.discovery_gate(df, "target", "v", "source").collect()}
+    assert got == {20: (22, False), 22: (22, True)}

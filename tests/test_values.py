@@ -144,6 +144,11 @@ def test_merge_alignments(spark):
     b = side([("P", 0, "query", "MK"), ("P", 1, "b1", "K"), ("Q", 0, "query", "L")])
     got = sorted((r["uniprot_id"], r["pos"], r["header"]) for r in files.merge_msa(a, b).collect())
     assert got == [("P", 0, "query"), ("P", 1, "a1"), ("P", 2, "b1"), ("Q", 0, "query")]
+    b = side([("P", 0, "b0", "MK"), ("P", 1, "101", "K")])
+    got = sorted((r["uniprot_id"], r["pos"], r["header"]) for r in files.merge_msa(a, b).collect())
+    assert got == [("P", 0, "query"), ("P", 1, "a1"), ("P", 2, "b0"), ("P", 3, "101")]
+    b = side([("P", 0, "query", "MK"), ("P", 1, "101", "K")])
+    assert files.merge_msa(a, b).count() == 2
 
 
 def test_telemetry(spark):
