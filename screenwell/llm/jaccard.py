@@ -245,7 +245,9 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
         first, ["a", "b"], "left_anti")
     second = kept(second, "pairs")
     if second.limit(1).count():
-        found = components(named.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
+        # Those found so far are stars already, so few rounds remain.
+        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = components(stars.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
     dropped(lists, first, mixed, second, named)
     out = rows.select("id", "n", "set_id").join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
