@@ -192,8 +192,8 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     (exact copies) count as one set throughout. Rows with a null id have a null component; rows that repeat an id share one.
     Other columns are ignored; an empty table gives an empty result.
 
-    Candidates of large sets come in two rounds: neighbours in each inverted list first, then only pairs of different
-    components, so that a mass of near copies is not paired with itself. Every pair that shares a prefix shingle is either
+    Candidates of large sets come in rounds: neighbours in each inverted list first, then only pairs of different components,
+    in the longest list of each set before all lists, so that a mass of near copies is not paired with itself. Every pair that shares a prefix shingle is either
     checked or already in one component; no list is cut.
     """
     spark = docs.sparkSession
@@ -237,18 +237,27 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
         "token", "set_id", "n", "pos", *_SKETCH, F.coalesce("component", "rep").alias("c"))
     spans = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum(F.xxhash64("set_id").cast("decimal(38,0)")).alias("sum"),
                                           F.count(F.lit(1)).alias("k")).filter("lo <> hi").groupBy("sum", "k").agg(F.min("token").alias("token"))
-    mixed = kept(labelled.join(spans.select("token"), "token"), "mixed")
-    other = mixed.select("token", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"),
-                         *[F.col(c).alias(f"o{c}") for c in _SKETCH])
-    second = mixed.join(other, "token").filter("c <> d and (m < n or m = n and b < set_id)").filter(
-        f"{fits} and (100 + {percent}) * ({_unlike('', 'o')}) <= (100 - {percent}) * (n + m)").select(*ordered).distinct().join(
-        first, ["a", "b"], "left_anti")
-    second = kept(second, "pairs")
-    if second.limit(1).count():
-        # Those found so far are stars already, so few rounds remain.
-        stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        found = components(stars.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
-    dropped(lists, first, mixed, second, named)
+    mixed = kept(labelled.join(spans.select("token", "k"), "token"), "mixed")
+    # Near copies of one text meet in many lists. Taken once each, in the longest list of a set, most of them are joined; then
+    # all lists are taken, which are left with the pairs of what are still different components.
+    top = mixed.groupBy("set_id").agg(F.max(F.struct("k", "token")).alias("top")).select("set_id", "top.token")
+    checked = first
+    for share in (mixed.join(top, ["set_id", "token"]), mixed):
+        part = share.join(found, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
+        live = part.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
+        part = kept(part.join(live, "token"), "mixed")
+        other = part.select("token", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"),
+                            *[F.col(c).alias(f"o{c}") for c in _SKETCH])
+        second = kept(part.join(other, "token").filter("c <> d and (m < n or m = n and b < set_id)").filter(
+            f"{fits} and (100 + {percent}) * ({_unlike('', 'o')}) <= (100 - {percent}) * (n + m)").select(*ordered).distinct().join(
+            checked, ["a", "b"], "left_anti"), "pairs")
+        if second.limit(1).count():
+            # Those found so far are stars already, so few rounds remain.
+            stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = components(stars.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
+        checked = checked.unionByName(second)
+        dropped(part)
+    dropped(lists, mixed, named, checked)
     out = rows.select("id", "n", "set_id").join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
