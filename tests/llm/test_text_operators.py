@@ -122,6 +122,11 @@ def test_spans(spark):
     assert b"".join(spans.sentences(passage.encode())) == passage.encode()
     kept = {r["doc_id"] for r in spans.cut_repeats(table(spark, [*rows, (9, passage)])).collect()}
     assert kept == {1, 2, 3, 4, 5, None}
+    own = [(1, f"Alpha. {passage} Middle part. {passage} End."), (2, passage), (2, passage), (3, passage), (3, None)]
+    got = sorted((r["doc_id"], r["text"] or "") for r in spans.remove_repeats(table(spark, own)).collect())
+    assert [(i, t.split()) for i, t in got] == [(1, f"Alpha. {passage} Middle part. End.".split()), (2, []), (2, []), (3, []), (3, [])]
+    assert sorted((r["doc_id"], r["n"]) for r in spans.cut_repeats(table(spark, own)).collect()) == [(1, 0), (3, 0)]
+    assert spans.remove_repeats(table(spark, [])).count() == 0
 
 
 def test_packing(spark, odd):
