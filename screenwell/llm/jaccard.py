@@ -241,7 +241,7 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
     # Near copies of one text meet in many lists. Taken once each, in the longest list of a set, most of them are joined; then
     # all lists are taken, which are left with the pairs of what are still different components.
     top = mixed.groupBy("set_id").agg(F.max(F.struct("k", "token")).alias("top")).select("set_id", "top.token")
-    checked = first
+    checked, spent = first, [lists, first, mixed, named]
     for share in (mixed.join(top, ["set_id", "token"]), mixed):
         part = share.join(found, F.col("c") == F.col("node"), "left").withColumn("c", F.coalesce("component", "c")).drop("node", "component")
         live = part.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("token")
@@ -256,8 +256,9 @@ def jaccard_components(docs: DataFrame, ident: str = "doc_id", text: str = "text
             stars = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = components(stars.unionByName(_named(_linked(docs, second, reps, words, percent), reps)))
         checked = checked.unionByName(second)
+        spent.append(second)
         dropped(part)
-    dropped(lists, mixed, named, checked)
+    dropped(*spent)
     out = rows.select("id", "n", "set_id").join(reps, "set_id", "left").join(found, F.col("rep") == F.col("node"), "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "rep", "id"))
     return out.select(F.col("id").alias(ident), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
