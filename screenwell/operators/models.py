@@ -131,7 +131,8 @@ def prescreen(df: DataFrame, models: dict, target: str, key: str, n: int = KEEP,
 
 def prescreen_pool(df: DataFrame, models: dict, report: DataFrame, target: str, key: str, pool: int = POOL,
                    n: int = KEEP, trusted: float = TRUSTED_R2, seed: int = 42) -> DataFrame:
-    """Pre-screen a sampled pool, only with models whose R2 is trusted."""
+    """Pre-screen a sampled pool, only with models whose R2 is trusted; a target without one gets no row."""
     good = {r[0] for r in report.filter((F.col("status") == "ready") & (F.col("r2") >= trusted)).select(target).collect()}
-    return prescreen(sample_n(df, key, pool, seed), {t: m for t, m in models.items() if t in good}, target, key, n,
-                     seed=seed)
+    used = {t: m for t, m in models.items() if t in good}
+    drawn = sample_n(df, key, pool, seed).filter(F.col(target).isin(list(used)))
+    return prescreen(drawn, used, target, key, n, seed=seed)

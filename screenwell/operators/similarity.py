@@ -43,15 +43,16 @@ def _held(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def _rarity(sides: list[DataFrame], fp: str) -> Column:
-    """Token counts by hash slot as one constant array: at most 65 536 numbers reach the driver."""
+    """The rank of each hash slot by its token count as one constant array: at most 65 536 numbers reach the driver, and a
+    rank stays small however many tokens a slot holds."""
     tokens = None
     for side in sides:
         part = side.select(F.explode(fp).alias("t"))
         tokens = part if tokens is None else tokens.unionAll(part)
     slots = tokens.groupBy(F.pmod(F.col("t"), F.lit(_FREQUENCY_SLOTS)).alias("slot")).count().collect()
     table = [0] * _FREQUENCY_SLOTS
-    for slot, n in slots:
-        table[slot] = n
+    for rank, (slot, _) in enumerate(sorted(slots, key=lambda r: (r[1], r[0])), start=1):
+        table[slot] = rank
     return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")
 
 
