@@ -214,3 +214,10 @@ def test_registry_keeps_first(spark):
     old = spark.createDataFrame([("a", 1)], "smiles string, n int")
     new = spark.createDataFrame([(" a ", 2), ("b", 4), (" b", 3), ("  ", 9)], "smiles string, n int")
     assert sorted(map(tuple, sinks.register_new(old, new, "smiles", ["n"]).collect())) == [("a", 1), ("b", 3)]
+
+
+def test_untrusted_target_has_no_pool(spark):
+    from screenwell.operators import models
+    rows = spark.createDataFrame([(k, k % 2) for k in range(20)], "vec_id long, target long")
+    report = spark.createDataFrame([(0, "ready", 0.1), (1, "failed", None)], "target long, status string, r2 double")
+    assert models.prescreen_pool(rows, {}, report, "target", "vec_id").count() == 0
