@@ -1,25 +1,33 @@
-"""Main text of web pages by a suffix array over each host's pages.
+"""Main text of web pages by the runs of tokens that the pages of a host share.
 
-The token streams of a host's pages are laid end to end and their suffixes sorted by prefix doubling. Runs of tokens that
-occur on distinct pages are boilerplate; unique runs stay. Landmarks of the page complete this: what lies in menus, forms,
-footers and the like goes even where no other page repeats it, and the article stays even where a mirror repeats it.
+Every run of 2^DOUBLINGS tokens is hashed with its host. Batches of pages send their distinct hashes to buckets, ranges of the
+hash; a bucket counts the pages of each and answers one bit a hash. So a run is found on however many pages and in however large
+a host it repeats, and a common one costs a row a batch. Runs on distinct pages are boilerplate; unique runs stay. Landmarks of
+the page complete this: what lies in menus, forms, footers and the like goes even where no other page repeats it, and the
+article stays even where a mirror repeats it.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from html import unescape
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernels as K
-from .shared import bounded
+from .shared import kept
 
 # Doubling steps: runs of 2^3 tokens and more count as long.
 DOUBLINGS = 3
+WIDTH = 1 << DOUBLINGS
+# Bytes of pages in a batch and hashes in a bucket: both bound a task's memory and decide no result.
 SHARD_BYTES = 8 << 20
+BUCKET_KEYS = 1 << 20
 
 BOILERPLATE, ARTICLE, OPEN = 0, 1, 2
 # Elements of the HTML standard by what they are for.
@@ -81,74 +89,151 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
     return out
 
 
-def repeated_runs(tokens: np.ndarray, page: np.ndarray) -> np.ndarray:
-    """True for tokens inside a run of 2^DOUBLINGS tokens that occurs on two distinct pages. Ranks double as in suffix sorting, so
-    each step costs one sort; runs that leave their page match nothing."""
-    n = len(tokens)
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    for _ in range(DOUBLINGS):
-        later = np.full(n, -1, np.int64)
-        later[:max(0, n - width)] = rank[width:]
-        rank = np.unique(rank * (n + 1) + later + 1, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    whole = np.zeros(n, bool)
-    if n >= width:
-        whole[:n - width + 1] = page[width - 1:] == page[:n - width + 1]
-    order = np.lexsort((page, rank))  # the suffix array, as far as it is needed
-    order = order[whole[order]]
-    same = rank[order[1:]] == rank[order[:-1]]
-    other = same & (page[order[1:]] != page[order[:-1]])
-    # A group of equal prefixes repeats if two neighbours in it lie on different pages.
-    group = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.empty(0, np.int64)
-    hit = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-    hit[group[1:][other]] = True
-    starts = order[hit[group]] if len(order) else order
-    marks = np.zeros(n + 1, np.int64)
-    np.add.at(marks, starts, 1)
-    np.add.at(marks, np.minimum(starts + width, n), -1)
-    return np.cumsum(marks)[:n] > 0
-
-
-def extract_host(pages: pd.DataFrame) -> pd.DataFrame:
-    """The texts of pages of one host."""
-    found = [blocks(h) for h in pages["html"]]
-    words = [[t.split(" ") for _, t in page] for page in found]
-    flat = [w for page in words for block in page for w in block]
-    sizes = [sum(map(len, page)) for page in words]
-    covered = repeated_runs(K.hash_all([w.encode() for w in flat]), np.repeat(np.arange(len(sizes)), sizes)) if flat else np.empty(0, bool)
-    texts, repeated, at = [], [], 0
-    for page, split in zip(found, words):
-        has_article = any(kind == ARTICLE for kind, _ in page)
-        kept, n = [], 0
-        for (kind, text), block in zip(page, split):
-            hit = covered[at:at + len(block)]
-            at += len(block)
-            n += int(hit.sum())
-            if kind == ARTICLE:
-                kept.append(text)
-            elif kind == OPEN and not has_article and not hit.all():
-                kept.append(" ".join(w for w, h in zip(block, hit) if not h))
-        texts.append(" ".join(kept))
-        repeated.append(n)
-    return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts],
-                         "n_repeated": repeated})
+class Batch:
+    """The pages of one row of `packed`, their tokens end to end, and the hash of every run of WIDTH tokens within a page."""
+
+    def __init__(self, blob: bytes):
+        self.pages = json.loads(zstandard.decompress(blob))
+        found = [page[3] for page in self.pages]
+        self.words = [[text.split(" ") for _, text in page] for page in found]
+        flat = [w for page in self.words for block in page for w in block]
+        self.page = np.repeat(np.arange(len(found)), [sum(map(len, page)) for page in self.words])
+        hosts = K.hash_all([page[2].encode() for page in self.pages])
+        runs = K.windows(K.hash_all([w.encode() for w in flat]), WIDTH)
+        last = len(runs)
+        self.starts = np.flatnonzero(self.page[:last] == self.page[WIDTH - 1:]) if last else np.empty(0, np.int64)
+        self.owner = self.page[self.starts]
+        self.keys, self.key = np.unique(K.mixed(runs[self.starts] ^ K.mixed(hosts[self.owner])) if last else np.empty(0, np.uint64), return_inverse=True)
+
+    def pages_of_keys(self, chosen: np.ndarray) -> np.ndarray:
+        """For each of `keys`, on how many pages a `chosen` run has it; 2 stands for two and more."""
+        key, page = self.key[chosen], self.owner[chosen]
+        least, most = np.full(len(self.keys), len(self.pages)), np.full(len(self.keys), -1)
+        np.minimum.at(least, key, page)
+        np.maximum.at(most, key, page)
+        return (most >= 0).astype(np.uint8) + (most > least)
+
+    def slices(self, used: np.ndarray, buckets: int) -> np.ndarray:
+        """Where the hashes `used` of each bucket begin; buckets are ranges, so their hashes are neighbours."""
+        bucket = (used >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+
+    def send(self, ident: int, used: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
+        cut = self.slices(used, buckets)
+        full = np.flatnonzero(cut[1:] > cut[:-1])
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(full), ident)), pa.array(full), pa.array([used[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary()),
+            pa.array([counts[cut[b]:cut[b + 1]].tobytes() for b in full], pa.binary())], ["batch", "bucket", "keys", "counts"])
+
+    def receive(self, used: np.ndarray, answers, buckets: int) -> np.ndarray:
+        """The buckets' bits, one for each of `used`."""
+        out, cut = np.zeros(len(used), bool), self.slices(used, buckets)
+        for a in answers or ():
+            low, high = cut[a["bucket"]], cut[a["bucket"] + 1]
+            out[low:high] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=high - low)
+        return out
+
+    def covered(self, repeats: np.ndarray) -> np.ndarray:
+        """True for tokens inside a run that `repeats`, one flag for each run."""
+        marks, starts = np.zeros(len(self.page) + 1, np.int64), self.starts[repeats]
+        np.add.at(marks, starts, 1)
+        np.add.at(marks, starts + WIDTH, -1)
+        return np.cumsum(marks)[:-1] > 0
+
+
+def _pack(shard_bytes: int):
+    def run(batches):
+        pages, size, tokens = [], 0, 0
+        for batch in batches:
+            for ident, url, host, html in zip(*(c.to_pylist() for c in batch.columns)):
+                found = blocks(html)
+                pages.append((ident, url, host, found))
+                size += len(html or "")
+                tokens += sum(text.count(" ") + 1 for _, text in found)
+                if size >= shard_bytes:
+                    yield _packed(pages, tokens)
+                    pages, size, tokens = [], 0, 0
+        if pages:
+            yield _packed(pages, tokens)
+    return run
+
+
+def _packed(pages: list, tokens: int) -> pa.RecordBatch:
+    blob = zstandard.compress(json.dumps(pages, ensure_ascii=False, separators=(",", ":")).encode(), 3)
+    return pa.RecordBatch.from_arrays([pa.array([blob], pa.large_binary()).cast(pa.binary()), pa.array([tokens])], ["pages", "tokens"])
+
+
+def _rows(batches):
+    for batch in batches:
+        for row in zip(*batch.columns):
+            yield [v.as_py() for v in row]
+
+
+def _runs(buckets: int):
+    def run(batches):
+        for ident, blob in _rows(batches):
+            b = Batch(blob)
+            yield b.send(ident, b.keys, b.pages_of_keys(np.ones(len(b.key), bool)), buckets)
+    return run
+
+
+def judge(sent: pd.DataFrame) -> pd.DataFrame:
+    """For each batch of a bucket, one bit a hash: whether two pages and more have it."""
+    parts = [np.frombuffer(k, np.uint64) for k in sent["keys"]]
+    key = np.unique(np.concatenate(parts), return_inverse=True)[1]
+    total = np.bincount(key, weights=np.concatenate([np.frombuffer(c, np.uint8) for c in sent["counts"]]))
+    repeats = np.split((total >= 2)[key], np.cumsum([len(p) for p in parts])[:-1])
+    return pd.DataFrame({"batch": sent["batch"].to_numpy(), "bucket": sent["bucket"].to_numpy(), "bits": [np.packbits(r).tobytes() for r in repeats]})
+
+
+def _answered(sent: DataFrame, name: str) -> DataFrame:
+    """Per batch the answers of all buckets: one bit a distinct hash of the batch."""
+    bits = sent.groupBy("bucket").applyInPandas(judge, "batch long, bucket long, bits binary")
+    return bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
+
+
+SENT = "batch long, bucket long, keys binary, counts binary"
+
+
+def _texts(buckets: int):
+    def run(batches):
+        for _, blob, answers in _rows(batches):
+            b = Batch(blob)
+            covered = b.covered(b.receive(b.keys, answers, buckets)[b.key])
+            texts, repeated, at = [], [], 0
+            for (*_, page), split in zip(b.pages, b.words):
+                has_article = any(kind == ARTICLE for kind, _ in page)
+                stay, n = [], 0
+                for (kind, text), block in zip(page, split):
+                    hit = covered[at:at + len(block)]
+                    at += len(block)
+                    n += int(hit.sum())
+                    if kind == ARTICLE:
+                        stay.append(text)
+                    elif kind == OPEN and not has_article and not hit.all():
+                        stay.append(" ".join(w for w, h in zip(block, hit) if not h))
+                texts.append(" ".join(stay))
+                repeated.append(n)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([p[0] for p in b.pages], pa.int64()), pa.array([p[1] for p in b.pages], pa.string()), pa.array(texts, pa.string()),
+                pa.array([len(t) for t in texts], pa.int64()), pa.array(repeated, pa.int64())], ["page_id", "url", "text", "n_chars", "n_repeated"])
+    return run
 
 
 def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row of `pages`: page_id, url, `text`, `n_chars` and `n_repeated`, the page's tokens inside runs other pages repeat.
 
-    Null and empty pages have an empty text. Pages without a host form one host. A host of more than `shard_bytes` is compared
-    in shards of about that size, each with pages enough to show what repeats. Rows that repeat a page are pages of their own;
-    further columns are ignored; an empty table gives an empty result.
+    Null and empty pages have an empty text. Pages without a host form one host. A task reads about `shard_bytes` of pages at
+    a time, which decides no result. Rows that repeat a page are pages of their own; further columns are ignored; an empty
+    table gives an empty result.
     """
-    rows = pages.select(F.col(ident).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
-    rows = rows.withColumn("host", host)
-    large = rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).filter(F.col("bytes") > shard_bytes).select(
-        "host", F.ceil(F.col("bytes") / shard_bytes).alias("shards"))
-    rows = rows.join(bounded(large), "host", "left").withColumn(
-        "shard", F.pmod(F.xxhash64("page_id", "url", "html"), F.coalesce("shards", F.lit(1))))
-    out = rows.select("host", "shard", "page_id", "url", "html").groupBy("host", "shard").applyInPandas(
-        extract_host, "page_id long, url string, text string, n_chars long, n_repeated long")
+    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    rows = pages.select(F.col(ident).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.col(html).alias("html"))
+    packed = rows.mapInArrow(_pack(shard_bytes), "pages binary, tokens long").withColumn("batch", F.monotonically_increasing_id())
+    packed = kept(packed, "pages")
+    tokens = packed.agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(tokens // BUCKET_KEYS + 1, pages.sparkSession.sparkContext.defaultParallelism)
+    seen = kept(_answered(packed.select("batch", "pages").mapInArrow(_runs(buckets), SENT), "seen"), "runs")
+    out = packed.select("batch", "pages").join(seen, "batch", "left").select("batch", "pages", "seen").mapInArrow(
+        _texts(buckets), "page_id long, url string, text string, n_chars long, n_repeated long")
     return out.withColumnRenamed("page_id", ident).withColumnRenamed("url", url)

@@ -211,6 +211,18 @@ def test_html(spark):
     assert [got[10 + k] for k in range(3)] == [f"unique text number {k} of its own kind{k} with{k} words{k}" for k in range(3)]
 
 
+def test_html_repeats_at_any_batch_size(spark):
+    """A run on two pages of many is found however the host is cut; one on a page of another host is not."""
+    shared = " ".join(f"shared{k}" for k in range(9))
+    own = [" ".join(f"own{k}x{i}" for i in range(12)) for k in range(40)]
+    rows = [(k, "http://h.org/" if k < 39 else "http://other.org/", f"<body><p>{o}</p>" + (f"<p>{shared}</p>" if k in (3, 38, 39) else "") + "</body>")
+            for k, o in enumerate(own)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    for size in (1, 700, 1 << 23):
+        got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in html.extract(pages, shard_bytes=size).collect()}
+        assert got == {k: (o + " " + shared, 0) if k == 39 else (o, 9 * (k in (3, 38))) for k, o in enumerate(own)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver tables are absent")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
