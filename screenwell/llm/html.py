@@ -3,8 +3,8 @@
 Every run of 2^DOUBLINGS tokens is hashed with its host. Batches of pages send their distinct hashes to buckets, ranges of the
 hash; a bucket counts the pages of each and answers one bit a hash. So a run is found on however many pages and in however large
 a host it repeats, and a common one costs a row a batch. Runs on distinct pages are boilerplate; unique runs stay. Landmarks of
-the page complete this: what lies in menus, forms, footers and the like goes even where no other page repeats it, and the
-article stays even where a mirror repeats it.
+the page complete this: what lies in menus, forms, footers and the like goes even where no other page repeats it. Within an
+article, a block goes if all of it repeats on several pages that are mostly their own, so that mirrors do not delete each other.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ WIDTH = 1 << DOUBLINGS
 # Bytes of pages in a batch and hashes in a bucket: both bound a task's memory and decide no result.
 SHARD_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 20
+# Blocks of an article go if they repeat on so many articles of which this part repeats at most: two may quote one another.
+ARTICLE_PAGES, ARTICLE_PART = 3, 0.25
 
 BOILERPLATE, ARTICLE, OPEN = 0, 1, 2
 # Elements of the HTML standard by what they are for.
@@ -97,6 +99,7 @@ class Batch:
         found = [page[3] for page in self.pages]
         self.words = [[text.split(" ") for _, text in page] for page in found]
         flat = [w for page in self.words for block in page for w in block]
+        self.inside = np.repeat([kind == ARTICLE for page in found for kind, _ in page], [len(b) for page in self.words for b in page]).astype(bool)
         self.page = np.repeat(np.arange(len(found)), [sum(map(len, page)) for page in self.words])
         hosts = K.hash_all([page[2].encode() for page in self.pages])
         runs = K.windows(K.hash_all([w.encode() for w in flat]), WIDTH)
@@ -106,12 +109,20 @@ class Batch:
         self.keys, self.key = np.unique(K.mixed(runs[self.starts] ^ K.mixed(hosts[self.owner])) if last else np.empty(0, np.uint64), return_inverse=True)
 
     def pages_of_keys(self, chosen: np.ndarray) -> np.ndarray:
-        """For each of `keys`, on how many pages a `chosen` run has it; 2 stands for two and more."""
-        key, page = self.key[chosen], self.owner[chosen]
-        least, most = np.full(len(self.keys), len(self.pages)), np.full(len(self.keys), -1)
-        np.minimum.at(least, key, page)
-        np.maximum.at(most, key, page)
-        return (most >= 0).astype(np.uint8) + (most > least)
+        """For each of `keys`, on how many pages a `chosen` run has it; ARTICLE_PAGES stands for as many and more."""
+        pairs = np.unique(self.key[chosen] * len(self.pages) + self.owner[chosen])
+        return np.minimum(np.bincount(pairs // max(1, len(self.pages)), minlength=len(self.keys)), ARTICLE_PAGES).astype(np.uint8)
+
+    def article_runs(self, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(runs that lie in an article and repeat, those of them on pages whose article is mostly its own)."""
+        before = np.concatenate([[0], np.cumsum(self.inside)])
+        runs = repeats & (before[self.starts + WIDTH] - before[self.starts] == WIDTH)
+        n = len(self.pages)
+        copied = np.bincount(self.page[self.covered(runs)], minlength=n)
+        return runs, runs & (copied <= ARTICLE_PART * np.bincount(self.page[self.inside], minlength=n))[self.owner]
+
+    def keys_of(self, runs: np.ndarray) -> np.ndarray:
+        return np.bincount(self.key[runs], minlength=len(self.keys)) > 0
 
     def slices(self, used: np.ndarray, buckets: int) -> np.ndarray:
         """Where the hashes `used` of each bucket begin; buckets are ranges, so their hashes are neighbours."""
@@ -177,18 +188,28 @@ def _runs(buckets: int):
     return run
 
 
-def judge(sent: pd.DataFrame) -> pd.DataFrame:
-    """For each batch of a bucket, one bit a hash: whether two pages and more have it."""
+def _article_runs(buckets: int):
+    def run(batches):
+        for ident, blob, answers in _rows(batches):
+            b = Batch(blob)
+            runs, own = b.article_runs(b.receive(b.keys, answers, buckets)[b.key])
+            asked = b.keys_of(runs)
+            yield b.send(ident, b.keys[asked], b.pages_of_keys(own)[asked], buckets)
+    return run
+
+
+def judge(sent: pd.DataFrame, pages: int) -> pd.DataFrame:
+    """For each batch of a bucket, one bit a hash: whether `pages` pages and more have it."""
     parts = [np.frombuffer(k, np.uint64) for k in sent["keys"]]
     key = np.unique(np.concatenate(parts), return_inverse=True)[1]
     total = np.bincount(key, weights=np.concatenate([np.frombuffer(c, np.uint8) for c in sent["counts"]]))
-    repeats = np.split((total >= 2)[key], np.cumsum([len(p) for p in parts])[:-1])
+    repeats = np.split((total >= pages)[key], np.cumsum([len(p) for p in parts])[:-1])
     return pd.DataFrame({"batch": sent["batch"].to_numpy(), "bucket": sent["bucket"].to_numpy(), "bits": [np.packbits(r).tobytes() for r in repeats]})
 
 
-def _answered(sent: DataFrame, name: str) -> DataFrame:
-    """Per batch the answers of all buckets: one bit a distinct hash of the batch."""
-    bits = sent.groupBy("bucket").applyInPandas(judge, "batch long, bucket long, bits binary")
+def _answered(sent: DataFrame, pages: int, name: str) -> DataFrame:
+    """Per batch the answers of all buckets: one bit a distinct hash that the batch sent."""
+    bits = sent.groupBy("bucket").applyInPandas(lambda rows: judge(rows, pages), "batch long, bucket long, bits binary")
     return bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
@@ -197,22 +218,26 @@ SENT = "batch long, bucket long, keys binary, counts binary"
 
 def _texts(buckets: int):
     def run(batches):
-        for _, blob, answers in _rows(batches):
+        for _, blob, seen, common in _rows(batches):
             b = Batch(blob)
-            covered = b.covered(b.receive(b.keys, answers, buckets)[b.key])
+            repeats = b.receive(b.keys, seen, buckets)[b.key]
+            runs, _ = b.article_runs(repeats)
+            asked, strips = b.keys_of(runs), np.zeros(len(b.keys), bool)
+            strips[asked] = b.receive(b.keys[asked], common, buckets)
+            covered, stripped = b.covered(repeats), b.covered(runs & strips[b.key])
             texts, repeated, at = [], [], 0
             for (*_, page), split in zip(b.pages, b.words):
                 has_article = any(kind == ARTICLE for kind, _ in page)
-                stay, n = [], 0
+                stay, n, strip = [], 0, []
                 for (kind, text), block in zip(page, split):
-                    hit = covered[at:at + len(block)]
+                    hit, gone = covered[at:at + len(block)], stripped[at:at + len(block)].all()
                     at += len(block)
                     n += int(hit.sum())
                     if kind == ARTICLE:
-                        stay.append(text)
+                        (strip if gone else stay).append(text)
                     elif kind == OPEN and not has_article and not hit.all():
                         stay.append(" ".join(w for w, h in zip(block, hit) if not h))
-                texts.append(" ".join(stay))
+                texts.append(" ".join(stay or strip))  # a page is never emptied
                 repeated.append(n)
             yield pa.RecordBatch.from_arrays([
                 pa.array([p[0] for p in b.pages], pa.int64()), pa.array([p[1] for p in b.pages], pa.string()), pa.array(texts, pa.string()),
@@ -233,7 +258,10 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
     packed = kept(packed, "pages")
     tokens = packed.agg(F.sum("tokens")).first()[0] or 0
     buckets = max(tokens // BUCKET_KEYS + 1, pages.sparkSession.sparkContext.defaultParallelism)
-    seen = kept(_answered(packed.select("batch", "pages").mapInArrow(_runs(buckets), SENT), "seen"), "runs")
-    out = packed.select("batch", "pages").join(seen, "batch", "left").select("batch", "pages", "seen").mapInArrow(
+    packed = packed.select("batch", "pages")
+    seen = kept(_answered(packed.mapInArrow(_runs(buckets), SENT), 2, "seen"), "runs")
+    both = packed.join(seen, "batch", "left").select("batch", "pages", "seen")
+    common = kept(_answered(both.mapInArrow(_article_runs(buckets), SENT), ARTICLE_PAGES, "common"), "strips")
+    out = both.join(common, "batch", "left").select("batch", "pages", "seen", "common").mapInArrow(
         _texts(buckets), "page_id long, url string, text string, n_chars long, n_repeated long")
     return out.withColumnRenamed("page_id", ident).withColumnRenamed("url", url)

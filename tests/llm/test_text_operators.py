@@ -223,6 +223,20 @@ def test_html_repeats_at_any_batch_size(spark):
         assert got == {k: (o + " " + shared, 0) if k == 39 else (o, 9 * (k in (3, 38))) for k, o in enumerate(own)}
 
 
+def test_html_strips_inside_articles(spark):
+    """A strip on the articles of several pages goes, also from mirrors; the text of mirrors and a passage of two articles stay."""
+    strip, quote = " ".join(f"share{k}" for k in range(9)), " ".join(f"quote{k}" for k in range(9))
+    own = [" ".join(f"own{k}x{i}" for i in range(60)) for k in range(8)]
+    own[7] = own[6]  # a mirror
+    rows = [(k, "http://h.org/", f"<article><p>{o}</p>" + f"<p>{quote}</p>" * (k in (0, 1)) + f"<div>{strip}</div>" * (k != 5) + "</article>")
+            for k, o in enumerate(own)]
+    rows.append((8, "http://h.org/", f"<article>{strip}</article>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for size in (1, 1 << 23):
+        got = {r["page_id"]: r["text"] for r in html.extract(pages, shard_bytes=size).collect()}
+        assert got == {8: strip} | {k: f"{o} {quote}" if k in (0, 1) else o for k, o in enumerate(own)}
+
+
 @pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver tables are absent")
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
