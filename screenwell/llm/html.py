@@ -38,7 +38,6 @@ LANDMARKS = frozenset("head nav header footer aside form menu dialog button fiel
 INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
                     "strong sub sup time tt u var wbr").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ENDLESS = frozenset("p li dt dd tr td th option".split())
 
 _DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -49,46 +48,108 @@ _WORDS = re.compile(
     r"recommended|newsletter|subscribe|signup|login|popup|modal|overlay|widget|toolbar|pagination|pager|tags|copyright|skip\w*)(?![a-z])", re.I)
 
 
+# Reader comments go whatever they hold; other names may sit on a wrapper.
+_COMMENTS = re.compile(r"(?<![a-z])(?:comments?|disqus|respond|repl(?:y|ies))(?![a-z])", re.I)
+# What a name says of the layout or the state of an element, not of its purpose.
+_STATE = re.compile(r"(?<![a-z])(?:has|with|without|no|is|not)[-_][\w-]+|[\w-]+[-_](?:open|closed|enabled|disabled|count|layout)(?![\w-])", re.I)
+# Open elements that a start tag ends, as far as one of the same list, table or choice is open.
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}}
+SCOPES = frozenset("ul ol dl table select article main".split())
+CONTENT = frozenset(("article", "main"))
+STAYS, UNCLOSED, DROPPED = 0, 1, 2
+
+
+class _Element:
+    __slots__ = ("parent", "name", "comment", "named", "closed", "words", "wraps", "state", "content")
+
+    def __init__(self, parent: "_Element | None", name: str, attributes: str):
+        values = [_STATE.sub(" ", v) for v in _NAMES.findall(attributes)] if attributes and name not in ("html", "body", "main") else []
+        self.parent, self.name, self.closed, self.words, self.wraps = parent, name, False, 0, False
+        if parent is not None:
+            parent.wraps = True
+        self.comment = any(_COMMENTS.search(v) for v in values)
+        self.named = name not in CONTENT and any(_WORDS.search(v) for v in values)
+
+    def resolve(self, wrapper: bool) -> None:
+        """Sets `state` and `content`; the parent has them. What is never closed ends at the next article, as if it had been."""
+        above = self.parent.state if self.parent else STAYS
+        if above == UNCLOSED and self.name in CONTENT:
+            above = STAYS
+        drops = self.comment or self.name in LANDMARKS and self.name != "form" or (self.named or self.name == "form") and not wrapper
+        self.state = max(above, STAYS if not drops else DROPPED if self.closed else UNCLOSED)
+        self.content = not self.state and (self.name in CONTENT or self.parent is not None and self.parent.content)
+
+
 def blocks(html: str | None) -> list[tuple[int, str]]:
-    """(kind, text) of the non-empty blocks of a page in order; text has character references decoded and single spaces."""
-    out, text = [], []
-    dropping, depth, content = "", 0, 0  # the boilerplate element we are in, its nesting, nesting of article and main
+    """(kind, text) of the non-empty blocks of a page in order; text has character references decoded and single spaces.
+
+    A block is boilerplate if an element around it is: a landmark, a form, reader comments or something named like boilerplate.
+    A form or a name counts for nothing on an element around others that holds most of the words outside links, nor does a name
+    on body or main.
+    """
+    found, text, elements, stack = [], [], [], []
+    linked, links = 0, 0  # open links, words inside links of this block
 
     def flush():
+        nonlocal links
         joined = " ".join(unescape("".join(text)).split())
         text.clear()
         if joined:
-            out.append((BOILERPLATE if dropping else ARTICLE if content else OPEN, joined))
+            found.append((stack[-1] if stack else None, joined, max(0, joined.count(" ") + 1 - links)))
+        links = 0
+
+    def close(k: int):
+        stack[k].closed = True
+        del stack[k:]
 
     at, source = 0, _DROP.sub(" ", html or "")
     for m in _TAG.finditer(source):
         text.append(source[at:m.start()])
+        if linked:
+            links += len(text[-1].split())
         at = m.end()
         closing, name = bool(m[1]), m[2].lower()
         if name in INLINE:
+            if name == "a":
+                linked = 0 if closing else 1
             continue
         flush()
         if name in VOID or m[3].endswith("/"):
             continue
-        if dropping in ENDLESS and dropping:
-            if closing or name not in INLINE:
-                dropping = ""
-        if name in ("article", "main", "body"):
-            if not closing and (name != "body" or dropping == "head"):
-                dropping = ""
-            if name != "body":
-                content = max(0, content + (-1 if closing else 1))
-                continue
-        if dropping:
-            if name == dropping:
-                depth += -1 if closing else 1
-                if not depth:
-                    dropping = ""
-        elif not closing and (name in LANDMARKS or name != "html" and any(_WORDS.search(v) for v in _NAMES.findall(m[3]))):
-            dropping, depth = name, 1
+        if stack and stack[-1].name == "p" and not (closing and name == "p"):
+            close(len(stack) - 1)
+        if closing:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name == name:
+                    close(k)
+                    break
+                if stack[k].name in CONTENT and name not in ("body", "html", *CONTENT):
+                    break  # a stray end tag does not end the article
+            continue
+        if name == "body" and any(e.name == "head" for e in stack):
+            close(next(k for k, e in enumerate(stack) if e.name == "head"))
+        for k in range(len(stack) - 1, -1, -1) if name in ENDED_BY else ():
+            if stack[k].name in SCOPES:
+                break
+            if stack[k].name in ENDED_BY[name]:
+                close(k)
+                break
+        stack.append(_Element(stack[-1] if stack else None, name, m[3]))
+        elements.append(stack[-1])
     text.append(source[at:])
     flush()
-    return out
+    for e in elements:
+        e.resolve(True)  # every form and name taken for a wrapper
+    for e, _, n in found:
+        if e is not None and not e.state:
+            e.words += n
+    for e in reversed(elements):  # parents come before their children
+        if e.parent is not None:
+            e.parent.words += e.words
+    total = sum(n for e, _, n in found if e is None or not e.state)
+    for e in elements:
+        e.resolve(e.wraps and 2 * e.words > total)
+    return [(OPEN if e is None else BOILERPLATE if e.state else ARTICLE if e.content else OPEN, t) for e, t, _ in found]
 
 
 class Batch:

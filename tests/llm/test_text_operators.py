@@ -211,6 +211,40 @@ def test_html(spark):
     assert [got[10 + k] for k in range(3)] == [f"unique text number {k} of its own kind{k} with{k} words{k}" for k in range(3)]
 
 
+PARA = "<p>" + " ".join(f"word{k}" for k in range(30)) + "</p>"
+MAIN = " ".join(f"word{k}" for k in range(30))
+SHAPES = {
+    "comment articles": f"<article>{PARA}</article><section class=comments><article class=comment><p>first!</p></article><article><p>me too</p></article></section>",
+    "comments larger than the article": f"<article>{PARA}</article><section class=comments>" + "<article class=comment><p>so many words of a reader</p></article>" * 20 + "</section>",
+    "comments inside the article": f"<article>{PARA}<div id=comments><article id=comment-1><p>nice</p></article></div></article>",
+    "teasers": f"<main>{PARA}<aside><article><h2>Read on</h2><p>teaser text</p></article></aside></main>",
+    "teasers in a menu": f"<nav><ul><li><article>Teaser</article></ul></nav><article>{PARA}</article>",
+    "body class": f"<body class='has-sidebar no-menu'>{PARA}</body>",
+    "body named": f"<body class='sidebar'>{PARA}</body>",
+    "wrapper": f"<div class='content with-sidebar'>{PARA}<div class=sidebar><p>about me</p></div></div>",
+    "named wrapper": f"<div class='page sidebar widget'>{PARA}<p>and <a href=x>some</a></p></div><div class=sidebar><p>about me</p></div>",
+    "wrapper around main": f"<div class='header-page'><main class=search-page>{PARA}</main></div>",
+    "page in a form": f"<body><form id=all>{PARA}<input></form></body>",
+    "links outweigh the text": f"<div class=menu>{'<p><a href=x>one of the many links</a></p>' * 30}</div>{PARA}",
+    "long advert": f"<div class=ad>{'buy this ' * 40}</div>{PARA}",
+    "menu never closed": f"<nav><a href=x>home</a><article>{PARA}</article>",
+    "stray end tag": f"<div><article>{PARA[:-4]}</div></article></div>",
+    "item with blocks": f"<ul><li class=share><div>to a friend</div></ul><ul><li class=ad>buy<li>{PARA}</ul>",
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_html_landmarks(shape):
+    found = html.blocks(SHAPES[shape])
+    best = max((kind for kind, _ in found if kind != html.BOILERPLATE), key=lambda kind: kind == html.ARTICLE)
+    got = " ".join(text for kind, text in found if kind == best)
+    assert got == MAIN + " and some" * (shape == "named wrapper")
+
+
+def test_html_deep_nesting():
+    assert html.blocks("<div class=ad>" * 20_000 + PARA) == [(html.OPEN, MAIN)]
+
+
 def test_html_repeats_at_any_batch_size(spark):
     """A run on two pages of many is found however the host is cut; one on a page of another host is not."""
     shared = " ".join(f"shared{k}" for k in range(9))
