@@ -23,10 +23,20 @@ def sign_sets(t):
     return t.embeddings.select("vec_id", "label", sign_bits("embedding").alias("fp"))
 
 
+_SPACE = 2_147_483_647
+
+
+def text_set(text: str):
+    """Hashed eight-character substrings of the whole text; a shorter text is its own one shingle, a null has none."""
+    own = F.array(F.pmod(F.xxhash64(text), F.lit(_SPACE)).cast("int"))
+    return F.when(F.length(text) >= 8, qgram_fp(text, 8, _SPACE)).when(F.col(text).isNotNull(), own)
+
+
 def text_sets(t):
-    """Documents as sets of hashed eight-character substrings of the whole text."""
-    rows = spread(t.documents.filter(F.length("text") >= 8).select("doc_id", "lang", "n_chars", "text"))
-    return rows.select("doc_id", "lang", "n_chars", qgram_fp("text", 8, 2_147_483_647).alias("fp"))
+    """All documents as sets. A document without a text is unlike any other: its id is its one shingle."""
+    rows = spread(t.documents.select("doc_id", "lang", "n_chars", "text"))
+    alone = F.array(F.pmod(F.xxhash64(F.lit("no text"), "doc_id"), F.lit(_SPACE)).cast("int"))
+    return rows.select("doc_id", "lang", "n_chars", F.coalesce(text_set("text"), alone).alias("fp"))
 
 
 _ENTROPY = _SETS + """, n AS (SELECT label, count(*) AS n FROM e WHERE len(fp) > 0 GROUP BY 1),
@@ -86,14 +96,14 @@ def similar_documents(t):
 SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS first_id FROM (SELECT doc_id, list_sort(list_distinct(
   list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8)))) AS g FROM documents WHERE length(text) >= 8)""")
 def copies(t):
-    return X.copies(text_sets(t), "doc_id", "fp")
+    long = t.documents.filter(F.length("text") >= 8)
+    return X.copies(spread(long.select("doc_id", "text")).select("doc_id", text_set("text").alias("fp")), "doc_id", "fp")
 
 
 @query("J5")
 def novel_documents(t):
     """Documents unlike every benchmark passage and every conversation turn."""
-    memory = spread(t.benchmark.select("text").unionAll(t.conversations.select("text"))).select(
-        qgram_fp("text", 8, 2_147_483_647).alias("fp"))
+    memory = spread(t.benchmark.select("text").unionAll(t.conversations.select("text"))).select(text_set("text").alias("fp"))
     return X.novel(text_sets(t), memory, "doc_id", "fp").select("doc_id")
 
 
@@ -134,7 +144,7 @@ def diverse_documents(t):
 @query("T6")
 def filter_novel(t):
     """New documents in arrival order: unlike the benchmark and unlike one another."""
-    memory = t.benchmark.select(qgram_fp("text", 8, 2_147_483_647).alias("fp"))
+    memory = t.benchmark.select(text_set("text").alias("fp"))
     return X.filter_novel(text_sets(t), memory, "doc_id", "fp", ["doc_id"]).select("doc_id")
 
 

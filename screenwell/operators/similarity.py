@@ -234,48 +234,15 @@ def _leaders_by_rounds(live: DataFrame, sets: DataFrame, fp: str, t: float, visi
     return kept
 
 
-def _sim(a: frozenset, b: frozenset) -> float:
-    both = len(a & b)
-    return both / (len(a) + len(b) - both)
-
-
 def diverse_top_n(df: DataFrame, ident: str, fp: str, order, t: float, n: int, *, batch: int = 1000,
                   direct: int = 2000) -> DataFrame:
     """The first `n` rows a best-to-worst walk keeps when it skips rows similar (>= t) to kept ones.
 
-    The kept set is at most `n` rows: each pass drops every row that resembles a kept one, fetches
-    the best `batch` of what is left and walks just those. A larger `n` takes the rounds of
-    `leader_filter` instead.
+    The walk is that of `leader_filter` at every `n`; no set reaches the driver. `batch` and `direct` are accepted for
+    older callers and decide nothing.
     """
     order = as_list(order)
-    if n > direct:
-        return leader_filter(df, ident, fp, order, t).orderBy(*sort_cols(order)).limit(n)
-    spark = df.sparkSession
-    names = list(dict.fromkeys([ident, *sort_names(order)]))
-    sets = distinct_sets(_held(df, *names, fp), ident, fp, order)
-    kept: list[tuple] = []
-    fresh: list[tuple] = []
-    schema = f"__k {df.schema[ident].dataType.simpleString()}, __f {df.schema[fp].dataType.simpleString()}"
-    while True:
-        if fresh:
-            known = spark.createDataFrame(fresh, schema)
-            ids = known.select(F.col("__k").alias(ident))
-            sets = materialise(
-                sets.join(F.broadcast(known), _alike(F.col(fp), F.col("__f"), t), "left_anti")
-                .join(F.broadcast(ids), ident, "left_anti"))
-        rows = sets.orderBy(*sort_cols(order)).limit(batch).collect()
-        fresh = []
-        for row in rows:
-            if len(kept) == n:
-                break
-            mine = frozenset(row[fp])
-            if all(_sim(mine, f) < t - _EPS for _, f in kept):
-                kept.append((row[ident], mine))
-                fresh.append((row[ident], list(row[fp])))
-        if len(kept) == n or len(rows) < batch:
-            break
-    picked = spark.createDataFrame([(k,) for k, _ in kept], f"{ident} {df.schema[ident].dataType.simpleString()}")
-    return df.join(F.broadcast(picked), ident, "left_semi")
+    return leader_filter(df, ident, fp, order, t).orderBy(*sort_cols(order)).limit(n)
 
 
 def filter_novel(df: DataFrame, memory: DataFrame, ident: str, fp: str, order, t: float = 0.65, **how) -> DataFrame:

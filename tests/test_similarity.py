@@ -84,6 +84,28 @@ def test_diverse_top_n_beyond_the_direct_bound(spark):
     assert [r["id"] for r in got.collect()] == greedy(order, 0.5, 6)
 
 
+def test_documents_without_a_set_stay(spark, monkeypatch):
+    """Short, empty and null texts are documents too: unlike all but equal texts. Not one set is fetched by the driver."""
+    from types import SimpleNamespace
+
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+
+    from screenwell.catalog import similar as S
+    texts = ["abc", "abc", "", "", None, None, "a longer text of its own", "a longer text of its own", "known"]
+    docs = spark.createDataFrame([(i, "en", len(x or ""), x) for i, x in enumerate(texts)], "doc_id long, lang string, n_chars long, text string")
+    memory = spark.createDataFrame([("known",), (None,)], "text string")
+    t = SimpleNamespace(spark=spark, documents=docs, benchmark=memory, conversations=memory.limit(0))
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(S.leader_filter(t)) == [0, 2, 4, 5, 6, 8]
+    assert ids(S.novel_documents(t)) == [0, 1, 2, 3, 4, 5, 6, 7]
+    assert ids(S.filter_novel(t)) == [0, 2, 4, 5, 6]
+    seen, collect = [], Frame.collect
+    monkeypatch.setattr(Frame, "collect", lambda self: seen.append(self.columns) or collect(self))
+    picked = S.diverse_documents(t)
+    assert not any("fp" in c for c in seen)
+    assert ids(picked) == [0, 2, 4, 5, 6, 8]
+
+
 def test_filter_novel(spark):
     rows, df = sets(spark, 5, n=60)
     memory, mdf = sets(spark, 8, n=10)
