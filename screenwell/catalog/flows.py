@@ -138,9 +138,6 @@ def stream_telemetry(t):
 
 # --- models -------------------------------------------------------------------------------------------
 
-_FAST = {"maxIter": 5, "maxDepth": 3}
-
-
 def model_rows(t):
     """Vectors as molecules of three targets; the score to learn is a sum of components."""
     e = t.embeddings
@@ -160,13 +157,13 @@ def assemble(t):
 
 @query("M2")
 def train_targets(t):
-    _, report = M.train_targets(model_rows(t), "target", "score", "vec_id", folds=2, **_FAST)
+    _, report = M.train_targets(model_rows(t), "target", "score", "vec_id")
     return report
 
 
 @query("M3")
 def cv_r2(t):
-    r2 = M.cv_r2(model_rows(t), "score", "vec_id", folds=3, **_FAST)
+    r2 = M.cv_r2(model_rows(t), "score", "vec_id")
     return t.spark.createDataFrame([(r2,)], "r2 double")
 
 
@@ -182,24 +179,24 @@ def refit_due(t):
 @query("M5")
 def prescreen(t):
     rows = model_rows(t)
-    models, _ = M.train_targets(rows, "target", "score", "vec_id", folds=2, only=[0, 1], **_FAST)
+    models, _ = M.train_targets(rows, "target", "score", "vec_id")
     return M.prescreen(rows, models, "target", "vec_id", 10)
 
 
 @query("M6")
 def prescreen_pool(t):
     rows = model_rows(t)
-    models, report = M.train_targets(rows, "target", "score", "vec_id", folds=2, **_FAST)
-    return M.prescreen_pool(rows, models, report, "target", "vec_id", trusted=0.2)
+    models, report = M.train_targets(rows, "target", "score", "vec_id")
+    return M.prescreen_pool(rows, models, report, "target", "vec_id")
 
 
 @query("K4")
 def saved_models(t):
     rows = model_rows(t)
-    models, _ = M.train_targets(rows, "target", "score", "vec_id", folds=2, only=[0], **_FAST)
+    models, _ = M.train_targets(rows, "target", "score", "vec_id")
     root = fresh_dir(t.spark, "models")
     M.save_models(models, root)
-    return M.prescreen(rows.filter("target = 0"), M.load_models(root, [0]), "target", "vec_id", 10)
+    return M.prescreen(rows, M.load_models(root, models), "target", "vec_id", 10)
 
 
 @query("M7", """

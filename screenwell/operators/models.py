@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import at_most
-from .selection import sample_n
+from .selection import draw_order
 from .windows import top_per_key
 
 # Model settings and rules.
@@ -131,8 +131,9 @@ def prescreen(df: DataFrame, models: dict, target: str, key: str, n: int = KEEP,
 
 def prescreen_pool(df: DataFrame, models: dict, report: DataFrame, target: str, key: str, pool: int = POOL,
                    n: int = KEEP, trusted: float = TRUSTED_R2, seed: int = 42) -> DataFrame:
-    """Pre-screen a sampled pool, only with models whose R2 is trusted; a target without one gets no row."""
+    """Pre-screen a pool of `pool` sampled rows for each target, only with models whose R2 is trusted; a target without one
+    gets no row. The pool of a target does not depend on the others."""
     good = {r[0] for r in report.filter((F.col("status") == "ready") & (F.col("r2") >= trusted)).select(target).collect()}
     used = {t: m for t, m in models.items() if t in good}
-    drawn = sample_n(df, key, pool, seed).filter(F.col(target).isin(list(used)))
-    return prescreen(drawn, used, target, key, n, seed=seed)
+    rows = df.filter(F.col(target).isin(list(used))).withColumn("__pool", draw_order(key, seed))
+    return prescreen(top_per_key(rows, [target], ["__pool", key], pool).drop("__pool"), used, target, key, n, seed=seed)

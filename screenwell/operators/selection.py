@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quasi import halton
 from ..runtime import as_list, sort_cols
@@ -46,10 +46,14 @@ def elite_pool(df: DataFrame, score: str, tie, n: int = 50) -> DataFrame:
     return best.withColumn("entry_threshold", entry)
 
 
+def draw_order(key, seed: int = 42) -> Column:
+    """A hash of key and seed; samples take the smallest."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in as_list(key)], F.lit(str(seed))))
+
+
 def sample_n(df: DataFrame, key, n: int, seed: int = 42) -> DataFrame:
     """`n` rows without replacement, the same ones for the same seed: the smallest hashes of key and seed."""
-    drawn = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in as_list(key)], F.lit(str(seed))))
-    return df.orderBy(drawn, *as_list(key)).limit(n)
+    return df.orderBy(draw_order(key, seed), *as_list(key)).limit(n)
 
 
 def halton_sample(df: DataFrame, order, n: int, start: int = 0, dim: int = 0, **how) -> DataFrame:

@@ -78,6 +78,35 @@ def test_models_learn_and_are_kept(spark):
     assert sorted(map(tuple, again.collect())) == sorted(tuple(r) for r in M.prescreen(rows, models, "t", "id", 5).collect())
 
 
+def test_pool_is_drawn_for_each_trusted_target(spark):
+    """A small target keeps its pool beside large ones, trusted or not."""
+    class Model:
+        def transform(self, df):
+            return df.withColumn("predicted", F.col("id").cast("double"))
+    rows = spark.range(3000).select("id", F.when(F.col("id") < 8, "small").when(F.col("id") < 1500, "large").otherwise("doubted").alias("t"))
+    report = spark.createDataFrame([("small", "ready", 0.9), ("large", "ready", 0.5), ("doubted", "ready", 0.4)], "t string, status string, r2 double")
+    models = dict.fromkeys(("small", "large", "doubted"), Model())
+    got = M.prescreen_pool(rows, models, report, "t", "id", pool=20, n=30)
+    assert {r["t"]: r["count"] for r in got.groupBy("t").count().collect()} == {"small": 8, "large": 20}
+
+
+@pytest.mark.parametrize("name", ["train_targets", "cv_r2", "prescreen", "prescreen_pool", "saved_models"])
+def test_model_queries_take_the_operators_defaults(monkeypatch, name):
+    """All targets, with the settings, folds and trust of the operators themselves."""
+    from screenwell.catalog import flows
+    calls = []
+    monkeypatch.setattr(flows, "model_rows", lambda t: "rows")
+    monkeypatch.setattr(flows, "fresh_dir", lambda *a: "root")
+    for f in ("train_targets", "cv_r2", "prescreen", "prescreen_pool", "save_models", "load_models"):
+        answer = ({0: "m"}, "report") if f == "train_targets" else 0.5
+        monkeypatch.setattr(M, f, lambda *a, f=f, answer=answer, **how: calls.append((f, a[0], how)) or answer)
+
+    class Session:
+        createDataFrame = staticmethod(lambda *a: None)
+    getattr(flows, name)(type("T", (), {"spark": Session}))
+    assert calls and all(not how for *_, how in calls) and all(rows == "rows" for f, rows, _ in calls if not f.endswith("_models"))
+
+
 def test_logged_twice_counts_once(spark):
     rows = spark.createDataFrame([("T", "C", "0.5"), ("T", "C", "0.5"), ("T", "N", "-1"), ("T", "O", "x")], "t string, m string, s string")
     assert M.training_rows(rows, "t", "m", "s").count() == 1
