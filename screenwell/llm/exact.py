@@ -2,7 +2,8 @@
 
 Every text is reduced to its normalised form's 64-bit key, SHA-256 and length. Copies are folded map-side. A directory over
 the key's leading bits doubles until no bucket holds more than `capacity` entries; one owner task writes each bucket, a range
-of keys, sorted. Entries with equal keys form a chain, in which the digest bytes and lengths are compared.
+of keys, sorted; entries with equal keys are numbered as a chain. Texts are equal if key, digest and length are: the grouping
+decides this before there is a directory, which only lays the index out.
 """
 
 from __future__ import annotations
