@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bytebpe, chat, exact, html, jaccard, langid, nbsvm, packing, rules, spans
+from . import bytebpe, chat, exact, gnat, html, jaccard, langid, lines, nbsvm, packing, rules, search, spans
 from .tokenizers import tokenizer_path
 
 QUERIES: dict = {}
@@ -117,3 +117,42 @@ def op9_chat_formatting(spark: SparkSession, table) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, table) -> DataFrame:
     from public_tokenizers import PATTERN
     return bytebpe.digest_round_trip(table("documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"), PATTERN)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}') AS w FROM documents),
+  t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+  q AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark) GROUP BY 1, 2),
+  c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS len FROM d WHERE len(w) > 0),
+  p AS (SELECT doc_id, n, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY 1, 2, 3),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, c GROUP BY term, docs),
+  s AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // len))))) AS BIGINT) AS score
+    FROM p JOIN w USING (term) JOIN q USING (term), c GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20""")
+def op11_lexical_search(spark: SparkSession, table) -> DataFrame:
+    return search.best_matches(table("documents"), table("benchmark"), 20)
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+  k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+  r AS (SELECT key, min(doc_id) AS keeper FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+  j AS (SELECT k.*, keeper IS NOT NULL AND keeper <> doc_id AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id""")
+def op12_line_dedup(spark: SparkSession, table) -> DataFrame:
+    docs = table("documents").select("doc_id", "text")
+    out = lines.drop_repeated_lines(docs, n_lines="n_lines", n_dropped="n_dropped")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query()
+def op13_hard_negatives(spark: SparkSession, table) -> DataFrame:
+    rows = table("embeddings")
+    flipped = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat.hard_negatives(rows.withColumn("label", flipped), F.col("vec_id") % 100 == 0)

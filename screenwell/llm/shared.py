@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import fresh_dir
@@ -12,13 +14,15 @@ BROADCAST_ROWS = 2_000_000
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once to the shared folder and read back: columns can be pruned and a lost executor costs nothing."""
+def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """`df` written once to the shared folder and read back: columns can be pruned and a lost executor costs nothing.
+
+    `by` names a last column whose values get a folder each."""
     spark = df.sparkSession
     path, before = fresh_dir(spark, name), spark.conf.get(FREE_SHUFFLES)
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -27,7 +31,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by `kept`, once nothing will read them again."""
     for df in tables:
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:  # a kept table is one folder
+        for path in {re.sub(r"(/[^/=]+=[^/]*)*/[^/]+$", "", f) for f in df.inputFiles()[:1]}:  # a kept table is one folder
             target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
