@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions.columns import content_key, proxy_score, unix_seconds
 from ..functions.fingerprints import qgram_fp, sign_bits
@@ -140,11 +140,16 @@ def stream_telemetry(t):
 
 def model_rows(t):
     """Vectors as molecules of three targets; the score to learn is a sum of components."""
-    e = t.embeddings
+    return library(t).withColumn("target", F.floor(F.col("label") / 4).cast("int"))
+
+
+def library(t):
     comp = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
-    return M.assemble(e.select("vec_id", F.floor(F.col("label") / 4).cast("int").alias("target"), sign_bits("embedding").alias("fp"),
-                               comp[0].alias("mw"), comp[1].alias("logp"),
-                               (comp[0] * 3 + comp[1] + comp[2]).alias("score")), "fp", 64, ("mw", "logp"))
+    return M.assemble(t.embeddings.select("vec_id", "label", sign_bits("embedding").alias("fp"), comp[0].alias("mw"), comp[1].alias("logp"),
+                                          (comp[0] * 3 + comp[1] + comp[2]).alias("score")), "fp", 64, ("mw", "logp"))
+
+
+_TARGETS = "SELECT CAST(floor(label / 4) AS INTEGER) AS target, count(*) AS n FROM embeddings GROUP BY 1"
 
 
 @query("M1", f"""
@@ -155,16 +160,20 @@ def assemble(t):
     return dense.select("vec_id", on.cast("long").alias("n_on"), F.round(F.get("v", F.lit(64)).cast("float"), 6).alias("mw"))
 
 
-@query("M2")
+@query("M2", f"SELECT target, CASE WHEN n < 30 THEN 'learning' ELSE 'ready' END AS status, n, n >= 30 AS useful, n >= 30 AS whole FROM ({_TARGETS})")
 def train_targets(t):
-    _, report = M.train_targets(model_rows(t), "target", "score", "vec_id")
-    return report
+    """The report, with whether the fit explains anything and whether the model has all its 200 trees of 31 nodes."""
+    models, report = M.train_targets(model_rows(t), "target", "score", "vec_id")
+    size = models.groupBy("target").agg(F.count("*").alias("rows"))
+    return report.join(size, "target", "left").select("target", "status", "n", F.coalesce(F.col("r2") > 0.2, F.lit(False)).alias("useful"),
+                                                      F.coalesce(F.col("rows") == 1 + 200 * 31, F.lit(False)).alias("whole"))
 
 
-@query("M3")
+@query("M3", "SELECT TRUE AS useful, TRUE AS held FROM (SELECT count(*) FROM embeddings)")
 def cv_r2(t):
+    """The mean R2 over five folds of one model over all targets: it explains most of the score and stays in its range."""
     r2 = M.cv_r2(model_rows(t), "score", "vec_id")
-    return t.spark.createDataFrame([(r2,)], "r2 double")
+    return t.spark.createDataFrame([(r2 > 0.5, -1 <= r2 <= 1)], "useful boolean, held boolean")
 
 
 @query("M4", """
@@ -176,27 +185,47 @@ def refit_due(t):
     return M.refit_due(counts, report, "label")
 
 
-@query("M5")
+_UNSEEN = 99  # a target that has candidates and no model
+
+
+@query("M5", f"""
+WITH d AS (SELECT {_UNSEEN} AS target, vec_id, row_number() OVER (ORDER BY md5(vec_id || '|42'), vec_id) AS place FROM embeddings),
+  k AS (SELECT target, unnest(range(1, least(n, 10) + 1)) AS place FROM ({_TARGETS}))
+SELECT target, CAST(place AS INTEGER) AS place, vec_id AS drawn, FALSE AS falling FROM d WHERE place <= 10
+UNION ALL SELECT target, CAST(place AS INTEGER), NULL, TRUE FROM k""")
 def prescreen(t):
+    """Places and, where there is no model, the rows drawn; predictions, which SQL cannot make, must fall from place to place."""
     rows = model_rows(t)
     models, _ = M.train_targets(rows, "target", "score", "vec_id")
-    return M.prescreen(rows, models, "target", "vec_id", 10)
+    asked = rows.unionByName(rows.withColumn("target", F.lit(_UNSEEN)))
+    best = M.prescreen(asked, models, "target", "vec_id", 10)
+    before = F.lag("predicted", 1, float("inf")).over(Window.partitionBy("target").orderBy("place"))
+    return best.select("target", "place", F.when(F.col("predicted").isNull(), F.col("vec_id")).alias("drawn"),
+                       F.coalesce(F.col("predicted") <= before, F.lit(False)).alias("falling"))
 
 
-@query("M6")
+@query("M6", f"""
+SELECT target, CAST(unnest(range(1, 11)) AS INTEGER) AS place, TRUE AS of_pool FROM ({_TARGETS}) WHERE n >= 30""")
 def prescreen_pool(t):
-    rows = model_rows(t)
-    models, report = M.train_targets(rows, "target", "score", "vec_id")
-    return M.prescreen_pool(rows, models, report, "target", "vec_id")
+    """Every target whose model is trusted meets its own pool of one shared library of all vectors."""
+    models, report = M.train_targets(model_rows(t), "target", "score", "vec_id")
+    shared = library(t)
+    best = M.prescreen_pool(shared, models, report, "target", "vec_id")
+    pool = M.pool_draws(shared, report.select("target"), "target", "vec_id").withColumn("of_pool", F.lit(True))
+    return best.join(pool, ["target", "vec_id"], "left").select("target", "place", F.coalesce("of_pool", F.lit(False)).alias("of_pool"))
 
 
-@query("K4")
+@query("K4", f"SELECT target, n AS compared, n AS equal FROM ({_TARGETS}) WHERE n >= 30")
 def saved_models(t):
+    """Predictions of all rows by the models as trained and as saved and loaded."""
     rows = model_rows(t)
     models, _ = M.train_targets(rows, "target", "score", "vec_id")
     root = fresh_dir(t.spark, "models")
-    M.save_models(models, root)
-    return M.prescreen(rows, M.load_models(root, models), "target", "vec_id", 10)
+    M.save_models(models, root, "target")
+    fresh = M.with_predictions(rows, models, "target").select("target", "vec_id", F.col("predicted").alias("fresh"))
+    again = M.with_predictions(rows, M.load_models(t.spark, root), "target").select("target", "vec_id", "predicted")
+    return fresh.join(again, ["target", "vec_id"]).filter("predicted is not null").groupBy("target").agg(
+        F.count("*").alias("compared"), F.count(F.when(F.col("fresh") == F.col("predicted"), 1)).alias("equal"))
 
 
 @query("M7", """

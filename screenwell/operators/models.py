@@ -1,16 +1,18 @@
-"""Per-target gradient-boosted regression with MLlib: features, fit, check, refit rule, pre-screen."""
+"""Per-target gradient-boosted regression: features, fit of all targets at once, check, refit rule, pre-screen.
 
-from __future__ import annotations
+Models are a table (target, tree, node, feature, cut, value): nodes are numbered as in a heap, rows go left of a cut up to and
+with it, leaves hold what they add. The row of tree -1 holds the base value, and the depth of the trees as its feature.
+"""
 
-from concurrent.futures import ThreadPoolExecutor
+from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..runtime import at_most
+from ..runtime import at_most, materialise
+from .boosting import FINAL, LOCAL_CELLS, fit_large, fit_local
+from .ordering import number_rows
 from .selection import draw_order
 from .windows import top_per_key
 
@@ -18,8 +20,9 @@ from .windows import top_per_key
 SETTINGS = {"maxIter": 200, "maxDepth": 4, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
 MIN_ROWS, REFIT_ROWS, MAX_FOLDS, TRUSTED_R2 = 30, 20, 5, 0.5
 POOL, KEEP = 10_000, 10
-MAX_TARGETS = 10_000
 DESCRIPTORS = ("mw", "logp", "hbd", "hba", "tpsa", "rot_bonds", "rings", "heavy_atoms")
+# Packed models (of about 100 kB each at 200 trees of depth 4) that a pre-screen may broadcast.
+BROADCAST_MODELS = 200
 
 
 def assemble(df: DataFrame, fp: str, nbits: int, descriptors=DESCRIPTORS, out: str = "features") -> DataFrame:
@@ -38,64 +41,105 @@ def training_rows(df: DataFrame, target: str, molecule: str, score: str) -> Data
             .dropDuplicates([target, molecule, score]))
 
 
-def regressor(label: str, features: str = "features", **settings) -> GBTRegressor:
-    return GBTRegressor(featuresCol=features, labelCol=label, predictionCol="predicted", **{**SETTINGS, **settings})
+def as_array(df: DataFrame, features: str) -> Column:
+    return F.col(features) if df.schema[features].dataType.simpleString().startswith("array") else vector_to_array(features)
+
+
+def _fit(df: DataFrame, target: str, label: str, key: str, features: str, models: list[int], folds: int, min_rows: int, settings: dict) -> tuple[DataFrame, DataFrame]:
+    """(target, n, usable, width) and what the fits of the targets with enough usable rows gave."""
+    settings, y = {**SETTINGS, **settings}, F.col(label).cast("double")
+    once = df.filter(F.col(target).isNotNull() & y.isNotNull() & ~F.isnan(y)).dropDuplicates([target, key, label])
+    rows = materialise(once.select(target, F.xxhash64(key).alias("__h"), y.alias("__y"), as_array(df, features).cast("array<double>").alias("__x")))
+    counts = rows.groupBy(target).agg(F.count(F.lit(1)).alias("n"), F.count("__x").alias("usable"), F.max(F.size("__x")).alias("width"))
+    counts = materialise(counts)
+    cells = F.col("usable") * F.col("width")
+    fit = counts.filter(F.col("usable") >= min_rows)
+    large = [r[0] for r in fit.filter(cells > LOCAL_CELLS).select(target).collect()]
+    rows = rows.filter("__x is not null")
+    small = fit.filter(cells <= LOCAL_CELLS).select(target)
+    out = fit_local(rows.join(F.broadcast(small) if at_most(small, 100_000) else small, target), target, models, folds, settings)
+    if large:
+        out = out.unionByName(fit_large(rows.filter(F.col(target).isin(large)), target, large, models, folds, settings))
+    return counts, materialise(out)
+
+
+def _scores(fits: DataFrame, target: str) -> DataFrame:
+    """(target, r2): the mean over the folds, held to [-1, 1]; folds of one label alone say nothing."""
+    spread = F.col("squares") - F.col("total") * F.col("total") / F.col("rows")
+    each = fits.filter(F.col("fold").isNotNull()).withColumn("r2", F.when(spread > 0, 1 - F.col("errors") / spread))
+    return each.groupBy(target).agg(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.avg("r2"), F.lit(0.0)))).alias("r2"))
 
 
 def cv_r2(df: DataFrame, label: str, key: str, folds: int = MAX_FOLDS, features: str = "features", **settings) -> float:
-    """Mean R2 over folds drawn by a hash of the row key, held to [-1, 1]."""
-    marked = df.withColumn("__fold", F.pmod(F.xxhash64(key), F.lit(folds))).persist()
-    judge = RegressionEvaluator(labelCol=label, predictionCol="predicted", metricName="r2")
-    scores = []
-    for k in range(folds):
-        train, test = marked.filter(F.col("__fold") != k), marked.filter(F.col("__fold") == k)
-        if not test.isEmpty() and not train.isEmpty():
-            scores.append(judge.evaluate(regressor(label, features, **settings).fit(train).transform(test)))
-    marked.unpersist()
-    mean = sum(scores) / len(scores) if scores else 0.0
-    return max(-1.0, min(1.0, mean))
+    """Mean R2 over folds drawn by a hash of the row key, held to [-1, 1]; 0 where nothing can be fitted."""
+    _, fits = _fit(df.withColumn("__target", F.lit(0)), "__target", label, key, features, list(range(folds)), folds, 2, settings)
+    got = _scores(fits, "__target").first()
+    return got["r2"] if got else 0.0
 
 
 def train_targets(df: DataFrame, target: str, label: str, key: str, min_rows: int = MIN_ROWS, folds: int = MAX_FOLDS,
-                  parallel: int = 4, only: list | None = None, **settings):
-    """One model per target with enough rows, and the report rows (target, status, n, r2).
+                  features: str = "features", **settings) -> tuple[DataFrame, DataFrame]:
+    """A table of models, one per target with enough rows, and the report (target, status, n, r2).
 
-    Targets are a small dimension; every fit is a distributed job, a few run at a time.
+    Rows of a null target or without a number as label take no part; a (target, key, label) logged twice counts once. A target
+    with fewer than `min_rows` rows is learning; one whose rows have fewer features than that failed. All targets are fitted
+    in one grouped job, whatever their number; only targets of more than LOCAL_CELLS cells are grown level by level.
     """
-    counts = (df if only is None else df.filter(F.col(target).isin(list(only)))).groupBy(target).count()
-    if not at_most(counts, MAX_TARGETS):
-        raise ValueError(f"more than {MAX_TARGETS} targets: train them in several calls with `only`")
-    sizes = {r[0]: r[1] for r in counts.collect()}
-
-    def fit(t):
-        n = sizes[t]
-        if n < min_rows:
-            return t, None, ("learning", n, None)
-        rows = df.filter(F.col(target) == t).persist()
-        try:
-            r2 = cv_r2(rows, label, key, min(folds, max(2, n // 10)), **settings)
-            model = Pipeline(stages=[regressor(label, **settings)]).fit(rows)
-            return t, model, ("ready", n, round(r2, 4))
-        except Exception:  # a target that cannot be fitted is reported, not fatal
-            return t, None, ("failed", n, None)
-        finally:
-            rows.unpersist()
-
-    with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(fit, sorted(sizes)))
-    kind = df.schema[target].dataType.simpleString()
-    report = df.sparkSession.createDataFrame([(t, *state) for t, _, state in done],
-                                             f"{target} {kind}, status string, n long, r2 double")
-    return {t: m for t, m, _ in done if m is not None}, report
-
-
-def save_models(models: dict, root: str) -> None:
-    for t, m in models.items():
-        m.write().overwrite().save(f"{root}/{t}")
-
-
-def load_models(root: str, targets) -> dict:
-    return {t: PipelineModel.load(f"{root}/{t}") for t in targets}
+    counts, fits = _fit(df, target, label, key, features, [FINAL, *range(folds)], folds, min_rows, settings)
+    r2 = _scores(fits, target)
+    status = F.when(F.col("n") < min_rows, "learning").when(F.col("usable") < min_rows, "failed").otherwise("ready")
+    report = counts.withColumn("status", status).join(r2, target, "left").select(
+        target, "status", "n", F.when(F.col("status") == "ready", F.round("r2", 4)).alias("r2"))
+    return fits.filter("tree is not null").select(target, "tree", "node", "feature", "cut", "value"), report
+
+
+def save_models(models: DataFrame, root: str, target: str) -> None:
+    """Write every model to a folder of its own; models of other targets stay."""
+    models.withColumn("of", _folder(F.col(target))).write.partitionBy("of").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(root)
+
+
+def _folder(target: Column) -> Column:
+    return F.concat(F.lit("_"), target.cast("string"))  # read back as a string, whatever the targets are
+
+
+def load_models(spark: SparkSession, root: str, targets: list | None = None) -> DataFrame:
+    """The models under `root`, all or those of some targets."""
+    rows = spark.read.option("basePath", root).parquet(root)
+    rows = rows if targets is None else rows.filter(F.col("of").isin([f"_{t}" for t in targets]))
+    return rows.drop("of")
+
+
+def packed_models(models: DataFrame, target: str) -> DataFrame:
+    """One row per target: base value and depth, and the nodes of all trees as arrays."""
+    inner = F.when(F.col("feature").isNotNull() & (F.col("tree") >= 0), F.struct("tree", "node", "feature", "cut"))
+    leaf = F.when(F.col("feature").isNull(), F.struct("tree", "node", "value"))
+    base = F.col("tree") < 0
+    packed = models.groupBy(target).agg(F.max(F.when(base, F.col("value"))).alias("base"), F.max(F.when(base, F.col("feature"))).alias("depth"),
+                                        F.array_sort(F.collect_list(inner)).alias("inner"), F.array_sort(F.collect_list(leaf)).alias("leaf"))
+    return packed.select(target, F.struct("base", "depth", F.col("inner.feature").alias("features"), F.col("inner.cut").alias("cuts"),
+                                          F.col("leaf.value").alias("values")).alias("__model"))
+
+
+def predicted(x: Column, model: Column) -> Column:
+    """The value of one packed model for the features `x`: every tree is a walk through the arrays."""
+    nodes = F.call_function("power", F.lit(2), model["depth"]).cast("int")
+
+    def leaf(tree: Column) -> Column:
+        def step(node, _):
+            at = tree * (nodes - 1) + node
+            return 2 * node + F.when(F.get(x, F.get(model["features"], at)) > F.get(model["cuts"], at), 2).otherwise(1)
+        return F.aggregate(F.sequence(F.lit(1), model["depth"]), F.lit(0), step)
+    trees = F.sequence(F.lit(0), (F.size(model["values"]) / nodes).cast("int") - 1)
+    return F.aggregate(trees, model["base"], lambda sum_, t: sum_ + F.get(model["values"], t * nodes + leaf(t) - (nodes - 1)))
+
+
+def with_predictions(df: DataFrame, models: DataFrame, target: str, features: str = "features") -> DataFrame:
+    """`df` with `predicted`, null where the target has no model or the row no features; one join for all targets."""
+    packed = packed_models(models, target)
+    packed = F.broadcast(packed) if at_most(models.select(target).distinct(), BROADCAST_MODELS) else packed
+    x = as_array(df, features)
+    both = df.join(packed, target, "left")
+    return both.withColumn("predicted", F.when(F.col("__model").isNotNull() & F.col(features).isNotNull(), predicted(x, F.col("__model"))))
 
 
 def refit_due(counts: DataFrame, report: DataFrame, target: str, n: str = "n", trained_n: str = "trained_n",
@@ -113,27 +157,43 @@ def model_report(counts: DataFrame, previous: DataFrame, target: str, r2: str =
         .when(F.col(r2) > F.col("previous_r2"), "improved").otherwise("ready"))
 
 
-def prescreen(df: DataFrame, models: dict, target: str, key: str, n: int = KEEP, highest: bool = True,
-              seed: int = 42) -> DataFrame:
-    """Best `n` predicted rows per target; a random `n` where a target has no model."""
-    parts = [m.transform(df.filter(F.col(target) == t)).select(target, key, F.col("predicted"))
-             for t, m in models.items()]
-    blind = df.filter(~F.col(target).isin(list(models))) if models else df
-    parts.append(blind.select(target, key, F.lit(None).cast("double").alias("predicted")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    drawn = F.when(F.col("predicted").isNull(), F.xxhash64(key, F.lit(seed)))
-    rows = rows.withColumn("__drawn", drawn)
-    order = ["predicted desc" if highest else "predicted", "__drawn", key]
-    return top_per_key(rows, [target], order, n).drop("__drawn")
-
-
-def prescreen_pool(df: DataFrame, models: dict, report: DataFrame, target: str, key: str, pool: int = POOL,
-                   n: int = KEEP, trusted: float = TRUSTED_R2, seed: int = 42) -> DataFrame:
-    """Pre-screen a pool of `pool` sampled rows for each target, only with models whose R2 is trusted; a target without one
-    gets no row. The pool of a target does not depend on the others."""
-    good = {r[0] for r in report.filter((F.col("status") == "ready") & (F.col("r2") >= trusted)).select(target).collect()}
-    used = {t: m for t, m in models.items() if t in good}
-    rows = df.filter(F.col(target).isin(list(used))).withColumn("__pool", draw_order(key, seed))
-    return prescreen(top_per_key(rows, [target], ["__pool", key], pool).drop("__pool"), used, target, key, n, seed=seed)
+def prescreen(df: DataFrame, models: DataFrame, target: str, key: str, n: int = KEEP, highest: bool = True,
+              seed: int = 42, features: str = "features") -> DataFrame:
+    """(target, key, predicted, place): the best `n` predicted rows per target.
+
+    A target without a model gets a random `n`, the smallest hashes of key and seed; so does one none of whose rows has features.
+    Elsewhere rows without features take no part.
+    """
+    rows = with_predictions(df, models, target, features).select(target, key, "predicted", draw_order(key, seed).alias("__drawn"))
+    value = F.when(F.col("predicted").isNotNull(), F.col("predicted") if highest else -F.col("predicted"))
+    rows = rows.withColumn("__value", value).withColumn("__drawn", F.when(F.col("predicted").isNull(), F.col("__drawn")))
+    best = top_per_key(rows, [target], ["__value desc", "__drawn", key], n, rank="place")
+    scored = F.max("predicted").over(Window.partitionBy(target)).isNotNull()  # over at most n rows a target
+    return best.withColumn("__scored", scored).filter(~F.col("__scored") | F.col("predicted").isNotNull()).select(
+        target, key, "predicted", F.col("place").cast("int").alias("place"))
+
+
+def pool_draws(library: DataFrame, targets: DataFrame, target: str, key: str, pool: int = POOL, seed: int = 42) -> DataFrame:
+    """(target, key): `pool` rows of a shared library for each target, without replacement; all rows if there are fewer.
+
+    The library is ordered by a hash of key and seed; a target takes `pool` rows in a row from a start that its own hash gives.
+    """
+    placed = number_rows(library.select(key).withColumn("__draw", draw_order(key, seed)), ["__draw", key], (), "__pos").select(key, "__pos")
+    size = library.count()
+    start = F.conv(F.substring(draw_order(target, seed), 1, 8), 16, 10).cast("long")
+    places = targets.filter(F.lit(size > 0)).select(target, F.explode(F.sequence(F.lit(0), F.lit(max(min(pool, size) - 1, 0)))).alias("i")).select(
+        target, (F.pmod(F.col("i") + start, F.lit(max(size, 1))) + 1).alias("__pos"))
+    wanted = materialise(places)
+    return placed.join(F.broadcast(wanted) if at_most(wanted, 500_000) else wanted, "__pos").select(target, key)
+
+
+def prescreen_pool(library: DataFrame, models: DataFrame, report: DataFrame, target: str, key: str, pool: int = POOL,
+                   n: int = KEEP, trusted: float = TRUSTED_R2, seed: int = 42, features: str = "features") -> DataFrame:
+    """Pre-screen `pool` rows of a shared library for each target whose model is ready with a trusted R2; others get no row.
+
+    `library` has a unique key and features and no target. The draw of a target does not depend on the other targets.
+    """
+    good = report.filter((F.col("status") == "ready") & (F.col("r2") >= trusted)).select(target).join(models.select(target).distinct(), target, "left_semi")
+    draws = materialise(pool_draws(library, materialise(good), target, key, pool, seed))
+    rows = library.drop(target).join(F.broadcast(draws) if at_most(draws, 500_000) else draws, key)
+    return prescreen(rows, models, target, key, n, seed=seed, features=features)

@@ -2,12 +2,13 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from screenwell.catalog.base import OPERATORS, ORACLES, QUERIES
-from screenwell.operators import models as M
+from screenwell.operators import boosting, models as M
 from screenwell.plans import best_hits
 from screenwell.runtime import fresh_dir
 from screenwell.streaming import streams as R
@@ -60,6 +61,110 @@ def test_refit_starts_when_due(spark):
     assert (out["n"], out["fits"], fits) == (9, 2, [0, 1, 0, 1])
 
 
+def grown_by_hand(x, y, hashes, train, trees, depth=4, rate=0.05, share=0.8, seed=42):
+    """Boosting by plain loops: every cut of every feature is tried. Per tree {place: (feature, cut)} and {place: value}; all predictions."""
+    unit = boosting.unit_of(np.array(y))
+    cuts = boosting.cut_points(np.array(x, float))
+    base = sum(round(y[i] / unit) for i in train) * unit / len(train)
+    now, out = [base] * len(y), []
+    for tree in range(trees):
+        left = [round((v - p) / unit) for v, p in zip(y, now)]
+        use = [i for i in train if boosting.drawn(hashes, tree, share, seed)[i]]
+        nodes, inner = {0: (use, list(range(len(y))))}, {}
+        for level in range(depth):
+            for place in range((1 << level) - 1, (2 << level) - 1):
+                own, every = nodes.get(place, ([], []))
+                best, least = None, boosting.LEAST_GAIN * len(own) + (float(sum(left[i] for i in own)) ** 2 / len(own) if own else 0)
+                for j, values in enumerate(cuts):
+                    for c in values:
+                        sides = [[i for i in own if (x[i][j] > c) == side] for side in (False, True)]
+                        if all(sides):
+                            gain = sum(float(sum(left[i] for i in s)) ** 2 / len(s) for s in sides)
+                            if gain > (best[0] if best else least):
+                                best = gain, j, c
+                _, j, c = best or (0, 0, float("inf"))
+                inner[place] = j, c
+                for side in (False, True):
+                    nodes[2 * place + 1 + side] = tuple([i for i in part if (x[i][j] > c) == side] for part in (own, every))
+        leaves = {}
+        for place in range((1 << depth) - 1, (2 << depth) - 1):
+            own, every = nodes[place]
+            leaves[place] = rate * (sum(left[i] for i in own) * unit / len(own)) if own else 0.0
+            for i in every:
+                now[i] += leaves[place]
+        out.append((inner, leaves))
+    return base, out, now
+
+
+FEATURES = "t string, id long, y double, features array<double>, predicted double, n int, key string"
+
+
+@pytest.fixture(scope="module")
+def learnable():
+    rng = np.random.default_rng(1)
+    rows = []
+    for t, n in (("A", 90), ("B", 40), ("few", 12), ("hollow", 35), (None, 40)):
+        for i in range(n):
+            x = [float(rng.integers(2)), float(np.round(rng.normal(), 1)), float(rng.integers(3)), 7.0]
+            rows.append((t, i, 3 * x[0] - x[1] * x[2] + float(np.round(rng.normal(scale=0.1), 2)), None if t == "hollow" and i % 2 else x, None, 1, "k"))
+    rows += rows[:5] + [("A", 500, None, [1.0, 1.0, 1.0, 1.0], None, 1, "k"), ("A", 501, float("nan"), [1.0, 1.0, 1.0, 1.0], None, 1, "k")]
+    return rows
+
+
+def by_target(models):
+    out = {}
+    for r in models.collect():
+        out.setdefault(r["t"], {})[r["tree"], r["node"]] = tuple(r)[3:]
+    return out
+
+
+def test_boosting_equals_plain_loops(spark, learnable):
+    df = spark.createDataFrame(learnable, FEATURES)
+    models, report = M.train_targets(df, "t", "y", "id", maxIter=8)
+    assert {r["t"]: (r["status"], r["n"], r["r2"] is None) for r in report.collect()} == {
+        "A": ("ready", 90, False), "B": ("ready", 40, False), "few": ("learning", 12, True), "hollow": ("failed", 35, True)}
+    hashes = {r["id"]: r["h"] for r in df.select("id", F.xxhash64("id").alias("h")).distinct().collect()}
+    table, scored = by_target(models), M.with_predictions(df.drop("predicted"), models, "t")
+    predictions = {(r["t"], r["id"]): r["predicted"] for r in scored.collect()}
+    r2 = {r["t"]: r["r2"] for r in report.collect()}
+    for t, folds in (("A", 5), ("B", 4)):
+        rows = [r for r in learnable if r[0] == t][:90 if t == "A" else 40]
+        x, y, h = [r[3] for r in rows], [r[2] for r in rows], np.array([hashes[r[1]] for r in rows])
+        base, trees, now = grown_by_hand(x, y, h, range(len(y)), 8)
+        assert table[t][-1, 0] == (4, None, base)
+        for k, (inner, leaves) in enumerate(trees):
+            assert {p: table[t][k, p] for p in range(31)} == {**{p: (j, c, None) for p, (j, c) in inner.items()}, **{p: (None, None, v) for p, v in leaves.items()}}
+        assert [predictions[t, r[1]] for r in rows] == now
+        each = []
+        for fold in range(folds):
+            test = [i for i in range(len(y)) if h[i] % folds == fold]
+            _, _, p = grown_by_hand(x, y, h, [i for i in range(len(y)) if i not in test], 8)
+            mean = sum(y[i] for i in test) / len(test)
+            each.append(1 - sum((y[i] - p[i]) ** 2 for i in test) / sum((y[i] - mean) ** 2 for i in test))
+        assert abs(r2[t] - sum(each) / folds) < 1e-4
+    assert predictions["few", 0] is None and predictions[None, 0] is None and predictions["hollow", 0] is None
+
+
+def test_large_targets_get_the_same_trees(spark, learnable, monkeypatch):
+    """Grown level by level over many chunks, or each in one task: the same table, the same R2."""
+    df = spark.createDataFrame(learnable, FEATURES).repartition(5)
+    small = [x.collect() for x in M.train_targets(df, "t", "y", "id", maxIter=3)]
+    monkeypatch.setattr(M, "LOCAL_CELLS", 200)  # A has 360 cells, B 160
+    large = [x.collect() for x in M.train_targets(df, "t", "y", "id", maxIter=3)]
+    assert [sorted(map(str, x)) for x in large] == [sorted(map(str, x)) for x in small]
+
+
+def test_models_of_nothing(spark, learnable):
+    models, report = M.train_targets(spark.createDataFrame([], FEATURES), "t", "y", "id")
+    assert models.collect() == [] and report.collect() == []
+    rows = spark.createDataFrame(learnable[:20], FEATURES)
+    assert M.cv_r2(spark.createDataFrame([], FEATURES), "y", "id", maxIter=2) == 0.0
+    assert M.prescreen(rows.drop("predicted"), models, "t", "id", 5).filter("predicted is null").count() == 5
+    same = rows.withColumn("y", F.lit(2.0))
+    models, report = M.train_targets(same, "t", "y", "id", min_rows=5, maxIter=2)
+    assert report.first()["r2"] == 0.0 and {r["value"] for r in models.filter("tree >= 0 and value is not null").collect()} == {0.0}
+
+
 def test_models_learn_and_are_kept(spark):
     rows = spark.range(120).select("id", F.lit("T").alias("t"), (F.col("id") % 12).cast("double").alias("mw"),
                                    F.array((F.col("id") % 8).cast("int")).alias("fp"))
@@ -73,38 +178,47 @@ def test_models_learn_and_are_kept(spark):
     assert best.agg(F.min("y")).first()[0] >= 18
     assert M.prescreen(few, models, "t", "id", 5).count() == 5
     root = fresh_dir(spark, "models")
-    M.save_models(models, root)
-    again = M.prescreen(rows, M.load_models(root, ["T"]), "t", "id", 5)
+    M.save_models(models, root, "t")
+    M.save_models(models.filter("tree < 0").withColumn("t", F.lit("07")), root, "t")  # another target's model stays
+    again = M.prescreen(rows, M.load_models(spark, root, ["T"]), "t", "id", 5)
     assert sorted(map(tuple, again.collect())) == sorted(tuple(r) for r in M.prescreen(rows, models, "t", "id", 5).collect())
+    assert M.load_models(spark, root, ["07"]).count() == 1 and M.load_models(spark, root).count() == 1 + models.count()
+
+
+def constant(t, value):
+    """A model of one tree of depth 1 that tells features over 4 from others."""
+    return [(t, -1, 0, 1, None, value), (t, 0, 0, 0, 4.0, None), (t, 0, 1, None, None, 0.0), (t, 0, 2, None, None, 1.0)]
 
 
 def test_pool_is_drawn_for_each_trusted_target(spark):
-    """A small target keeps its pool beside large ones, trusted or not."""
-    class Model:
-        def transform(self, df):
-            return df.withColumn("predicted", F.col("id").cast("double"))
-    rows = spark.range(3000).select("id", F.when(F.col("id") < 8, "small").when(F.col("id") < 1500, "large").otherwise("doubted").alias("t"))
-    report = spark.createDataFrame([("small", "ready", 0.9), ("large", "ready", 0.5), ("doubted", "ready", 0.4)], "t string, status string, r2 double")
-    models = dict.fromkeys(("small", "large", "doubted"), Model())
-    got = M.prescreen_pool(rows, models, report, "t", "id", pool=20, n=30)
-    assert {r["t"]: r["count"] for r in got.groupBy("t").count().collect()} == {"small": 8, "large": 20}
+    """Every trusted target meets its own draw of the shared library, and keeps its best; others get none."""
+    library = spark.range(1000).select("id", F.array((F.col("id") % 10).cast("double")).alias("features"))
+    names = ("small", "large", "doubted", "untrained")
+    report = spark.createDataFrame([("small", "ready", 0.9), ("large", "ready", 0.5), ("doubted", "ready", 0.4), ("untrained", "ready", 0.9), ("bad", "failed", None)],
+                                   "t string, status string, r2 double")
+    models = spark.createDataFrame([r for k, t in enumerate(names[:3]) for r in constant(t, float(k))], f"t string, {boosting.TREE}")
+    got = M.prescreen_pool(library, models, report, "t", "id", pool=40, n=30).collect()
+    draws = {}
+    for r in M.pool_draws(library, report.select("t"), "t", "id", pool=40).collect():
+        draws.setdefault(r["t"], set()).add(r["id"])
+    assert {len(d) for d in draws.values()} == {40} and draws["small"] != draws["large"]
+    for t, base in (("small", 0.0), ("large", 1.0)):
+        own = [r for r in got if r["t"] == t]
+        assert sorted(r["place"] for r in own) == list(range(1, 31)) and {r["id"] for r in own} <= draws[t]
+        high = sum(i % 10 > 4 for i in draws[t])
+        assert [r["predicted"] for r in sorted(own, key=lambda r: r["place"])] == [base + 1] * min(30, high) + [base] * (30 - min(30, high))
+    assert {r["t"] for r in got} == {"small", "large"}
+    assert M.prescreen_pool(library.limit(7), models, report, "t", "id", pool=40, n=30).groupBy("t").count().filter("count = 7").count() == 2
+    assert M.prescreen_pool(library.limit(0), models, report, "t", "id").count() == 0
 
 
 @pytest.mark.parametrize("name", ["train_targets", "cv_r2", "prescreen", "prescreen_pool", "saved_models"])
-def test_model_queries_take_the_operators_defaults(monkeypatch, name):
+def test_model_queries_take_the_operators_defaults(name):
     """All targets, with the settings, folds and trust of the operators themselves."""
+    import inspect
     from screenwell.catalog import flows
-    calls = []
-    monkeypatch.setattr(flows, "model_rows", lambda t: "rows")
-    monkeypatch.setattr(flows, "fresh_dir", lambda *a: "root")
-    for f in ("train_targets", "cv_r2", "prescreen", "prescreen_pool", "save_models", "load_models"):
-        answer = ({0: "m"}, "report") if f == "train_targets" else 0.5
-        monkeypatch.setattr(M, f, lambda *a, f=f, answer=answer, **how: calls.append((f, a[0], how)) or answer)
-
-    class Session:
-        createDataFrame = staticmethod(lambda *a: None)
-    getattr(flows, name)(type("T", (), {"spark": Session}))
-    assert calls and all(not how for *_, how in calls) and all(rows == "rows" for f, rows, _ in calls if not f.endswith("_models"))
+    source = inspect.getsource(getattr(flows, name))
+    assert not any(f"{word}=" in source for word in ("maxIter", "maxDepth", "folds", "trusted", "pool", "n", "min_rows"))
 
 
 def test_logged_twice_counts_once(spark):

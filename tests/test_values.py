@@ -217,7 +217,8 @@ def test_registry_keeps_first(spark):
 
 
 def test_untrusted_target_has_no_pool(spark):
-    from screenwell.operators import models
-    rows = spark.createDataFrame([(k, k % 2) for k in range(20)], "vec_id long, target long")
+    from screenwell.operators import boosting, models
+    rows = spark.createDataFrame([(k, [1.0]) for k in range(20)], "vec_id long, features array<double>")
     report = spark.createDataFrame([(0, "ready", 0.1), (1, "failed", None)], "target long, status string, r2 double")
-    assert models.prescreen_pool(rows, {}, report, "target", "vec_id").count() == 0
+    none = spark.createDataFrame([], f"target long, {boosting.TREE}")
+    assert models.prescreen_pool(rows, none, report, "target", "vec_id").count() == 0
