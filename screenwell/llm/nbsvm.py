@@ -121,16 +121,25 @@ def _slots_of(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.list_(pa.int32()))], ["id", "label", "slots"])
 
 
+def _drawn(want: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows (id, label), those of the smallest hashes of their ids."""
+    n = want.count()
+    if n <= most:
+        return want
+    part = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < min(1 << 30, (1 << 30) * 3 * most // (2 * n) + (1 << 20))
+    return want.filter(part).orderBy(F.xxhash64("id", F.lit(7)), "id").limit(most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str = "doc_id", text: str = "text", most_labelled: int = 8_000,
-        cost: float = 1.0, epochs: int = 20) -> Model:
-    """The model of `label` = 1. Ratios count every labelled row; the hinge fit takes at most `most_labelled` of them, drawn by
-    the hash of the id. Without both classes the model scores 0.5."""
-    want = labels.filter(F.col(label).isin(0, 1)).select(F.col(ident).cast("long").alias("id"), F.col(label).cast("int").alias("label")).dropDuplicates(["id"])
-    rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).join(want, "id")
-    ratios = log_ratios(rows)
-    some = want.orderBy(F.xxhash64("id"), "id").limit(most_labelled)
-    found = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(some), "id").select("id", "text", "label").mapInArrow(
-        _slots_of, "id long, label int, slots array<int>").dropDuplicates(["id"]).toArrow().sort_by("id")
+        most_counted: int = 500_000, cost: float = 1.0, epochs: int = 20) -> Model:
+    """The model of `label` = 1. Ratios count at most `most_counted` labelled rows, the hinge fit takes at most `most_labelled`, drawn
+    by hashes of the id; the drawn ids go to the texts by broadcast, so no other text is moved. An id with both labels counts as 0;
+    of texts that share an id the smallest is fitted. Without both classes the model scores 0.5."""
+    want = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(ident).cast("long").alias("id")).agg(F.min(F.col(label).cast("int")).alias("label")).filter("id is not null")
+    texts = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
+    ratios = log_ratios(texts.join(F.broadcast(_drawn(want, most_counted)), "id"))
+    some = texts.join(F.broadcast(_drawn(want, most_labelled)), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    found = some.select("id", "text", "label").mapInArrow(_slots_of, "id long, label int, slots array<int>").toArrow().sort_by("id")
     y = np.array(found["label"].to_pylist()) * 2.0 - 1
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), 0.0, 1.0, 0.0)
