@@ -159,12 +159,13 @@ def bit_text(t):
 
 
 @query("P14", """
-SELECT doc_id, len(bits) AS n_on, CAST(list_sum(bits) AS BIGINT) AS bit_sum, bits[1] AS first_bit
+SELECT doc_id, coalesce(len(bits), 0) AS n_on, CAST(list_sum(bits) AS BIGINT) AS bit_sum, bits[1] AS first_bit
 FROM (SELECT doc_id, list_sort(list_distinct(list_transform(
         list_distinct(list_transform(range(1, length(text) - 2), lambda i: substr(text, i, 4))),
-        lambda g: CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 2048))) AS bits FROM documents WHERE length(text) >= 4)""")
+        lambda g: CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) % 2048))) AS bits FROM documents)""")
 def qgram_fp(t):
-    rows = spread(t.documents.filter(F.length("text") >= 4).select("doc_id", "text"))
+    """A text of fewer than four characters has no bit, and so no sum and no first one; neither has a null."""
+    rows = spread(t.documents.select("doc_id", "text"))
     sets = rows.select("doc_id", fp.qgram_fp("text", 4, 2048, "md5").alias("fp"))
     bit = sets.select("doc_id", F.explode_outer("fp").alias("bit"))  # an inner explode computes fp twice
     return bit.groupBy("doc_id").agg(F.count("*").alias("n_on"), F.sum("bit").alias("bit_sum"), F.min("bit").alias("first_bit"))
@@ -194,12 +195,21 @@ def tanimoto_packed(t):
         F.round(fp.tanimoto_packed("px", "py", 1), 6).alias("packed_similarity"))
 
 
+def _powers(base: int) -> str:
+    return ", ".join(f"{base ** k}::BIGINT" for k in range(int(63 / math.log2(base))))
+
+
+_INDICES = "(SELECT o_orderkey FROM orders UNION ALL SELECT 9007199254740993 + o_orderkey * 1048576 FROM orders)"
+
+
 @query("P16", """
 SELECT o_orderkey, """ + ", ".join(
-    f"round((SELECT sum((o_orderkey // CAST(pow({b}, k) AS BIGINT)) % {b} / pow({b}, k + 1)) FROM range(0, {int(40 / math.log2(b))}) r(k)), 9) AS h{b}"
-    for b in PRIMES) + " FROM orders")
+    f"round((SELECT sum((o_orderkey // p) % {b} / (p::DOUBLE * {b})) FROM (SELECT unnest([{_powers(b)}]) AS p)), 9) AS h{b}"
+    for b in PRIMES) + f" FROM {_INDICES}")
 def halton(t):
-    return t.orders.select("o_orderkey", *[
+    """Order keys and far larger numbers, beyond what a double holds exactly."""
+    far = t.orders.select((F.col("o_orderkey") * 1048576 + 9007199254740993).alias("o_orderkey"))
+    return t.orders.select("o_orderkey").unionAll(far).select("o_orderkey", *[
         F.round(radical_inverse("o_orderkey", b), 9).alias(f"h{b}") for b in PRIMES])
 
 

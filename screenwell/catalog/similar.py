@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.fingerprints import qgram_fp, sign_bits, sign_word, tanimoto_word
+from ..functions.fingerprints import qgrams, sign_bits, sign_word, tanimoto_word
 from ..operators import aggregates as A
 from ..operators import similarity as X
 from ..runtime import spread
@@ -23,20 +23,34 @@ def sign_sets(t):
     return t.embeddings.select("vec_id", "label", sign_bits("embedding").alias("fp"))
 
 
-_SPACE = 2_147_483_647
+_Q = 8
 
 
 def text_set(text: str):
-    """Hashed eight-character substrings of the whole text; a shorter text is its own one shingle, a null has none."""
-    own = F.array(F.pmod(F.xxhash64(text), F.lit(_SPACE)).cast("int"))
-    return F.when(F.length(text) >= 8, qgram_fp(text, 8, _SPACE)).when(F.col(text).isNotNull(), own)
+    """The 64-bit hashes of all eight-character substrings of the whole text; a shorter text is its own one shingle, a null has none."""
+    whole = F.array(F.xxhash64(F.col(text)))
+    return F.when(F.length(text) >= _Q, F.array_distinct(F.transform(qgrams(text, _Q), lambda g: F.xxhash64(g)))).when(F.col(text).isNotNull(), whole)
+
+
+def document_set():
+    """A document without a text is unlike any other: its id is its one shingle."""
+    return F.coalesce(text_set("text"), F.array(F.xxhash64(F.lit("no text"), "doc_id")))
 
 
 def text_sets(t):
-    """All documents as sets. A document without a text is unlike any other: its id is its one shingle."""
+    """All documents as sets."""
     rows = spread(t.documents.select("doc_id", "lang", "n_chars", "text"))
-    alone = F.array(F.pmod(F.xxhash64(F.lit("no text"), "doc_id"), F.lit(_SPACE)).cast("int"))
-    return rows.select("doc_id", "lang", "n_chars", F.coalesce(text_set("text"), alone).alias("fp"))
+    return rows.select("doc_id", "lang", "n_chars", document_set().alias("fp"))
+
+
+# Documents as sets in SQL: (doc_id, g), with equal sets under their smallest id; and their similar pairs.
+_GRAMS = """CASE WHEN length({text}) >= 8 THEN list_distinct(list_transform(range(1, length({text}) - 6), lambda i: substr({text}, i, 8))) WHEN {text} IS NOT NULL THEN [{text}] {other} END"""
+_DOCS = f"""WITH RECURSIVE s AS (SELECT doc_id, lang, n_chars, {_GRAMS.format(text="text", other="ELSE ['no text ' || doc_id]")} AS g FROM documents),
+  o AS (SELECT *, len(g) AS n, first_value(doc_id) OVER (PARTITION BY list_sort(g) ORDER BY {{order}}) AS rep FROM s),
+  d AS (SELECT * FROM o WHERE doc_id = rep),
+  x AS (SELECT doc_id, n, unnest(g) AS t FROM d),
+  p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS similarity
+    FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id AND a.n >= {{t}} * b.n AND b.n >= {{t}} * a.n GROUP BY 1, 2 HAVING similarity >= {{t}})"""
 
 
 _ENTROPY = _SETS + """, n AS (SELECT label, count(*) AS n FROM e WHERE len(fp) > 0 GROUP BY 1),
@@ -87,20 +101,27 @@ def similar_pairs(t):
     return X.similar_pairs(sign_sets(t), "vec_id", "fp", 0.5).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("J7")
+@query("J7", _DOCS.format(order="doc_id", t=0.85) + "SELECT id_a, id_b, round(similarity, 6) AS similarity FROM p")
 def similar_documents(t):
     return X.similar_pairs(text_sets(t), "doc_id", "fp", 0.85).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("J7", """
-SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS first_id FROM (SELECT doc_id, list_sort(list_distinct(
-  list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8)))) AS g FROM documents WHERE length(text) >= 8)""")
+SELECT doc_id, min(doc_id) OVER (PARTITION BY g) AS first_id FROM (SELECT doc_id, CASE WHEN length(text) < 8 THEN [text] ELSE list_sort(list_distinct(
+  list_transform(range(1, length(text) - 6), lambda i: substr(text, i, 8)))) END AS g FROM documents WHERE text IS NOT NULL)""")
 def copies(t):
-    long = t.documents.filter(F.length("text") >= 8)
-    return X.copies(spread(long.select("doc_id", "text")).select("doc_id", text_set("text").alias("fp")), "doc_id", "fp")
+    """A document without a text is a copy of none and not listed."""
+    texts = spread(t.documents.filter("text is not null").select("doc_id", "text"))
+    return X.copies(texts.select("doc_id", F.sort_array(text_set("text")).alias("fp")), "doc_id", "fp")
 
 
-@query("J5")
+_MEMORY = """, m AS (SELECT row_number() OVER () AS m, {grams} AS g FROM ({texts})), y AS (SELECT m, len(g) AS n, unnest(g) AS t FROM m WHERE g IS NOT NULL),
+  near AS (SELECT DISTINCT doc_id FROM (SELECT x.doc_id, y.m FROM x JOIN y USING (t) GROUP BY x.doc_id, y.m, x.n, y.n HAVING count(*) >= 0.65 * (x.n + y.n - count(*))))"""
+
+
+@query("J5", (_DOCS.format(order="doc_id", t=0.65) + _MEMORY.format(
+    grams=_GRAMS.format(text="text", other=""), texts="SELECT DISTINCT text FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations)"))
+    + "SELECT doc_id FROM o WHERE rep NOT IN (SELECT doc_id FROM near)")
 def novel_documents(t):
     """Documents unlike every benchmark passage and every conversation turn."""
     memory = spread(t.benchmark.select("text").unionAll(t.conversations.select("text"))).select(text_set("text").alias("fp"))
@@ -136,18 +157,32 @@ def filter_novel_vectors(t):
     return X.filter_novel(new, memory, "vec_id", "fp", ["label", "vec_id"], 0.5).select("vec_id")
 
 
-@query("T5")
+# The walk over documents: a set is kept unless a kept one before it is among its similar pairs.
+_STEPS = """, c AS (SELECT doc_id, row_number() OVER (ORDER BY {order}) AS i FROM {rows}),
+  e AS (SELECT a.i AS early, b.i AS late FROM p JOIN c a ON a.doc_id = p.id_a JOIN c b ON b.doc_id = p.id_b),
+  f AS (SELECT i, list(CASE WHEN early = i THEN late ELSE early END) FILTER (CASE WHEN early = i THEN late ELSE early END < i) AS before
+    FROM c LEFT JOIN e ON i = early OR i = late GROUP BY i),
+  l AS (SELECT list(coalesce(before, []) ORDER BY i) AS before FROM f),
+  w AS (SELECT 1 AS i, CAST([] AS BIGINT[]) AS kept, before FROM l UNION ALL
+    SELECT i + 1, CASE WHEN list_has_any(kept, before[i]) THEN kept ELSE list_append(kept, i) END, before FROM w WHERE i <= len(before)),
+  kept AS (SELECT doc_id, i FROM c WHERE i IN (SELECT unnest(kept) FROM (SELECT kept FROM w ORDER BY i DESC LIMIT 1)))"""
+
+
+@query("T5", _DOCS.format(order="n_chars DESC, doc_id", t=0.65) + _STEPS.format(order="n_chars DESC, doc_id", rows="d")
+       + "SELECT doc_id, n_chars FROM kept JOIN d USING (doc_id) ORDER BY i LIMIT 200")
 def diverse_documents(t):
-    return X.diverse_top_n(text_sets(t), "doc_id", "fp", ["n_chars desc", "doc_id"], 0.65, 200).select("doc_id", "n_chars")
+    rows = spread(t.documents.select("doc_id", "n_chars", "text"))
+    return X.diverse_top_n(rows, "doc_id", "fp", ["n_chars desc", "doc_id"], 0.65, 200, sets=document_set()).select("doc_id", "n_chars")
 
 
-@query("T6")
+@query("T6", (_DOCS.format(order="doc_id", t=0.65) + _MEMORY.format(grams=_GRAMS.format(text="text", other=""), texts="SELECT DISTINCT text FROM benchmark")
+              + _STEPS.format(order="doc_id", rows="d WHERE doc_id NOT IN (SELECT doc_id FROM near)")) + "SELECT doc_id FROM kept")
 def filter_novel(t):
     """New documents in arrival order: unlike the benchmark and unlike one another."""
     memory = t.benchmark.select(text_set("text").alias("fp"))
     return X.filter_novel(text_sets(t), memory, "doc_id", "fp", ["doc_id"]).select("doc_id")
 
 
-@query("T7")
+@query("T7", _DOCS.format(order="doc_id", t=0.85) + _STEPS.format(order="doc_id", rows="d") + "SELECT doc_id, lang FROM kept JOIN d USING (doc_id)")
 def leader_filter(t):
     return X.leader_filter(text_sets(t), "doc_id", "fp", ["doc_id"]).select("doc_id", "lang")

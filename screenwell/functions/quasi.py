@@ -13,10 +13,11 @@ PRIMES = (2, 3, 5, 7, 11, 13, 17)
 
 
 def radical_inverse(index, base: int, largest: int = (1 << 63) - 1) -> Column:
-    """Digits of `index` in `base`, mirrored at the point. `largest` bounds the index."""
+    """Digits of `index` in `base`, mirrored at the point; digits by integer division. `largest` bounds the index."""
     i, power, terms = col(index).cast("long"), 1, []
     while power <= largest:
-        terms.append((F.floor(i / F.lit(power)) % base) / F.lit(float(power * base)))
+        digit = F.call_function("div", i, F.lit(power).cast("long")) % base
+        terms.append(digit / F.lit(float(power * base)))
         power *= base
     return functools.reduce(lambda a, b: a + b, terms)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import as_list, at_most, sort_cols
+from ..runtime import as_list, fits_broadcast, sort_cols
 from .ordering import last_known
 
 
@@ -20,9 +20,9 @@ def salted_join(left: DataFrame, right: DataFrame, on, how: str = "left", salts:
     return spread.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
-def enrich(df: DataFrame, dim: DataFrame, on, small: int = 100_000) -> DataFrame:
-    """Left join to a dimension: broadcast when a count proves it small; beyond that AQE splits skewed keys."""
-    return df.join(F.broadcast(dim) if at_most(dim, small) else dim, as_list(on), "left")
+def enrich(df: DataFrame, dim: DataFrame, on, small: int = 32 << 20) -> DataFrame:
+    """Left join to a dimension: broadcast when its bytes prove small; beyond that AQE splits skewed keys."""
+    return df.join(F.broadcast(dim) if fits_broadcast(dim, small) else dim, as_list(on), "left")
 
 
 def registered(df: DataFrame, members: DataFrame, on) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fingerprints import tanimoto
-from ..runtime import as_list, at_most, largest_group, materialise, sort_cols, sort_names
+from ..runtime import as_list, at_most, fits_broadcast, largest_group, materialise, sort_cols, sort_names
 from .joins import salted_join
 from .ordering import number_rows
 from .windows import dedup_first, top_per_key
@@ -19,6 +19,10 @@ from .windows import dedup_first, top_per_key
 _FREQUENCY_SLOTS = 1 << 16
 _EPS = 1e-9
 _SHARE = 0.05
+# Bits of a token beside its rank in a prefix. Tokens that agree in them only add candidates.
+_TOKEN_BITS = 46
+# A list of sets that hold one token is cut into blocks of about so many; every pair of blocks is a key of its own.
+LIST_BLOCK = 2048
 
 
 def distinct_sets(df: DataFrame, ident: str, fp: str, order) -> DataFrame:
@@ -64,9 +68,10 @@ def _prefixes(sets: DataFrame, ident: str, fp: str, rarity: Column, t: float) ->
     """
     n = F.size(fp)
     k = F.floor(n * _SHARE).cast("int") + 1
-    # Rarity in the high half, token in the low half: one sort of plain longs.
+    # Rarity in the high bits, token in the low ones: one sort of plain longs.
     ranked = F.sort_array(F.transform(fp, lambda x: F.coalesce(
-        F.get(rarity, F.pmod(x, F.lit(_FREQUENCY_SLOTS))) * (1 << 32) + x, F.lit(0).cast("long"))))
+        F.get(rarity, F.pmod(x, F.lit(_FREQUENCY_SLOTS))) * (1 << _TOKEN_BITS) + x.cast("long").bitwiseAND(F.lit((1 << _TOKEN_BITS) - 1)),
+        F.lit(0).cast("long"))))
     keep = (n - F.ceil(n * t - _EPS)).cast("int") + k
     return sets.select(ident, n.alias("n"), k.alias("k"), F.explode(F.slice(ranked, F.lit(1), keep)).alias("token"))
 
@@ -75,12 +80,47 @@ def _sizes_allow(n: Column, m: Column, t: float) -> Column:
     return (m >= n * t - _EPS) & (n >= m * t - _EPS)
 
 
-def _candidates(left: DataFrame, right: DataFrame, a: str, b: str, t: float, extra: Column | None = None) -> DataFrame:
-    """(a, b) of compatible sizes that share enough prefix tokens."""
+def _blocks(rows: DataFrame, ident: str, block: int) -> DataFrame:
+    """(token, parts, i): tokens of more than `block` rows, and their rows' share among so many parts."""
+    hot = rows.groupBy("token").count().filter(F.col("count") > block)
+    return hot.select("token", F.ceil(F.col("count") / block).cast("int").alias("parts"))
+
+
+def _keyed(rows: DataFrame, ident: str, parts: DataFrame | None, other: DataFrame | None, side: int, triangle: bool) -> DataFrame:
+    """Rows with the block pairs (i, j) in which they meet others: j for every part of the other side, i their own, or the reverse."""
+    for name, table in (("__own", parts), ("__other", other)):
+        part = table.withColumnRenamed("parts", name) if table is not None else None
+        rows = rows.join(F.broadcast(part) if at_most(part, 100_000) else part, "token", "left") if part is not None else rows.withColumn(name, F.lit(None).cast("int"))
+    own = F.pmod(F.xxhash64(ident), F.coalesce("__own", F.lit(1)))
+    last = F.coalesce("__other", F.lit(1)) - 1
+    start, end = (own if side == 0 else F.lit(0), last if side == 0 else own) if triangle else (F.lit(0), last)
+    rows = rows.withColumn("__mine", own).withColumn("__with", F.explode(F.sequence(start.cast("int"), end.cast("int"))))
+    i, j = ("__mine", "__with") if side == 0 else ("__with", "__mine")
+    return rows.select("*", F.col(i).cast("int").alias("__i"), F.col(j).cast("int").alias("__j")).drop("__own", "__other", "__mine", "__with")
+
+
+def _candidates(left: DataFrame, right: DataFrame, a: str, b: str, t: float, extra: Column | None = None, itself: bool = False,
+                block: int | None = None) -> DataFrame:
+    """(a, b) of compatible sizes that share enough prefix tokens; with `itself` the sides are the same rows and a < b.
+
+    Rows that hold a token of more than `block` rows meet in pairs of blocks, so no task takes a long list whole: one of m rows
+    is (m / block)^2 / 2 keys of at most 2 * block rows.
+    """
+    block = block or LIST_BLOCK
     r = right.select(F.col(b), F.col("n").alias("m"), F.col("k").alias("l"), "token")
-    pairs = left.join(r, "token").filter(_sizes_allow(F.col("n"), F.col("m"), t))
+    hot = materialise(_blocks(left, a, block))
+    theirs = hot if itself else materialise(_blocks(r, b, block))
+    on = ["token"]
+    if not hot.isEmpty() or not theirs.isEmpty():
+        left, r, on = _keyed(left, a, hot, theirs, 0, itself), _keyed(r, b, theirs, hot, 1, itself), ["token", "__i", "__j"]
+    pairs = left.join(r, on).filter(_sizes_allow(F.col("n"), F.col("m"), t))
     if extra is not None:
         pairs = pairs.filter(extra)
+    if itself and len(on) > 1:  # across blocks a pair meets once, in either order
+        pairs = pairs.filter((F.col("__i") < F.col("__j")) | (F.col(a) < F.col(b)))
+        pairs = pairs.withColumns({a: F.least(a, b), b: F.greatest(a, b)}).filter(F.col(a) < F.col(b))
+    elif itself:
+        pairs = pairs.filter(F.col(a) < F.col(b))
     # A similar pair overlaps in at least ceil(t * larger size) tokens, so no more may be asked for.
     enough = F.least("k", "l", F.ceil(F.greatest("n", "m") * t - _EPS))
     return pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("shared"), F.first(enough).alias("enough")).filter(
@@ -106,9 +146,9 @@ def similar_pairs(df: DataFrame, ident: str, fp: str, t: float) -> DataFrame:
     for every two copies.
     """
     sets = materialise(distinct_sets(_held(df, ident, fp), ident, fp, [ident]).withColumnRenamed(ident, "id_a"))
-    prefixes = _prefixes(sets, "id_a", fp, _rarity([sets], fp), t)
+    prefixes = materialise(_prefixes(sets, "id_a", fp, _rarity([sets], fp), t))
     other = prefixes.withColumnRenamed("id_a", "id_b")
-    pairs = _candidates(prefixes, other, "id_a", "id_b", t, F.col("id_a") < F.col("id_b"))
+    pairs = _candidates(prefixes, other, "id_a", "id_b", t, itself=True)
     return _verified(pairs, sets, sets.withColumnRenamed("id_a", "id_b"), "id_a", "id_b", fp, t)
 
 
@@ -162,7 +202,7 @@ def nearest_active(df: DataFrame, actives: DataFrame, ident: str, target: str, f
                                            F.col("__af").alias("fp"))).alias("__chunk_rows"))
               .drop("__chunk"))
     cand = df.select(ident, target, fp)
-    joined = (cand.join(F.broadcast(packed), target, "left") if at_most(packed, 1_000)
+    joined = (cand.join(F.broadcast(packed), target, "left") if fits_broadcast(packed)
               else salted_join(cand, packed, target, "left"))
     best = F.array_max(F.transform("__chunk_rows", lambda a: F.struct(
         F.coalesce(similarity(F.col(fp), a["fp"]), F.lit(0.0)).alias("s"), a["p"].alias("p"), a["label"].alias("l"))))
@@ -175,30 +215,37 @@ def nearest_active(df: DataFrame, actives: DataFrame, ident: str, target: str, f
 
 # --- greedy selection ----------------------------------------------------------------------
 
-def leader_filter(df: DataFrame, ident: str, fp: str, order, t: float = 0.85, *, visible: int = 256, **how) -> DataFrame:
+def leader_filter(df: DataFrame, ident: str, fp: str, order, t: float = 0.85, *, key: str | None = None, visible: int = 256, **how) -> DataFrame:
     """Walk rows in `order`; keep a row unless it resembles (>= t) a row kept before.
 
+    A row without a set (null or empty) resembles none and stays; with `key` it stays if it is the first of its key without a set.
     Solved in rounds instead of row by row. Per token only the `visible` best undecided rows are
     paired. A row that is among them for all its tokens sees every better rival; if none resembles
     it, it is kept, and everything that resembles a kept row is rejected. The best undecided row is
     always decided, so the rounds end, and a cluster of near copies goes in one round.
     """
-    names = list(dict.fromkeys([ident, *sort_names(order)]))
-    sets = distinct_sets(_held(df, *names, fp), ident, fp, order)
-    sets = materialise(number_rows(sets, order, (), "__a", **how).select(ident, fp, "__a"))
+    names = list(dict.fromkeys([ident, *([key] if key else []), *sort_names(order)]))
+    whole = materialise(df.select(*names, fp))
+    bare = whole.filter(F.col(fp).isNull() | (F.size(fp) == 0)).drop(fp)
+    bare = dedup_first(bare, [key], order) if key else bare
+    kept = _leaders(whole.filter(F.size(fp) > 0).select(*names, fp), ident, fp, order, t, visible, **how)
+    return df.join(kept.select(ident).unionAll(bare.select(ident)), ident, "left_semi")
+
+
+def _leaders(rows: DataFrame, ident: str, fp: str, order, t: float, visible: int, **how) -> DataFrame:
+    """The rows with a set that `leader_filter` keeps."""
+    sets = materialise(number_rows(distinct_sets(rows, ident, fp, order), order, (), "__a", **how).select(ident, fp, "__a"))
     live = materialise(_prefixes(sets, "__a", fp, _rarity([sets], fp), t))
     if largest_group(live, ["token"]) <= visible:
         lost = _settle(_rivals(live, live, sets, fp, t))
-        kept = sets.join(lost, "__a", "left_anti") if lost is not None else sets
-    else:
-        kept = sets.join(_leaders_by_rounds(live, sets, fp, t, visible), "__a", "left_semi")
-    return df.join(kept.select(ident), ident, "left_semi")
+        return sets.join(lost, "__a", "left_anti") if lost is not None else sets
+    return sets.join(_leaders_by_rounds(live, sets, fp, t, visible), "__a", "left_semi")
 
 
 def _rivals(better: DataFrame, worse: DataFrame, sets: DataFrame, fp: str, t: float, ranked: bool = True) -> DataFrame:
-    """Similar pairs (a, b) over shared prefix tokens; `ranked` keeps a before b."""
+    """Similar pairs (a, b) over shared prefix tokens; `ranked` pairs rows with themselves and keeps a before b."""
     other = worse.withColumnRenamed("__a", "__b")
-    pairs = _candidates(better, other, "__a", "__b", t, F.col("__a") < F.col("__b") if ranked else None)
+    pairs = _candidates(better, other, "__a", "__b", t, itself=ranked)
     return _verified(pairs, sets, sets.withColumnRenamed("__a", "__b"), "__a", "__b", fp, t).select("__a", "__b")
 
 
@@ -234,17 +281,28 @@ def _leaders_by_rounds(live: DataFrame, sets: DataFrame, fp: str, t: float, visi
     return kept
 
 
-def diverse_top_n(df: DataFrame, ident: str, fp: str, order, t: float, n: int, *, batch: int = 1000,
-                  direct: int = 2000) -> DataFrame:
-    """The first `n` rows a best-to-worst walk keeps when it skips rows similar (>= t) to kept ones.
+def diverse_top_n(df: DataFrame, ident: str, fp: str, order, t: float, n: int, *, sets: Column | None = None, first: int = 4, growth: int = 4) -> DataFrame:
+    """The first `n` rows a best-to-worst walk keeps when it skips rows similar (>= t) to kept ones; rows without a set are skipped.
 
-    The walk is that of `leader_filter` at every `n`; no set reaches the driver. `batch` and `direct` are accepted for
-    older callers and decide nothing.
+    What becomes of a row depends on better rows only. So the walk of `leader_filter` takes the best `first` * n rows and, while
+    it keeps fewer than n, `growth` times as many. `sets` is an expression that makes the column `fp`: then it is made for these
+    rows only. No set reaches the driver.
     """
-    order = as_list(order)
-    return leader_filter(df, ident, fp, order, t).orderBy(*sort_cols(order)).limit(n)
+    order, k = as_list(order), max(first * n, 1000)
+    names = list(dict.fromkeys([ident, *sort_names(order)]))
+    while True:
+        best = materialise(df.select(*names).orderBy(*sort_cols(order)).limit(k))
+        whole = best.count() < k
+        head = best.select(ident)
+        # Written before the filter below, which would otherwise be pushed under the join and make the sets of all rows.
+        rows = df if whole else df.join(F.broadcast(head) if k <= 1_000_000 else head, ident, "left_semi")
+        rows = materialise(rows if sets is None else rows.withColumn(fp, sets))
+        kept = materialise(leader_filter(rows.filter(F.size(fp) > 0), ident, fp, order, t).orderBy(*sort_cols(order)).limit(n))
+        if whole or kept.count() == n:
+            return kept
+        k *= growth
 
 
 def filter_novel(df: DataFrame, memory: DataFrame, ident: str, fp: str, order, t: float = 0.65, **how) -> DataFrame:
-    """Rows unlike the memory and, in arrival order, unlike each other."""
+    """Rows unlike the memory and, in arrival order, unlike each other; rows without a set are invalid and dropped."""
     return leader_filter(novel(df, memory, ident, fp, t), ident, fp, order, t, **how)

@@ -73,6 +73,13 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def fits_broadcast(df: DataFrame, size: int = 32 << 20, rows: int = 1_000_000) -> bool:
+    """True if `df` has at most `rows` rows and, written as JSON, `size` bytes; stops reading past the bound on rows."""
+    head = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("b"))
+    n, b = head.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return n <= rows and b <= size
+
+
 def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join the other columns of `right` to `left` on null-safe `keys`."""
     renamed = right.select(*[F.col(k).alias(f"__{k}") for k in keys],

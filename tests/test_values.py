@@ -36,6 +36,12 @@ def test_affinity(spark):
 def test_radical_inverse(spark):
     assert abs(one(spark, radical_inverse("i", 3), i=6) - 2 / 9) < 1e-15
     assert one(spark, halton("i", 0), i=0) == 0.5
+    assert one(spark, radical_inverse("i", 2), i=2 ** 53 + 1) == 0.5 + 2.0 ** -54
+    for base in (2, 3, 17):
+        i, want, scale = 2 ** 63 - 5, 0.0, 1 / base
+        while i:
+            want, scale, i = want + scale * (i % base), scale / base, i // base
+        assert abs(one(spark, radical_inverse("i", base), i=2 ** 63 - 5) - want) < 1e-12
 
 
 @pytest.mark.parametrize("smiles,want,ok", [
