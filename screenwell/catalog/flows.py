@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
@@ -11,10 +13,12 @@ from ..functions.fingerprints import qgram_fp, sign_bits
 from ..operators import hooks as H
 from ..operators import models as M
 from ..plans import sweep as SW
-from ..runtime import fresh_dir
+from ..operators.ordering import number_rows
+from ..runtime import fresh_dir, materialise
 from ..streaming import streams as R
 from .base import query
 from .columns import SIGN_SQL
+from .similar import _DOCS, _STEPS, text_sets
 
 # --- streams: the table is landed as several files, then read as a stream ---------------------------
 
@@ -26,6 +30,24 @@ def landed(t, df, parts: int = 4, by: str = "event_id"):
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def landed_in_turn(t, *parts):
+    """Write each part after the one before and open them as a stream, a file per batch in this order."""
+    path = fresh_dir(t.spark, "landed")
+    for df in parts:
+        df.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.01)  # files are read in the order of their times
+    return t.spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def quarters(df, by: str):
+    """A table in four parts by the rank of `by`, as SQL's ntile makes them."""
+    ranked = materialise(number_rows(df, [by], (), "__at"))
+    size = df.count()
+    large, least = size % 4, size // 4
+    ends = [min(q, large) * (least + 1) + max(q - large, 0) * least for q in range(5)]
+    return [ranked.filter((F.col("__at") > a) & (F.col("__at") <= b)).drop("__at") for a, b in zip(ends, ends[1:])]
+
+
 @query("R1", "SELECT event_id, event_type AS target_id, value AS score FROM events WHERE event_type <> 'error'")
 def stream_log(t):
     from ..sources.files import stream_log as tail
@@ -37,25 +59,38 @@ def stream_log(t):
 
 
 @query("R2", """
-SELECT epoch_us(ts) // 21600000000 * 21600 AS bucket_s, arg_max(event_type, value) AS target, round(max(value), 4) AS best_score
-FROM events GROUP BY 1""")
+WITH b AS (SELECT epoch_us(ts) // 21600000000 * 21600 AS bucket_s, arg_max(event_type, value) AS target, round(max(value), 4) AS best_score FROM events GROUP BY 1)
+SELECT * FROM b WHERE bucket_s * 1000000 >= (SELECT max(epoch_us(ts)) FROM events) - 691200000000 ORDER BY bucket_s DESC LIMIT 30""")
 def stream_history(t):
-    live = R.stream_history(landed(t, t.events), "ts", "value", "event_type", bucket="6 hours")
-    rows = R.drain(live, "complete")
+    """Events in the order of their times, then the first ones again with greater values: too late by then, they change nothing."""
+    events = t.events.select("ts", "value", "event_type")
+    late = events.filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp")).withColumn("value", F.col("value") + 1_000_000)
+    live = R.stream_history(landed_in_turn(t, *quarters(events, "ts"), late), "ts", "value", "event_type", bucket="6 hours", late="8 days")
+    rows = R.recent_history(R.drain(live, "update", ["bucket"]), "8 days")
     return rows.select(F.unix_seconds("bucket").alias("bucket_s"), "target", "best_score")
 
 
-@query("R3", "SELECT DISTINCT substr(md5(text), 1, 16) AS key FROM documents")
+@query("R3", "SELECT event_id, event_type FROM events")
 def stream_dedup(t):
-    rows = t.documents.select("doc_id", content_key("text").alias("key"))
-    return R.drain(R.stream_dedup(landed(t, rows, by="doc_id"), "key").select("key"))
+    """Every event is delivered again with the next part; keys are forgotten 12 days later."""
+    events = t.events.select("event_id", "ts", "event_type")
+    parts = quarters(events, "ts")
+    again = [parts[0], *[a.unionAll(b) for a, b in zip(parts, parts[1:])], parts[-1]]
+    live = R.stream_dedup(landed_in_turn(t, *again), "event_id", "ts", "12 days")
+    return R.drain(live).select("event_id", "event_type")
 
 
-@query("R4")
+@query("R4", _DOCS.format(order="doc_id", t=0.85) + _STEPS.format(order="doc_id", rows="d") + "SELECT doc_id FROM kept")
 def stream_novel(t):
-    from .similar import text_sets
-    rows = text_sets(t).select("doc_id", "fp")
-    return R.stream_novel(landed(t, rows, 2, "doc_id"), "doc_id", "fp", ["doc_id"], 0.85).select("doc_id")
+    """Documents in four parts, stopped after two and run again: what gets in is what one walk over all of them keeps."""
+    parts, root = quarters(materialise(text_sets(t).select("doc_id", "fp")), "doc_id"), fresh_dir(t.spark, "novel")
+    path = fresh_dir(t.spark, "landed")
+    for some in (parts[:2], parts[2:]):
+        for df in some:
+            df.write.mode("append").parquet(path)
+        rows = t.spark.readStream.schema(parts[0].schema).parquet(path)
+        out = R.stream_novel(rows, "doc_id", "fp", ["doc_id"], 0.85, root)
+    return out.select("doc_id")
 
 
 @query("R5", """
@@ -85,23 +120,32 @@ def stream_last_n(t):
     return held.groupBy("event_type").agg(F.sort_array(F.collect_list("event_id")).alias("recent"))  # at most 20
 
 
-@query("R9", "SELECT label, count(*) AS n FROM embeddings GROUP BY 1")
+@query("R9", """
+WITH RECURSIVE q AS (SELECT label, ntile(4) OVER (ORDER BY vec_id) AS part FROM embeddings), c AS (SELECT label, part, count(*) AS k FROM q GROUP BY 1, 2),
+  s AS (SELECT DISTINCT label, 0 AS part, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS trained_n, CAST(0 AS BIGINT) AS fits FROM c UNION ALL
+    SELECT label, part, n, CASE WHEN due THEN n ELSE trained_n END, CASE WHEN due THEN fits + 1 ELSE fits END FROM (
+      SELECT *, n >= 10 AND (trained_n IS NULL OR n - trained_n >= 15) AS due FROM (
+        SELECT s.label, s.part + 1 AS part, s.n + coalesce(c.k, 0) AS n, trained_n, fits FROM s LEFT JOIN c ON c.label = s.label AND c.part = s.part + 1 WHERE s.part < 4)))
+SELECT label, n, trained_n, fits, fits AS noted FROM s WHERE part = 4""")
 def stream_refit(t):
-    """Rows per label as a stream; each due target is recorded where a fit would start."""
+    """Rows per label in four parts; each due target is recorded where a fit would start."""
     log = fresh_dir(t.spark, "refits")
-    note = lambda due, counts: due.write.mode("append").parquet(log)
-    return R.stream_refit(landed(t, t.embeddings.select("vec_id", "label"), by="vec_id"), "label", note, least=10, grown=5).select("label", "n")
+    note = lambda due, batch: due.write.mode("overwrite").parquet(f"{log}/b={batch}")
+    parts = quarters(t.embeddings.select("vec_id", "label"), "vec_id")
+    out = R.stream_refit(landed_in_turn(t, *parts), "label", note, least=10, grown=15)
+    noted = t.spark.read.schema("label int, b int").parquet(log).groupBy("label").agg(F.count("*").alias("noted"))
+    return out.join(noted, "label", "left").withColumn("noted", F.coalesce("noted", F.lit(0).cast("long")))
 
 
 @query("R10", "SELECT split_part(p_name, ' ', 1) AS smiles, count(*) AS n FROM part GROUP BY 1")
 def ingest_fragments(t):
-    path = fresh_dir(t.spark, "fragments")
-    t.part.select("p_name").repartition(4).write.text(path)
-    root = fresh_dir(t.spark, "ingest")
-    R.drain(R.ingest_fragments(t.spark, path, 2), path=root)
-    t.part.limit(0).select("p_name").write.mode("append").text(path)
-    again = R.drain(R.ingest_fragments(t.spark, path, 2), path=root)
-    return again.groupBy("smiles").agg(F.count("*").alias("n"))
+    """Half of the files, then, from where that stopped, the other half, which has landed meanwhile."""
+    path, root = fresh_dir(t.spark, "fragments"), fresh_dir(t.spark, "ingest")
+    first, second, third, fourth = quarters(t.part.select("p_partkey", "p_name"), "p_partkey")
+    for half in (first.unionAll(second), third.unionAll(fourth)):
+        half.select("p_name").repartition(4).write.mode("append").text(path)
+        rows = R.drain(R.ingest_fragments(t.spark, path, 2), path=root)
+    return rows.groupBy("smiles").agg(F.count("*").alias("n"))
 
 
 @query("R11", """
@@ -119,10 +163,9 @@ SELECT event_type, event_id, round(value * -30.0, 3) AS affinity, round(coalesce
 FROM (SELECT *, last_value(CASE WHEN value < 5 THEN round(value * -30.0, 3) END IGNORE NULLS)
         OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS ref FROM events)""")
 def stream_threshold(t):
-    path = fresh_dir(t.spark, "landed")
-    t.events.withColumn("is_ref", F.col("value") < 5).write.parquet(path)
-    rows = t.spark.readStream.schema(t.spark.read.parquet(path).schema).parquet(path)
-    out = R.stream_threshold(rows, "event_type", "event_id", "value", "is_ref", own=-900.0)
+    """Four parts in turn: a reference of one goes on to the next."""
+    rows = t.events.select("event_type", "event_id", "value", (F.col("value") < 5).alias("is_ref"))
+    out = R.stream_threshold(landed_in_turn(t, *quarters(rows, "event_id")), "event_type", "event_id", "value", "is_ref", own=-900.0)
     return out.withColumn("effective_threshold", F.round("effective_threshold", 6))
 
 

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.columns import is_hit, to_affinity
-from ..operators.models import refit_due
-from ..operators.ordering import last_known
-from ..operators.selection import top_n
+from ..operators.selection import history_tail
 from ..operators.similarity import filter_novel
 from ..operators.windows import top_per_key
-from ..runtime import fresh_dir, with_field
+from ..runtime import as_list, attach, fresh_dir, sort_names, with_field
 from ..sources.files import molecules_of, parse_telemetry
 
 
@@ -40,17 +40,27 @@ def drain(stream: DataFrame, mode: str = "append", keys=(), path: str | None = N
 
 def stream_history(events: DataFrame, ts: str, score: str, target: str, bucket: str = "5 minutes",
                    late: str = "2 hours") -> DataFrame:
-    """Best score per time bucket; buckets older than `late` behind the newest event are closed."""
+    """Best score per time bucket (update mode), with the newest event in it.
+
+    The state of a bucket goes once the watermark, `late` behind the newest event, has passed it; rows older than that are dropped.
+    """
     best = F.max_by(F.struct(F.coalesce(target, F.lit("?")).alias("target"), F.col(score).alias("score")),
                     F.struct(F.col(score), -F.unix_micros(ts)))
     return (events.filter(F.col(score).isNotNull()).withWatermark(ts, late)
-            .groupBy(F.window(ts, bucket)).agg(best.alias("b"))
+            .groupBy(F.window(ts, bucket)).agg(best.alias("b"), F.max(ts).alias("newest"))
             .select(F.col("window.start").alias("bucket"), F.col("b.target").alias("target"),
-                    F.round("b.score", 4).alias("best_score")))
+                    F.round("b.score", 4).alias("best_score"), "newest"))
+
+
+def recent_history(rows: DataFrame, keep: str = "2 hours", n: int = 30) -> DataFrame:
+    """What is shown of the table of `stream_history`: buckets that began at most `keep` before the newest event, the newest `n`."""
+    now = rows.agg(F.max("newest").alias("now"))
+    young = rows.join(F.broadcast(now), F.col("bucket") >= F.col("now") - F.expr(f"INTERVAL {keep}"))
+    return history_tail(young.drop("now", "newest"), "bucket", n)
 
 
 def stream_dedup(events: DataFrame, key: str, ts: str | None = None, late: str | None = None) -> DataFrame:
-    """First arrival per key; with a watermark old keys are forgotten."""
+    """First arrival per key; with a watermark a key is forgotten `late` after it came, without one the state grows for ever."""
     if ts and late:
         return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
@@ -88,81 +98,150 @@ def ingest_fragments(spark: SparkSession, path: str, files_per_trigger: int = 10
     return molecules_of(lines).select("smiles")
 
 
-# --- state kept as tables, updated per micro-batch ---------------------------------------------
+# --- keyed state of the engine ---------------------------------------------------------------------
 
-class TableState:
-    """A table replaced by each micro-batch: version v is written whole before v-1 is left."""
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def __init__(self, spark: SparkSession, root: str, schema):
-        self.spark, self.root, self.schema = spark, root, schema
 
-    def read(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/v={version}")
+def run_stateful(stream: DataFrame, path: str | None = None, mode: str = "update", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream with keyed state over everything available; all rows it put out so far, with their `batch`.
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/v={version}")
+    State and progress lie under `path` in the shared folder, as the engine's own checkpoint; a later call with the same path goes on.
+    `each` is called with every micro-batch.
+    """
+    spark = stream.sparkSession
+    root, before = path or fresh_dir(spark, "stateful"), spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
 
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        if each is not None:
+            each(spark.read.schema(stream.schema).parquet(f"{root}/out/batch={number}"), number)
+    try:
+        query = (stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{root}/progress")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(STATE_STORE) if before is None else spark.conf.set(STATE_STORE, before)
+    return spark.read.schema(with_field(stream.schema, "batch", "long")).parquet(f"{root}/out")
 
-def fold_stream(stream: DataFrame, schema, update: Callable[[DataFrame, DataFrame], DataFrame],
-                path: str | None = None) -> DataFrame:
-    """State table = update(state, batch) for every micro-batch; returns the last state."""
-    spark = stream.sparkSession
-    root = path or fresh_dir(spark, "state")
-    state = TableState(spark, f"{root}/state", schema)
-    last = {"v": -1}
 
-    def step(batch: DataFrame, number: int) -> None:
-        state.write(update(state.read(number - 1), batch), number)
-        last["v"] = number
+def newest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that the last batch which touched a key put out for it."""
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("__last"))
+    return attach(rows, last, keys).filter("batch = __last").drop("batch", "__last")
 
-    (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/progress")
-     .trigger(availableNow=True).start().awaitTermination())
-    if last["v"] < 0:  # nothing new since an earlier run
-        last["v"] = spark.read.parquet(f"{root}/state").agg(F.max("v")).first()[0]
-    return state.read(last["v"])
+
+def _first_rows(pdf: pd.DataFrame, keys: list[str], order: list[str], n: int) -> pd.DataFrame:
+    """The first `n` rows per key in an order such as ["score desc", "id"]; nulls come last."""
+    ranked = pdf.sort_values(sort_names(order), ascending=[not o.lower().endswith(" desc") for o in order], kind="stable", na_position="last")
+    return (ranked.groupby(keys, dropna=False, sort=False).head(n) if keys else ranked.head(n)).reset_index(drop=True)
+
+
+class FirstN(StatefulProcessor):
+    """Per key the first `n` rows in `order` of all that came, as list state; with `ttl` (milliseconds) rows expire."""
+
+    def __init__(self, columns: list[str], kinds: str, order: list[str], n: int, ttl: int | None):
+        self.columns, self.kinds, self.order, self.n, self.ttl = columns, kinds, order, n, ttl
+
+    def init(self, handle) -> None:
+        self.rows = handle.getListState("rows", self.kinds, *([self.ttl] if self.ttl else []))
+
+    def handleInputRows(self, key, rows, timers):
+        parts = list(rows)
+        held = [tuple(r) for r in self.rows.get()] if self.rows.exists() else []
+        old = [pd.DataFrame(held, columns=self.columns).astype(parts[0].dtypes.to_dict())] if held else []
+        best = _first_rows(pd.concat(old + parts), [], self.order, self.n)
+        self.rows.put([tuple(None if pd.isna(x) else x for x in r) for r in best.astype(object).itertuples(index=False, name=None)])
+        yield best
+
+    def close(self) -> None:
+        pass
+
+
+def _first_n(events: DataFrame, key: str, order, n: int, ttl: int | None) -> DataFrame:
+    names = {c: f"c{i}" for i, c in enumerate(events.columns)}  # state is kept under plain names
+    order, key = [" ".join([names[o.split()[0]], *o.split()[1:]]) for o in as_list(order)], names[key]
+    plain = events.toDF(*names.values())
+
+    def trim(parts):  # a hot key sends at most n rows a part of its micro-batch
+        for pdf in parts:
+            yield _first_rows(pdf, [key], order, n)
+    few, kinds = plain.mapInPandas(trim, plain.schema), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    best = few.groupBy(key).transformWithStateInPandas(FirstN(plain.columns, kinds, order, n, ttl), plain.schema, "Update", "ProcessingTime" if ttl else "None")
+    return best.toDF(*events.columns)
 
 
 def stream_elite(events: DataFrame, score: str, tie, n: int = 50, path: str | None = None) -> DataFrame:
-    """Bounded elite pool over a stream."""
-    return fold_stream(events, events.schema,
-                       lambda pool, batch: top_n(pool.unionByName(batch).filter(F.col(score) > 0), score, tie, n), path)
+    """Bounded elite pool over a stream: the best `n` scores above 0 of all that came."""
+    rows = events.filter(F.col(score) > 0).withColumn("__all", F.lit(0))
+    out = run_stateful(_first_n(rows, "__all", [f"{score} desc", *as_list(tie)], n, None), path)
+    return newest_per_key(out, ["__all"]).drop("__all")
+
+
+def stream_last_n(events: DataFrame, key: str, newest_first, n: int, path: str | None = None, ttl: int | None = None) -> DataFrame:
+    """Ring buffer per key over a stream: the newest `n` rows of every key; with `ttl` (milliseconds) they expire."""
+    return newest_per_key(run_stateful(_first_n(events, key, newest_first, n, ttl), path), [key])
 
 
-def stream_last_n(events: DataFrame, key: str, newest_first, n: int, path: str | None = None) -> DataFrame:
-    """Ring buffer per key over a stream: the newest `n` rows of every key."""
-    return fold_stream(events, events.schema,
-                       lambda held, batch: top_per_key(held.unionByName(batch), [key], newest_first, n), path)
+class LastReference(StatefulProcessor):
+    """Per key the last reference affinity as value state; every row gets the one at or before it."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "affinity double")
+
+    def handleInputRows(self, key, rows, timers):
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        known = self.last.get()[0] if self.last.exists() else None
+        ref = pdf["affinity"].where(pdf["ref"].eq(True)).ffill()
+        pdf["last"] = ref if known is None else ref.fillna(known)
+        if pdf["last"].notna().any():
+            self.last.update((float(pdf["last"].iloc[-1]),))
+        yield pdf.drop(columns=["ref"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_threshold(events: DataFrame, key: str, seq: str, score: str, is_reference: str, own: float,
-                     margin: float = 0.5, path: str | None = None, **how) -> DataFrame:
+                     margin: float = 0.5, path: str | None = None) -> DataFrame:
     """Effective threshold of each event: its key's last reference affinity plus a margin, else `own`.
 
     `is_reference` names a boolean column. Events of a micro-batch are applied in order of `seq`; the last
-    reference per key goes on to the next batch as a table, so a hot key is split like in a batch job.
+    reference per key is state. A key's rows of one micro-batch meet in a task, so batches are bounded by the reader's options.
     """
-    spark = events.sparkSession
-    root = path or fresh_dir(spark, "threshold")
-    kt = events.schema[key].dataType.simpleString()
-    state = TableState(spark, f"{root}/state", f"{key} {kt}, ref double")
+    rows = events.select(F.col(key).alias("k"), F.col(seq).alias("seq"), to_affinity(score).alias("affinity"), F.col(is_reference).alias("ref"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = rows.groupBy("k").transformWithStateInPandas(
+        LastReference(), f"k {kinds['k']}, seq {kinds['seq']}, affinity double, last double", "Append", "None")
+    limit = F.coalesce(F.col("last") + margin, F.lit(own))
+    return run_stateful(out, path, "append").select(F.col("k").alias(key), F.col("seq").alias(seq), "affinity", limit.alias("effective_threshold"),
+                                                    is_hit("affinity", limit).alias("hit"))
 
-    def step(batch: DataFrame, number: int) -> None:
-        rows = batch.select(key, seq, to_affinity(score).alias("affinity"), is_reference, F.lit(1).alias("__new"))
-        rows = rows.withColumn("ref", F.when(F.col(is_reference), F.col("affinity"))).drop(is_reference)
-        lined = rows.unionByName(state.read(number - 1).withColumn("__new", F.lit(0)), allowMissingColumns=True)
-        known = last_known(lined, "ref", ["__new", seq], [key], "__last", **how).filter("__new = 1")
-        limit = F.coalesce(F.col("__last") + margin, F.lit(own))
-        (known.select(key, seq, "affinity", limit.alias("effective_threshold"), is_hit("affinity", limit).alias("hit"))
-         .write.mode("overwrite").parquet(f"{root}/out/batch={number}"))
-        at = F.when(F.col("ref").isNotNull(), F.struct("__new", seq))
-        state.write(lined.groupBy(key).agg(F.max_by("ref", at).alias("ref")).filter("ref IS NOT NULL"), number)
-
-    (events.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/progress")
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{root}/out").drop("batch")
 
+class RefitState(StatefulProcessor):
+    """Per target its rows, the rows of its last fit and its fits; a target is due when it was never fitted or gained `grown` rows."""
+
+    def __init__(self, least: int, grown: int):
+        self.least, self.grown = least, grown
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("counts", "n long, trained_n long, fits long")
+
+    def handleInputRows(self, key, rows, timers):
+        n, trained, fits = tuple(self.state.get()) if self.state.exists() else (0, None, 0)
+        n += sum(int(pdf["rows"].sum()) for pdf in rows)
+        due = n >= self.least and (trained is None or n - trained >= self.grown)
+        trained, fits = (n, fits + 1) if due else (trained, fits)
+        self.state.update((n, trained, fits))
+        yield pd.DataFrame({"t": [key[0]], "n": [n], "trained_n": pd.array([trained], "Int64"), "fits": [fits], "due": [due]})
+
+    def close(self) -> None:
+        pass
+
+
+# --- growing tables --------------------------------------------------------------------------------
 
 def append_state(stream: DataFrame, schema, select: Callable[[DataFrame, DataFrame], DataFrame],
                  path: str | None = None) -> DataFrame:
@@ -186,23 +265,18 @@ def stream_novel(events: DataFrame, ident: str, fp: str, order, t: float = 0.65,
     return append_state(events, events.schema, lambda memory, batch: filter_novel(batch, memory, ident, fp, order, t), path)
 
 
-def stream_refit(events: DataFrame, target: str, train: Callable[[DataFrame, list], None], least: int = 30,
+def stream_refit(events: DataFrame, target: str, train: Callable[[DataFrame, int], None], least: int = 30,
                  grown: int = 20, path: str | None = None) -> DataFrame:
-    """Count rows per target; when a target is due, call `train(due, version)` and note the size it was trained at."""
-    kt = events.schema[target].dataType.simpleString()
-    schema = f"{target} {kt}, n long, trained_n long, fits long"
-
-    def update(state: DataFrame, batch: DataFrame) -> DataFrame:
-        new = batch.groupBy(target).agg(F.count(F.lit(1)).alias("__new"))
-        counts = (state.join(new, target, "full").select(
-            target, (F.coalesce("n", F.lit(0)) + F.coalesce("__new", F.lit(0))).alias("n"), "trained_n",
-            F.coalesce("fits", F.lit(0).cast("long")).alias("fits")))
-        due = refit_due(counts.select(target, "n"), counts.filter("trained_n IS NOT NULL"), target, least=least,
-                        grown=grown).select(target)
-        train(due, counts)
-        flag = due.withColumn("__due", F.lit(True))
-        return counts.join(flag, target, "left").select(
-            target, "n", F.when(F.col("__due"), F.col("n")).otherwise(F.col("trained_n")).alias("trained_n"),
-            (F.col("fits") + F.when(F.col("__due"), 1).otherwise(0)).alias("fits"))
-
-    return fold_stream(events.select(target), schema, update, path)
+    """Rows per target, the size it was last trained at and its fits; `train(due, batch)` is called for every micro-batch.
+
+    `due` has the targets that are due in it. A batch that runs again after a failure is trained again under the same number.
+    """
+    def count(parts):
+        for pdf in parts:
+            yield pdf.groupby("t", dropna=False).size().rename("rows").reset_index()
+    kind = events.schema[target].dataType.simpleString()
+    counts = events.select(F.col(target).alias("t")).mapInPandas(count, f"t {kind}, rows long")
+    out = counts.groupBy("t").transformWithStateInPandas(RefitState(least, grown), f"t {kind}, n long, trained_n long, fits long, due boolean", "Update", "None")
+    out = out.withColumnRenamed("t", target)
+    rows = run_stateful(out, path, each=lambda batch, number: train(batch.filter("due").select(target), number))
+    return newest_per_key(rows, [target]).drop("due")

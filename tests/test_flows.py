@@ -57,8 +57,69 @@ def test_refit_starts_when_due(spark):
     for n in (3, 3, 1, 2):
         spark.range(n).select(F.lit("T").alias("t")).coalesce(1).write.mode("append").parquet(src)
     rows = spark.readStream.schema("t string").option("maxFilesPerTrigger", 1).parquet(src)
-    out = R.stream_refit(rows, "t", lambda due, counts: fits.append(due.count()), least=5, grown=3).first()
-    assert (out["n"], out["fits"], fits) == (9, 2, [0, 1, 0, 1])
+    out = R.stream_refit(rows, "t", lambda due, batch: fits.append((batch, due.count())), least=5, grown=3).first()
+    assert (out["n"], out["trained_n"], out["fits"], fits) == (9, 9, 2, [(0, 0), (1, 1), (2, 0), (3, 1)])
+
+
+def appended(spark, src, schema, rows):
+    """The rows as one more file of a stream's folder, opened as a stream of a file a batch."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def test_keyed_state_goes_on_after_a_stop(spark):
+    """Two batches and a restart give what one batch job gives; null keys are a key, nulls sort last; the state is the engine's alone."""
+    src, root, schema = fresh_dir(spark, "src"), fresh_dir(spark, "run"), "id long, `a key` string, v double"
+    parts = [[(k, "xyz"[k % 2] if k % 5 else None, float(k % 7) if k % 4 else None) for k in range(a, a + 20)] for a in (0, 20, 40)]
+    held = []
+    for part in parts:
+        rows = appended(spark, src, schema, part)
+        got = R.stream_last_n(rows, "a key", ["v desc", "id"], 3, root)
+        held += part
+        want = [r for key in ("x", "y", None) for r in sorted((r for r in held if r[1] == key), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))[:3]]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert sorted(os.listdir(root)) == ["out", "progress"]
+
+
+def test_reference_is_carried_from_batch_to_batch(spark):
+    src, root, schema = fresh_dir(spark, "src"), fresh_dir(spark, "run"), "k string, seq long, s double, ref boolean"
+    parts = [[("a", 2, 0.2, True), ("a", 1, 0.1, False), ("b", 1, 0.1, None)], [("a", 3, 0.3, False), ("b", 2, None, True), ("b", 3, 0.2, False)],
+             [("a", 5, 0.1, False), ("a", 4, 0.1, True)]]
+    for part in parts:
+        out = R.stream_threshold(appended(spark, src, schema, part), "k", "seq", "s", "ref", own=-9.0, path=root)
+    got = {(r["k"], r["seq"]): r["effective_threshold"] for r in out.collect()}
+    assert got == {("a", 1): -9.0, ("a", 2): -5.5, ("a", 3): -5.5, ("a", 4): -2.5, ("a", 5): -2.5, ("b", 1): -9.0, ("b", 2): -9.0, ("b", 3): -9.0}
+
+
+def test_history_forgets(spark):
+    """Late rows change nothing, state goes behind the watermark, and only young buckets are shown."""
+    src, root, schema = fresh_dir(spark, "src"), fresh_dir(spark, "run"), "ts timestamp, v double, t string"
+    at = lambda m: __import__("datetime").datetime(2024, 1, 1) + __import__("datetime").timedelta(minutes=m)
+    sizes = []
+    for minutes in (range(0, 60, 4), range(60, 300, 4), range(300, 600, 4), [2, 599]):
+        rows = appended(spark, src, schema, [(at(m), float(m % 13) + 100 * (m == 2), None if m % 2 else "T") for m in minutes])
+        live = R.stream_history(rows, "ts", "v", "t")
+        out = R.drain(live, "update", ["bucket"], root)
+        sizes.append(spark.streams.active or out.count())
+    shown = R.recent_history(out).collect()
+    assert 24 <= len(shown) <= 25 and shown == sorted(shown, key=lambda r: r["bucket"])
+    assert len(R.recent_history(out, "8 hours").collect()) == 30
+    first = out.orderBy("bucket").first()
+    assert first["best_score"] == 4.0  # not 102, which came ten hours late
+
+
+def test_deduplication_forgets_keys(spark):
+    src, root, schema = fresh_dir(spark, "src"), fresh_dir(spark, "run"), "k long, ts timestamp"
+    import datetime
+    totals = []
+    for day in range(6):
+        rows = [(day * 100 + i, datetime.datetime(2024, 1, 1 + day, 1)) for i in range(100)]
+        rows = appended(spark, src, schema, rows + rows[:50] + ([(k - 100, ts) for k, ts in rows[:10]] if day else []))
+        query = (R.stream_dedup(rows, "k", "ts", "36 hours").writeStream.format("noop").option("checkpointLocation", root)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        totals.append(sum(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress[-1:]))
+    assert totals[-1] <= 300 and totals[-1] == totals[-2]
 
 
 def grown_by_hand(x, y, hashes, train, trees, depth=4, rate=0.05, share=0.8, seed=42):
