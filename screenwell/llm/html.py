@@ -39,9 +39,67 @@ INLINE = frozenset(("a abbr acronym b bdi bdo big cite code data del dfn em font
                     "strong sub sup time tt u var wbr").split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-_NAMES = re.compile(r"(?:class|id|role|aria-label|hidden)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+# Elements whose content is text that nothing but their own end tag ends, as in the HTML standard.
+RAWTEXT = frozenset("script style textarea iframe noscript".split())
+SKIPPED = frozenset(RAW.split("|"))
+# One forward pass: no pattern is tried twice over the same characters, as every repetition is possessive.
+_MARKUP = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|!--|[!?/])")
+_INSIDE = re.compile(r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s>\"'][^\s>]*+)?+)?+)*+)>")
+_ATTRIBUTE = re.compile(r"[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>\"'][^\s>]*+)?+)?+")
+_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in SKIPPED}
+
+
+def markup(source: str):
+    """(text before, closing, name, attributes, text after the last) of every tag in one pass over a page, by the rules of the HTML standard.
+
+    Comments, declarations and elements that hold no prose are a space in the text. A tag, comment or raw text that the page ends in is
+    dropped with what it holds; other elements that hold no prose are left out only as far as they are closed.
+    """
+    at, text, unclosed = 0, [], set()
+    while m := _MARKUP.search(source, at):
+        text.append(source[at:m.start()])
+        if m[2] is None:
+            text.append(" ")
+            if m[0] == "<!--":
+                empty = next((e for e in ("<!-->", "<!--->") if source.startswith(e, m.start())), "")
+                end = source.find("-->", m.end())
+                bang = source.find("--!>", m.end(), end if end >= 0 else len(source))
+                at = m.start() + len(empty) if empty else bang + 4 if bang >= 0 else end + 3 if end >= 0 else len(source)
+            else:
+                at = source.find(">", m.end()) + 1 or len(source)
+            continue
+        inside = _INSIDE.match(source, m.end())
+        if inside is None:
+            at = len(source)
+            break
+        at, name = inside.end(), m[2].lower()
+        if name in SKIPPED:
+            text.append(" ")
+            if not m[1] and not inside[1].endswith("/") and name not in unclosed:
+                end = _END[name].search(source, at)
+                close = _INSIDE.match(source, end.end()) if end else None
+                if close:
+                    at = close.end()
+                elif name in RAWTEXT:
+                    at = len(source)
+                else:
+                    unclosed.add(name)
+            continue
+        yield "".join(text), bool(m[1]), name, inside[1]
+        text.clear()
+    yield "".join([*text, source[at:]]), False, "", ""
+
+
+def names_of(attributes: str) -> tuple[list[str], list[str]]:
+    """The values of class, role, aria-label and hidden, and those of id, of a tag."""
+    said, ids = [], []
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in ("class", "role", "aria-label", "hidden", "id"):
+            (ids if name == "id" else said).append(unescape(value.strip(value[0]) if value[:1] in ("'", '"') else value))
+    return said, ids
+
+
 _WORDS = re.compile(
     r"(?<![a-z])(?:ads?|advert\w*|adsense|adslot|banner|breadcrumbs?|comments?|disqus|respond|cookies?|consent|gdpr|notice|notification|promo\w*|"
     r"sponsor\w*|sidebar|menu|nav|navbar|navigation|navigational|footer|header|masthead|contentinfo|complementary|search|social|share|sharing|related|"
@@ -59,11 +117,25 @@ CONTENT = frozenset(("article", "main"))
 STAYS, UNCLOSED, DROPPED = 0, 1, 2
 
 
+# An id names its element's purpose if all its parts do, with these; otherwise it is a slug of what the element is about.
+_LAYOUT = frozenset(("list area box wrap wrapper container section block main top bottom left right site page global primary secondary inner outer "
+                     "content form bar panel region links items post article entry user reader blog div").split())
+# Headings and prose are named after their subject.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dt dd td th tr table figure figcaption".split())
+
+
+def purpose(ident: str) -> str:
+    """An id as a name of a purpose, or nothing."""
+    parts = [x for x in re.split(r"[-_:.\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", ident)) if x]
+    return " ".join(parts) if all(x.lower() in _LAYOUT or _WORDS.fullmatch(x) or _COMMENTS.fullmatch(x) for x in parts) else ""
+
+
 class _Element:
     __slots__ = ("parent", "name", "comment", "named", "closed", "words", "wraps", "state", "content")
 
     def __init__(self, parent: "_Element | None", name: str, attributes: str):
-        values = [_STATE.sub(" ", v) for v in _NAMES.findall(attributes)] if attributes and name not in ("html", "body", "main") else []
+        said, ids = names_of(attributes) if attributes and name not in ("html", "body", "main") else ([], [])
+        values = [_STATE.sub(" ", v) for v in said] + [purpose(v) for v in ids if name not in PROSE]
         self.parent, self.name, self.closed, self.words, self.wraps = parent, name, False, 0, False
         if parent is not None:
             parent.wraps = True
@@ -102,19 +174,16 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
         stack[k].closed = True
         del stack[k:]
 
-    at, source = 0, _DROP.sub(" ", html or "")
-    for m in _TAG.finditer(source):
-        text.append(source[at:m.start()])
+    for before, closing, name, attributes in markup(html or ""):
+        text.append(before)
         if linked:
-            links += len(text[-1].split())
-        at = m.end()
-        closing, name = bool(m[1]), m[2].lower()
+            links += len(before.split())
         if name in INLINE:
             if name == "a":
                 linked = 0 if closing else 1
             continue
         flush()
-        if name in VOID or m[3].endswith("/"):
+        if not name or name in VOID or attributes.endswith("/"):
             continue
         if stack and stack[-1].name == "p" and not (closing and name == "p"):
             close(len(stack) - 1)
@@ -134,10 +203,8 @@ def blocks(html: str | None) -> list[tuple[int, str]]:
             if stack[k].name in ENDED_BY[name]:
                 close(k)
                 break
-        stack.append(_Element(stack[-1] if stack else None, name, m[3]))
+        stack.append(_Element(stack[-1] if stack else None, name, attributes))
         elements.append(stack[-1])
-    text.append(source[at:])
-    flush()
     for e in elements:
         e.resolve(True)  # every form and name taken for a wrapper
     for e, _, n in found:

@@ -18,13 +18,15 @@ SEGMENT = 2048
 
 def learn_dictionaries(rows: DataFrame, lang: str = "lang", text: str = "text", ident: str = "doc_id", texts: int = 256,
                        slice_chars: int = 1024) -> dict[str, bytes]:
-    """Raw-content dictionaries: for each language, at most `texts` labelled texts drawn by the hash of their id, at most
-    `slice_chars` characters of each. Rows without language or letters teach nothing."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    """Raw-content dictionaries: for each language, at most `texts` labelled texts drawn by the hash of their id. Of each they hold
+    `slice_chars` characters from a place that the hash gives, or all if there are fewer; only slices are moved. Rows without
+    language or letters teach nothing."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "part")
     fit = rows.select(F.col(lang).alias("lang"), F.col(ident).alias("id"), F.col(text).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    drawn = fit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= texts)
-    parts = drawn.select("lang", "rank", F.substring("text", 1, slice_chars).alias("part"))
+    start = F.pmod(F.xxhash64("id", F.lit(11)), F.greatest(F.char_length("text") - slice_chars, F.lit(0)) + 1) + 1
+    cut = fit.select("lang", "id", F.substring(F.col("text"), start.cast("int"), F.lit(slice_chars)).alias("part"))
+    parts = cut.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= texts)
     out: dict[str, list[str]] = {}
     for r in parts.orderBy("lang", F.desc("rank")).collect():
         out.setdefault(r["lang"], []).append(r["part"])

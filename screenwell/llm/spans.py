@@ -18,7 +18,8 @@ from . import kernels as K
 from .shared import bounded, dropped, kept
 
 # A sentence ends after closing marks or a line break, or before a capitalised word. UTF-8 bytes C3 80-9E are the capitals À-Þ.
-SENTENCE = re.compile(rb"[.!?]+[\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*|[\x20\x09-\x0D]+(?=[A-Z]|\xc3[\x80-\x9e])")
+# A match begins where marks or white space begin, and takes them whole, so a long run of either is read once.
+SENTENCE = re.compile(rb"(?<![.!?])[.!?]++[\x20\x09-\x0D]++|(?<![\x20\x09-\x0D])(?:[\x20\x09-\x0D]*\n[\x20\x09-\x0D]*|[\x20\x09-\x0D]++(?=[A-Z]|\xc3[\x80-\x9e]))")
 
 
 def sentences(text: bytes) -> list[bytes]:

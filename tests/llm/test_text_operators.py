@@ -241,6 +241,50 @@ def test_html_landmarks(shape):
     assert got == MAIN + " and some" * (shape == "named wrapper")
 
 
+LOST = {
+    "custom elements": f"<article><p>{PARA}<video-js></video-js><style-guide></style-guide></p> and some</article>",
+    "quote in a bare value": f"<article><a title=it's>{PARA.split()[0]}</a> {PARA.split(None, 1)[1]} <em>and some</em></article>",
+    "stray quote": f'<article><p title="5" tall">{PARA} and some</p></article>',
+    "slugs": "<article>" + "".join(f'<section id="comments-on-the-law"><h2 id="{i}">{w}</h2></section>' for i, w in zip(
+        ("related-work", "search-algorithms", "share-prices") * 99, (PARA + " and some").split())) + "</article>",
+    "comments": f"<article><!--><p>{PARA}<!-- <p>no --> and<!-- no --!> some<!-- no </article>",
+    "signs": f"<article>{PARA} and some<script>if (a<b) '<p>no</p>'</scripted></SCRIPT ><1></article>",
+    "unclosed media": f"<article><p>{PARA}<video controls><p>and some<audio></article>",
+    "cut short": f"<article><p>{PARA} and some <a href='x",
+}
+
+
+@pytest.mark.parametrize("shape", LOST)
+def test_html_loses_no_text(shape):
+    found = html.blocks(LOST[shape])
+    assert " ".join(" ".join(t for k, t in found if k == html.ARTICLE).split()) in (MAIN + " and some", MAIN + " and some <1>")
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<script ", "<script>", "<video>", "<!--", "<!-- -->", "<p title='", "<svg>", "<", "</", "<div class=x>", "a=\"'", "&amp", "<!-->x"])
+def test_html_is_linear(piece):
+    """A megabyte of anything takes about as long as it is."""
+    import time
+    start = time.perf_counter()
+    html.blocks(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("piece", [b" ", b"!", b".", b" \n", b"\n", b". ", b"A ", b"\xc3\x89 "])
+def test_sentences_are_linear(piece):
+    import time
+    start = time.perf_counter()
+    text = b"x" + piece * (1_000_000 // len(piece))
+    assert b"".join(spans.sentences(text)) == text and time.perf_counter() - start < 10
+
+
+def test_dictionaries_hold_slices_from_anywhere(spark):
+    """A long shared header teaches no more than its share of a text; short texts are taken whole."""
+    rows = [(i, "header " * 400 + "body " * 4000, "en", i, 0, "x") for i in range(40)] + [(100 + i, "kurzer Text", "de", i, 0, "x") for i in range(3)]
+    learnt = langid.learn_dictionaries(spark.createDataFrame(rows, SCHEMA))
+    assert learnt["de"].split(b"\n") == [b"kurzer text"] * 3
+    assert learnt["en"].count(b"body") > 3 * learnt["en"].count(b"header") > 0
+
+
 def test_html_deep_nesting():
     assert html.blocks("<div class=ad>" * 20_000 + PARA) == [(html.OPEN, MAIN)]
 
