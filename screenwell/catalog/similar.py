@@ -91,7 +91,7 @@ def nearest_active(t):
     """Vectors of the upper labels as candidates, those of the lower labels as actives."""
     words = t.embeddings.select("vec_id", "label", (F.col("label") % 5).alias("target"), sign_word("embedding").alias("fp"))
     out = X.nearest_active(words.filter("label >= 5"), words.filter("label < 5"), "vec_id", "target", "fp", "vec_id",
-                           ["vec_id"], similarity=tanimoto_word)
+                           ["vec_id"], similarity=tanimoto_word, bits=F.bit_count)
     return out.select("vec_id", "similarity", "closest", "is_novel")
 
 

@@ -23,6 +23,8 @@ _SHARE = 0.05
 _TOKEN_BITS = 46
 # A list of sets that hold one token is cut into blocks of about so many; every pair of blocks is a key of its own.
 LIST_BLOCK = 2048
+# Chunks of actives whose bound is at least this part of the highest are met first.
+_NEAR = 0.85
 
 
 def distinct_sets(df: DataFrame, ident: str, fp: str, order) -> DataFrame:
@@ -188,29 +190,49 @@ def novel(df: DataFrame, memory: DataFrame, ident: str, fp: str, t: float = 0.65
 
 
 def nearest_active(df: DataFrame, actives: DataFrame, ident: str, target: str, fp: str, label: str, order,
-                   similarity=tanimoto, t: float = 0.4, chunk: int = 256, **how) -> DataFrame:
+                   similarity=tanimoto, t: float = 0.4, chunk: int = 256, bits=F.size, **how) -> DataFrame:
     """Most similar active of the same target, first in `order` on a tie; defaults 0, '' and novel.
 
-    Actives are packed into chunks of bounded length, so a candidate meets rows of chunks rather
-    than one row per active, and only its best per chunk is shuffled.
+    Actives are sorted by their number of bits (`bits` counts them) and packed into chunks of bounded length. Tanimoto is at most
+    the smaller number over the larger one. So a candidate first meets the chunks nearest in bits, and then only those whose
+    bound reaches the best it found there; only its best per chunk is shuffled.
     """
+    best = _nearest(df, actives, ident, target, fp, label, order, similarity, chunk, bits, **how)
+    s = F.coalesce(F.col("__b.s"), F.lit(0.0))
+    return df.join(best.select(ident, F.round(s, 6).alias("similarity"),
+                               F.when(s > 0, F.col("__b.l").cast("string")).otherwise("").alias("closest"),
+                               (s < t).alias("is_novel")), ident)
+
+
+def _nearest(df: DataFrame, actives: DataFrame, ident: str, target: str, fp: str, label: str, order, similarity, chunk: int, bits, **how) -> DataFrame:
+    """(ident, __b, __met): similarity, place and label of the best active, and how many actives were compared."""
     placed = number_rows(actives.select(F.col(target), F.col(label), F.col(fp).alias("__af"), *[
         c for c in sort_names(order) if c not in (target, label)]), order, [target], "__p", **how)
-    packed = (placed.withColumn("__chunk", F.floor((F.col("__p") - 1) / chunk))
-              .groupBy(target, "__chunk")
-              .agg(F.collect_list(F.struct((-F.col("__p")).alias("p"), F.col(label).alias("label"),
-                                           F.col("__af").alias("fp"))).alias("__chunk_rows"))
-              .drop("__chunk"))
-    cand = df.select(ident, target, fp)
-    joined = (cand.join(F.broadcast(packed), target, "left") if fits_broadcast(packed)
-              else salted_join(cand, packed, target, "left"))
-    best = F.array_max(F.transform("__chunk_rows", lambda a: F.struct(
-        F.coalesce(similarity(F.col(fp), a["fp"]), F.lit(0.0)).alias("s"), a["p"].alias("p"), a["label"].alias("l"))))
-    top = joined.groupBy(ident).agg(F.max(best).alias("__b"))
-    s = F.coalesce(F.col("__b.s"), F.lit(0.0))
-    return df.join(top.select(ident, F.round(s, 6).alias("similarity"),
-                              F.when(s > 0, F.col("__b.l").cast("string")).otherwise("").alias("closest"),
-                              (s < t).alias("is_novel")), ident)
+    sorted_ = number_rows(placed.select(target, label, "__af", "__p", bits(F.col("__af")).alias("__n")), ["__n", "__p"], [target], "__q", **how)
+    packed = materialise(sorted_.withColumn("__chunk", F.floor((F.col("__q") - 1) / chunk)).groupBy(target, "__chunk").agg(
+        F.collect_list(F.struct((-F.col("__p")).alias("p"), F.col(label).alias("label"), F.col("__af").alias("fp"))).alias("__chunk_rows"),
+        F.min("__n").alias("__lo"), F.max("__n").alias("__hi")))
+    listed = packed.groupBy(target).agg(F.collect_list(F.struct(F.col("__chunk").alias("c"), F.col("__lo").alias("lo"), F.col("__hi").alias("hi"))).alias("__chunks"))
+    rows, small = packed.drop("__lo", "__hi"), fits_broadcast(packed)
+
+    def meet(cand: DataFrame) -> DataFrame:
+        on = [target, "__chunk"]
+        joined = cand.join(F.broadcast(rows), on, "left") if small else salted_join(cand, rows, on, "left")
+        value = F.array_max(F.transform("__chunk_rows", lambda a: F.struct(
+            F.coalesce(similarity(F.col(fp), a["fp"]), F.lit(0.0)).alias("s"), a["p"].alias("p"), a["label"].alias("l"))))
+        return joined.withColumn("__found", value).withColumn("__count", F.coalesce(F.size("__chunk_rows"), F.lit(0))).drop("__chunk_rows")
+
+    def reach(e: Column) -> Column:
+        n = F.col("__n")
+        return F.when(n < e["lo"], n / e["lo"]).when(n > e["hi"], e["hi"] / n).otherwise(F.lit(1.0))
+    cand = df.select(ident, target, fp, bits(F.col(fp)).alias("__n")).join(F.broadcast(listed) if fits_broadcast(listed) else listed, target, "left")
+    cand = materialise(cand.withColumn("__near", F.array_max(F.transform("__chunks", reach)) * _NEAR))
+    first = cand.withColumn("__chunk", F.explode_outer(F.filter("__chunks", lambda e: reach(e) >= F.col("__near")))).withColumn("__chunk", F.col("__chunk.c"))
+    first = materialise(meet(first.select(ident, target, fp, "__chunk")).groupBy(ident).agg(F.max("__found").alias("__found"), F.sum("__count").alias("__count")))
+    open_ = F.filter("__chunks", lambda e: (reach(e) < F.col("__near")) & (reach(e) >= F.coalesce(F.col("__found.s"), F.lit(0.0)) - _EPS))
+    more = meet(cand.join(first, ident).select(ident, target, fp, F.explode(open_).alias("__e")).select(ident, target, fp, F.col("__e.c").alias("__chunk")))
+    both = first.select(ident, "__found", "__count").unionByName(more.select(ident, "__found", "__count"))
+    return both.groupBy(ident).agg(F.max("__found").alias("__b"), F.sum("__count").alias("__met"))
 
 
 # --- greedy selection ----------------------------------------------------------------------

@@ -156,3 +156,24 @@ def test_nearest_active(spark):
             if a[2] == target and sim(fp, a[1]) > best:
                 best, name = sim(fp, a[1]), f"m{a[0]}"
         assert got[i] == (round(best, 6), name, best < 0.4)
+
+
+def test_nearest_active_skips_what_cannot_win(spark):
+    """Sets of very different sizes: the same answers, with fewer than a third of the comparisons; copies, empty and null sets included."""
+    rnd = random.Random(9)
+    pool = [sorted(rnd.sample(range(4000), n)) for n in [20, 45, 100, 220, 480] * 60]
+    actives = [(1, f"m{k}", k, s) for k, s in enumerate(pool)] + [(1, "none", 900, []), (1, "null", 901, None), (2, "other", 902, pool[0])]
+    cand = [(k, 1, sorted(set(s[: max(1, len(s) * 9 // 10)]) | {rnd.randrange(4000)})) for k, s in enumerate(pool[:120])] + [(500, 1, []), (501, 1, None), (502, 3, [1]), (503, 1, pool[7])]
+    df = spark.createDataFrame(cand, "id long, target long, fp array<int>")
+    adf = spark.createDataFrame(actives, "target long, name string, seq long, fp array<int>")
+    met = X._nearest(df, adf, "id", "target", "fp", "name", ["seq"], X.tanimoto, 10, F.size)
+    met = sum(r["__met"] for r in met.select("id", "__met").collect())
+    assert met < len(cand) * len(actives) / 3
+    for small in (True, False):
+        got = {r["id"]: (r["similarity"], r["closest"]) for r in X.nearest_active(df, adf, "id", "target", "fp", "name", ["seq"], chunk=10 if small else 1000).collect()}
+        for i, target, s in cand:
+            best, name = 0.0, ""
+            for at, n, _, a in actives:
+                if at == target and s and a and sim(s, a) > best:
+                    best, name = sim(s, a), n
+            assert got[i] == (round(best, 6), name)
