@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window, functions as F
 
 from ..functions.columns import content_key, proxy_score, unix_seconds
-from ..functions.fingerprints import qgram_fp, sign_bits
+from ..functions.fingerprints import sign_bits
 from ..operators import hooks as H
 from ..operators import models as M
 from ..plans import sweep as SW
@@ -18,7 +18,7 @@ from ..runtime import fresh_dir, materialise
 from ..streaming import streams as R
 from .base import query
 from .columns import SIGN_SQL
-from .similar import _DOCS, _STEPS, text_sets
+from .similar import _DOCS, _STEPS, document_set, text_sets
 
 # --- streams: the table is landed as several files, then read as a stream ---------------------------
 
@@ -316,13 +316,26 @@ def rank_with(t):
 
 # --- flows ---------------------------------------------------------------------------------------------
 
-@query("T9")
+_DRAWN = """WITH RECURSIVE placed AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS pos, count(*) OVER () AS size FROM documents),
+  h AS (SELECT i, (SELECT sum(((i + 1) // p) % 2 / (p::DOUBLE * 2)) FROM (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128]::BIGINT[]) AS p)) AS u FROM range(200) r(i)),
+  drawn AS (SELECT i, doc_id, text, substr(md5(text), 1, 16) AS key FROM h JOIN placed ON pos = CAST(floor(u * size) AS BIGINT) + 1),
+  one AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY key ORDER BY i) = 1),
+  fresh AS (SELECT i AS doc_id, doc_id AS lang, i AS n_chars, text, key FROM one WHERE key IS NULL OR key NOT IN (SELECT substr(md5(text), 1, 16) FROM benchmark WHERE text IS NOT NULL)),
+  s AS"""
+
+
+@query("T9", _DOCS.format(order="doc_id", t=0.85).replace("WITH RECURSIVE s AS", _DRAWN).replace("AS g FROM documents)", "AS g FROM fresh)")
+       + _STEPS.format(order="doc_id", rows="d") + """,
+  v AS (SELECT kept.doc_id AS draw, d.lang AS doc_id, key, length(text) / 100 AS ha, d.n / 20 / 167.0 AS p FROM kept JOIN d USING (doc_id) JOIN fresh USING (doc_id))
+SELECT draw, doc_id, key, round(CASE WHEN ha BETWEEN 15 AND 55 THEN 0.4 * exp(-abs(ha / 30.0 - 1) / 0.3) + 0.3 + 0.2
+  + 0.1 * least(1.0, CASE WHEN p > 0 AND p < 1 THEN -(p * log2(p) + (1 - p) * log2(1 - p)) ELSE 0 END / 0.5) ELSE 0 END, 6) AS proxy_score FROM v""")
 def sweep(t):
     """Documents as a library: quasi-random draw, gates, proxy score by length."""
-    library = t.documents.select("doc_id", "text", qgram_fp("text", 8, 2_147_483_647).alias("fp"))
+    library = t.documents.select("doc_id", "text", document_set().alias("fp"))
     seen = t.benchmark.select(content_key("text").alias("key"))
     score = proxy_score(F.length("text") / 100, F.lit(3.0), F.size("fp") / 20)
-    return SW.sweep(library, seen, "text", "fp", score, ["doc_id"], 0, 200).select("draw", "doc_id", "key", "proxy_score")
+    out = SW.sweep(library, seen, "text", "fp", score, ["doc_id"], 0, 200)
+    return out.select("draw", "doc_id", "key", F.round("proxy_score", 6).alias("proxy_score"))
 
 
 @query("J10", """

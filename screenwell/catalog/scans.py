@@ -169,6 +169,25 @@ def decode_records(t):
                        F.col("last_epoch").cast("long").alias("last_epoch"), "is_registered", "submission_count")
 
 
+def _single(x):
+    """The four bytes of a float that is neither zero nor tiny, put together from its sign, exponent and fraction."""
+    size = F.abs(x.cast("double"))
+    guess = F.floor(F.log2(size))
+    power = guess - F.when(F.pow(F.lit(2.0), guess) > size, 1).otherwise(0) + F.when(F.pow(F.lit(2.0), guess + 1) <= size, 1).otherwise(0)
+    fraction = F.round((size / F.pow(F.lit(2.0), power) - 1) * (1 << 23)).cast("long")
+    return records.encode_unsigned(F.when(x < 0, F.lit(1 << 31)).otherwise(F.lit(0)) + (power + 127).cast("long") * (1 << 23) + fraction, 4)
+
+
+@query("X5", "SELECT vec_id, embedding[1] AS score, embedding[2] * 3 AS affinity, embedding[3] AS extra FROM embeddings")
+def decode_floats(t):
+    """Components of vectors as single floats of a record, read back by built-in arithmetic."""
+    x = [F.get("embedding", F.lit(i)) for i in range(3)]
+    blob = F.concat(F.lit(_TAG), records.encode_unsigned("vec_id", 8), _single(x[0]), _single((x[1] * F.lit(3).cast("float")).cast("float")), _single(x[2]))
+    layout = [("vec_id", "u64"), ("score", "f32"), ("affinity", "f32"), ("extra", "f32")]
+    rows = records.decode_records(t.embeddings.select(blob.alias("data")), "data", layout, _TAG)
+    return rows.withColumn("vec_id", F.col("vec_id").cast("long"))
+
+
 @query("S10", """
 SELECT event_id, value AS power_draw, CAST(user_id AS DOUBLE) AS gpu_util, 'NVIDIA, ' || event_type AS name
 FROM events WHERE event_type <> 'error'""")

@@ -59,13 +59,12 @@ def groups_fit(df: DataFrame, keys: list[str], rows: int = GROUP_ROWS) -> bool:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a table that lies in fewer files than there are cores, before costly per-row work.
+    """Rebalance a table that is read by fewer tasks than there are cores, before costly per-row work.
 
-    A table of many files already fills the cluster and is left alone.
+    A large table already fills the cluster and is left alone.
     """
-    if len(df.inputFiles()) < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def at_most(df: DataFrame, rows: int) -> bool:

@@ -16,8 +16,6 @@ from tests.oracle import compare, connect
 
 SMOKE = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SMOKE), reason="driver tables are absent")
-# These take the longest and have their own tests; the oracle script runs them too.
-SLOW = {"copies", "qgram_fp", "stream_novel", "filter_novel", "novel_documents", "sweep"}
 
 
 def test_reference_row_counts_from_its_own_time_on(spark):
@@ -303,6 +301,6 @@ def con():
 
 
 @needs_tables
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, con, name):
     assert compare(spark, con, SMOKE, QUERIES[name], ORACLES[name]) is None
