@@ -1,20 +1,21 @@
 """Exact deduplication over an extendible-hash index in shared files; DataFrame functions only.
 
-Every text is reduced to its normalised form's 64-bit key, SHA-256 and length. Copies are folded map-side. A directory over
-the key's leading bits doubles until no bucket holds more than `capacity` entries; one owner task writes each bucket, a range
-of keys, sorted; entries with equal keys are numbered as a chain. Texts are equal if key, digest and length are: the grouping
-decides this before there is a directory, which only lays the index out.
+Every text is reduced to the 64-bit key of its normalised form. A directory over the keys' leading bits doubles until no bucket
+holds more than `capacity` keys; buckets that need no further split stay at their depth. Texts of keys that several rows have
+are fetched, copies folded map-side, and sent to the owner of their bucket, a range of keys: there texts of one key are compared
+byte by byte, and different ones form a chain. Equality is that of bytes; what stays and how large a group is comes from the chains.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import bounded, fresh_dir, kept
+from .shared import bounded, dropped, fresh_dir, kept
 
-DEEPEST = 16
 # A class with more than this part of all rows is joined by broadcast; there are at most so many such classes.
 HOT_PARTS = 64
+# Bits by which the directory grows at a time while it looks for its depth; all the bits of a key.
+GROWN, KEY_BITS = 4, 64
 
 
 def normalised(text: Column) -> Column:
@@ -25,43 +26,73 @@ def normalised(text: Column) -> Column:
     return out
 
 
-def digests(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """One small row per document: id, key, digest, bytes (of the normalised text) and length (code points of the original)."""
+def key_of(norm: Column) -> Column:
+    """The 64-bit key of a normalised text. Different texts may share one."""
+    return F.xxhash64(norm)
+
+
+def narrow(docs: DataFrame, ident: str, text: str) -> DataFrame:
+    """One small row per document: id, key and digest of the normalised text, and length (code points of the original)."""
     rows = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), normalised(F.col(text)).alias("norm"))
-    return rows.select("id", F.xxhash64("norm").alias("key"), F.unhex(F.sha2("norm", 256)).alias("digest"),
-                       F.octet_length("norm").alias("bytes"), F.char_length(F.coalesce("text", F.lit(""))).alias("length"))
+    return rows.select("id", key_of(F.col("norm")).alias("key"), F.unhex(F.sha2("norm", 256)).alias("digest"), _length().alias("length"))
+
+
+def _length() -> Column:
+    return F.char_length(F.coalesce("text", F.lit("")))
+
 
+def _best() -> Column:
+    """Of a group the row of most code points, then smallest id; null ids come after all others."""
+    return F.max(F.struct(F.col("length"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"), F.col("id")))
 
-def directory(entries: DataFrame, capacity: int) -> DataFrame:
-    """(prefix, depth) for each of the 2^DEEPEST key prefixes in use: the local depth of the bucket that owns it."""
-    out = kept(entries.groupBy("prefix").count().withColumn("depth", F.lit(0)), "directory")
-    for depth in range(DEEPEST):
-        bucket = Window.partitionBy("depth", F.shiftright("prefix", DEEPEST - depth))
+
+def _prefix(bits: int) -> Column:
+    return F.shiftrightunsigned("key", KEY_BITS - bits) if bits else F.lit(0).cast("long")
+
+
+def directory(keys: DataFrame, capacity: int) -> tuple[DataFrame, int]:
+    """(prefix, depth) for each prefix in use of the global depth that is returned too; `depth` is that of the bucket it belongs to.
+
+    The directory doubles until no bucket of distinct keys is overfull; it has about twice as many rows as there are buckets.
+    """
+    bits = 0
+    while bits < KEY_BITS and keys.groupBy(_prefix(bits).alias("prefix")).count().filter(F.col("count") > capacity).limit(1).count():
+        bits += GROWN
+    out = kept(keys.groupBy(_prefix(bits).alias("prefix")).count().withColumn("depth", F.lit(0)), "directory")
+    for depth in range(bits):
+        bucket = Window.partitionBy("depth", F.shiftright("prefix", bits - depth))
         full = (F.sum("count").over(bucket) > capacity) & (F.col("depth") == depth)
         split = out.withColumn("full", full)
         if not split.filter("full").limit(1).count():
             break
-        out = kept(split.select("prefix", "count", (F.col("depth") + F.col("full").cast("int")).alias("depth")), "directory")
-    return out.select("prefix", "depth")
+        last, out = out, kept(split.select("prefix", "count", (F.col("depth") + F.col("full").cast("int")).alias("depth")), "directory")
+        dropped(last)
+    return out.select("prefix", "depth"), bits
 
 
-def build_index(rows: DataFrame, capacity: int = 1_000_000) -> DataFrame:
-    """The index over `digests` rows, as a table of one entry per distinct text: key, digest, bytes, chain, group_size, keep_id.
+def build_index(docs: DataFrame, rows: DataFrame, ident: str, text: str, capacity: int = 1_000_000) -> DataFrame:
+    """The index of the texts of `docs`, whose `narrow` rows are given: bucket, key, chain, texts (of the key), norm, group_size, keep_id.
 
-    The row of most code points, then smallest id, stays. Null ids come after all others.
+    One entry per distinct normalised text. `norm` is there where a key has several texts, which are numbered as its chain. The
+    row of most code points, then smallest id, stays.
     """
-    best = F.max(F.struct(F.col("length"), F.col("id").isNotNull().alias("known"), (-F.col("id")).alias("low"), F.col("id")))
-    entries = rows.groupBy("key", "digest", "bytes").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    entries = kept(entries.withColumn("prefix", F.shiftrightunsigned("key", 64 - DEEPEST).cast("int")), "entries")
-    # The directory has at most 2^16 rows whatever the input.
-    owned = entries.join(F.broadcast(directory(entries, capacity)), "prefix")
-    owned = owned.withColumn("bucket", F.expr(f"shiftleft(cast(depth as long), 32) + shiftright(prefix, {DEEPEST} - depth)"))
-    chained = owned.repartition("bucket").withColumn("chain", F.row_number().over(
-        Window.partitionBy("bucket", "key").orderBy("digest", "bytes")))
-    path = fresh_dir(rows.sparkSession, "index")
-    out = chained.select("bucket", "key", "digest", "bytes", "chain", "group_size", F.col("best.id").alias("keep_id"))
+    keys = kept(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), _best().alias("best")), "keys")
+    several = kept(keys.filter("n > 1").select("key"), "several")
+    found = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), normalised(F.col(text)).alias("norm")).withColumn("key", key_of(F.col("norm")))
+    # Bytes are compared here: first of the rows of a map task, so a mass of copies sends one text from each, then in the owner.
+    same = found.join(bounded(several), "key", "left_semi").withColumn("length", _length()).groupBy("key", "norm").agg(
+        F.count(F.lit(1)).alias("group_size"), _best().alias("best"))
+    single = keys.filter("n = 1").select("key", F.lit(None).cast("string").alias("norm"), F.col("n").alias("group_size"), "best")
+    depths, bits = directory(keys.select("key"), capacity)
+    entries = same.unionByName(single).withColumn("prefix", _prefix(bits)).join(bounded(depths), "prefix")
+    owned = entries.withColumn("bucket", F.struct("depth", F.expr(f"shiftright(prefix, {bits} - depth)").alias("prefix")))
+    chain = Window.partitionBy("bucket", "key")
+    chained = owned.repartition("bucket").withColumns({"chain": F.row_number().over(chain.orderBy("norm")), "texts": F.count(F.lit(1)).over(chain)})
+    out = chained.select("bucket", "key", "chain", "texts", F.when(F.col("texts") > 1, F.col("norm")).alias("norm"), "group_size", F.col("best.id").alias("keep_id"))
+    path = fresh_dir(docs.sparkSession, "index")
     out.sortWithinPartitions("bucket", "key", "chain").write.parquet(path)
-    return rows.sparkSession.read.schema(out.schema).parquet(path)
+    dropped(keys, several, depths)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", capacity: int = 1_000_000) -> DataFrame:
@@ -72,14 +103,19 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", cap
     verdict; a null id is kept only if its whole group has none. Further columns are ignored; an empty table gives an empty
     result.
     """
-    rows = kept(digests(docs, ident, text), "digests")
-    index = build_index(rows, capacity).drop("bucket", "chain")
+    rows = kept(narrow(docs, ident, text), "digests")
+    index = build_index(docs, rows, ident, text, capacity)
     total = rows.count()
-    hot = index.filter(F.col("group_size") * HOT_PARTS > total)
-    on = ["key", "digest", "bytes"]
-    crowd = F.broadcast(hot)  # at most HOT_PARTS entries
-    found = rows.join(crowd, on).unionByName(rows.join(crowd, on, "left_anti").join(
-        index.filter(F.col("group_size") * HOT_PARTS <= total), on))
+    alone, verdict = index.filter("texts = 1"), ["key", "group_size", "keep_id"]
+    large = F.col("group_size") * HOT_PARTS > total
+    crowd = F.broadcast(alone.filter(large).select(verdict))  # at most HOT_PARTS entries
+    found = rows.join(crowd, "key").unionByName(rows.join(crowd, "key", "left_anti").join(alone.filter(~large).select(verdict), "key"))
+    # Rows of a key that several texts share find theirs by its bytes.
+    shared = kept(index.filter("texts > 1"), "chains")
+    if shared.limit(1).count():
+        norm = docs.select(F.col(ident).alias("id"), normalised(F.col(text)).alias("norm")).withColumn("key", key_of(F.col("norm")))
+        own = norm.join(shared.select("norm", *verdict), ["key", "norm"])
+        found = found.unionByName(own.select("key", "id", F.unhex(F.sha2("norm", 256)).alias("digest"), F.lit(0).alias("length"), "group_size", "keep_id"))
     return found.select(F.col("id").alias(ident), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
                         F.lower(F.hex("digest")).alias("text_sha256"))
 

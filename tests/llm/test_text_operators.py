@@ -71,7 +71,11 @@ def test_small_sets_by_subsets(spark):
     assert got == linked(rows)
 
 
-def test_exact_groups(spark, odd):
+@pytest.mark.parametrize("keys", [None, 3, 1])
+def test_exact_groups(spark, odd, monkeypatch, keys):
+    """Also where different texts share a key: chains tell them apart by their bytes, not by a digest."""
+    if keys:
+        monkeypatch.setattr(exact, "key_of", lambda norm: F.pmod(F.xxhash64(norm), F.lit(keys)).cast("long"))
     norm = {i: re.sub(r"[\x20\x09-\x0D]", "", t or "") for i, t in odd}
     rows = [(i, t or "", re.sub(r"[\x20\x09-\x0D]", "", t or "")) for i, t in odd]
     for capacity in (1_000_000, 2):
@@ -85,6 +89,21 @@ def test_exact_groups(spark, odd):
     assert exact.exact_groups(table(spark, [])).count() == 0
 
 
+def test_exact_index(spark):
+    """Buckets are as small as asked for, however deep the directory must be, and an owner's keys are a range; chains number the texts of a key."""
+    docs = table(spark, [(i, f"text {i // 2}") for i in range(2000)] + [(5000, "text 0")])
+    rows = exact.narrow(docs, "doc_id", "text")
+    index = exact.build_index(docs, rows, "doc_id", "text", capacity=3).collect()
+    buckets = collections.defaultdict(list)
+    for r in index:
+        buckets[tuple(r["bucket"])].append(r)
+    assert len(index) == 1000 and max(map(len, buckets.values())) <= 3 and max(b[0] for b in buckets) > 8
+    spans = sorted((min(r["key"] % (1 << 64) for r in b), max(r["key"] % (1 << 64) for r in b)) for b in buckets.values())
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    assert {(r["chain"], r["texts"], r["norm"]) for r in index} == {(1, 1, None)}
+    assert {r["keep_id"]: r["group_size"] for r in index}[0] == 3 and sum(r["group_size"] for r in index) == 2001
+
+
 def brute_counts(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     threes = [tuple(w[k:k + 3]) for k in range(len(w) - 2)]
