@@ -98,11 +98,14 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 
 @query(_CONVERSATIONS)
 def op9_chat_formatting(spark: SparkSession, table) -> DataFrame:
-    """Digests are read back from the formatted text."""
+    """Prompts, responses and other turns come as records of three layouts; digests are read back from the formatted text."""
     added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise(
         "assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     rows = table("conversations").select("conv_id", "turn", "role", "text").unionByName(added)
-    records = rows.select("conv_id", "turn", F.to_variant_object(F.struct("turn", "role", "text")).alias("record"))
+    record = F.when(F.col("role") == "user", F.to_variant_object(F.struct("turn", F.col("text").alias("prompt")))).when(
+        F.col("role") == chat.ASSISTANT, F.to_variant_object(F.struct("turn", F.col("text").alias("response")))).otherwise(
+        F.to_variant_object(F.struct("turn", "role", "text")))
+    records = rows.select("conv_id", "turn", record.alias("record"))
     turns = chat.canonical_turns(records).select("conv_id", "turn", F.posexplode("turns").alias("place", "said")).select(
         "conv_id", "turn", "place", "said.role", "said.text")
     out = chat.format_turns(turns, "conv_id", ["turn", "place"]).withColumn("back", chat.read_back(F.col("formatted")))

@@ -212,6 +212,25 @@ def test_chat_layouts(spark):
         assert [chat_undo(r["formatted"][m["begin"]:m["begin"] + m["length"]]) for m in r["loss_mask"]] == [turns[1][1]]
 
 
+def test_chat_odd_rows(spark):
+    """Null roles, texts and keys, equal turns, repeated rows, clashing columns and an empty table."""
+    shape = "key long, turn long, role string, text string, layout string, turns int, parts string, begin long, head string, back string"
+    rows = [(1, 0, None, None), (1, 0, None, None), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"), (None, 0, "user", "x"), (2, 0, "assistant", ""),
+            (3, 0, "user", "same"), (3, 0, "user", "same")]
+    df = spark.createDataFrame([(*r, "l", 1, "p", 2, "h", "b") for r in rows], shape)
+    out = chat.format_turns(df, "key", ["turn"])
+    assert out.columns == ["key", "formatted", "loss_mask"]
+    back = {r["key"]: [tuple(x) for x in r["back"]] for r in out.withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    assert back == {1: [("", ""), ("", ""), ("assistant", ""), ("assistant", "a"), ("assistant", "b")], None: [("user", "x")], 2: [("assistant", "")], 3: [("user", "same")] * 2}
+    masks = {r["key"]: [r["formatted"][m["begin"]:m["begin"] + m["length"]] for m in r["loss_mask"]] for r in out.collect()}
+    assert masks == {1: ["", "a", "b"], None: [], 2: [""], 3: []}
+    assert chat.format_turns(df.limit(0), "key", ["turn"]).collect() == []
+    records = df.withColumn("record", F.to_variant_object(F.struct("turn", F.col("text").alias("prompt"))))
+    got = chat.canonical_turns(records)
+    assert got.columns == [*df.columns[:4], "layout", "turns", *df.columns[6:], "record"] and got.count() == len(rows)
+    assert {r["layout"] for r in got.collect()} == {"prompt_turn"} and chat.canonical_turns(records.limit(0)).collect() == []
+
+
 def chat_undo(text):
     return re.sub(r"\\([\\|])", r"\1", text)
 
