@@ -106,12 +106,13 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
 
 
 def _parted(docs: DataFrame, ident: str, places: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of `docs` without and with a document in `places`, the latter with its `places`. Texts of the former stay where they are."""
-    known = bounded(places.select(F.col("id").alias("__id")))
-    same = docs.join(known, F.col(ident).cast("long") == F.col("__id"), "left_anti")
-    listed = places.select(F.col("id").alias("__id"), F.col("places").alias("__places"))
-    hit = docs.join(known, F.col(ident).cast("long") == F.col("__id"), "left_semi").join(listed, F.col(ident).cast("long") == F.col("__id"))
-    return same, hit
+    """The rows of `docs` without and with a document in `places`, the latter with its places as one more column at the end.
+    Texts of the former stay where they are. Columns are told apart by their table, whatever their names."""
+    known, own = bounded(places.select("id")).alias("k"), docs.alias("d")
+    same = F.col(f"d.`{ident}`").cast("long")
+    hit = own.join(known, same == F.col("k.id"), "left_semi").alias("d").join(places.alias("p"), same == F.col("p.id"))
+    return (own.join(known, same == F.col("k.id"), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns]),
+            hit.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("p.places")))
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", least: int = 25) -> DataFrame:
@@ -124,7 +125,7 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     """
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     same, hit = _parted(rows, "id", repeated_spans(docs, ident, text, least))
-    cut = hit.filter("text is not null").select("id", "text", "__places").mapInArrow(_cut, "id long, text string, n_removed int, removed_words int")
+    cut = hit.filter("text is not null").select("id", "text", "places").mapInArrow(_cut, "id long, text string, n_removed int, removed_words int")
     none = [F.lit(0).alias("n_removed"), F.lit(0).alias("removed_words")]
     return same.select("id", "text", *none).unionByName(hit.filter("text is null").select("id", "text", *none)).unionByName(cut).withColumnRenamed("id", ident)
 
@@ -148,5 +149,5 @@ def cut_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", leas
             new = pc.if_else(pc.is_null(data), pa.scalar(None, data.type), texts)
             columns = [new if k == at else batch.column(k) for k in range(len(fields))]
             yield pa.RecordBatch.from_arrays(columns, fields.names).filter(pa.array(left, pa.bool_()))
-    cut = hit.select(*[F.col(c) for c in docs.columns], "__places").mapInArrow(run, fields)
+    cut = hit.toDF(*[f"c{k}" for k in range(len(fields) + 1)]).mapInArrow(run, fields)
     return same.unionByName(cut)

@@ -323,6 +323,65 @@ def test_dictionaries_hold_slices_from_anywhere(spark):
     assert learnt["en"].count(b"body") > 3 * learnt["en"].count(b"header") > 0
 
 
+def test_spans_keep_clashing_columns(spark):
+    """Columns named like the operator's own stay; ties of equal documents go to the smallest id; a very long text is cut whole."""
+    line = " ".join(f"shared{k}" for k in range(30)) + "."
+    long = " ".join(f"w{k}{'.' if k % 9 == 0 else ''}" for k in range(200_000))
+    rows = [(1, f"Own one. {line} Own two.", 7, 8, 9), (2, f"Own three. {line} Own four.", 7, 8, 9), (3, f"{long}. {line}", 7, 8, 9), (4, None, 7, 8, 9), (5, "", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __id long, places long, id long")
+    got = {r["doc_id"]: r for r in spans.cut_repeats(docs).collect()}
+    assert all(tuple(r)[2:] == (7, 8, 9) for r in got.values()) and set(got) == {1, 2, 3, 4, 5}
+    assert line in got[1]["text"] and got[2]["text"].split() == "Own three. Own four.".split() and got[3]["text"].split() == f"{long}.".split()
+    assert (got[4]["text"], got[5]["text"]) == (None, "") and spans.cut_repeats(docs.limit(0)).collect() == []
+
+
+def odd_texts(spark, ids="doc_id"):
+    """Null and repeated ids, null and empty texts, ties and columns that clash with the operators' own."""
+    words = PROSE.split()
+    rows = [(k, " ".join(words[k % 7:k % 7 + 9]), "en" if k % 2 else "de") for k in range(40)] + [(3, "twice", "en"), (3, "twice", "en"), (None, PROSE, "en"), (41, None, "de"), (42, "", None)]
+    return spark.createDataFrame([(i, t, g, 1, 2, "x", 0.5, 3) for i, t, g in rows], f"{ids} long, text string, lang string, id long, label int, score string, margin double, n long")
+
+
+def test_language_of_odd_rows(spark):
+    docs = odd_texts(spark)
+    out = langid.predict(docs, langid.learn_dictionaries(docs))
+    rows = out.collect()
+    assert len(rows) == docs.count() and {r["lang_pred"] for r in rows if r["doc_id"] in (41, 42)} == {"und"}
+    assert langid.predict(docs.limit(0), {}).collect() == [] and langid.learn_dictionaries(docs.limit(0)) == {}
+    assert {r["lang_pred"] for r in langid.predict(docs, {}).collect()} == {"und"}
+    same = {"b": b"the quick brown fox", "a": b"the quick brown fox"}
+    assert {r["lang_pred"] for r in langid.predict(docs.filter("text = 'twice'"), same).collect()} == {"a"}  # a tie goes to the first name
+
+
+def test_classifier_of_odd_rows(spark):
+    """Conflicting labels count as 0, whatever their order; one class or none scores one half."""
+    docs = odd_texts(spark)
+    labels = [(k, k % 2) for k in range(0, 40)] + [(3, 0), (None, 1), (99, 1), (5, None)]
+    marks = lambda rows: spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, quality int, id int")
+    scores = [sorted((str(r["doc_id"]), r["score"], r["predicted"]) for r in nbsvm.score(docs, nbsvm.fit(docs, marks(rows))).collect()) for rows in (labels, labels[::-1])]
+    assert scores[0] == scores[1] and len(scores[0]) == docs.count() and all(0 <= s <= 1 for _, s, _ in scores[0])
+    for rows in ([(1, 1)], []):
+        assert {(r["score"], r["predicted"]) for r in nbsvm.score(docs, nbsvm.fit(docs, marks(rows))).collect()} == {(0.5, 1)}
+    assert nbsvm.score(docs.limit(0), nbsvm.fit(docs.limit(0), marks([]))).collect() == []
+
+
+def test_packing_and_bytes_of_odd_rows(spark):
+    """Null and repeated ids are rows of their own; every row's ids are packed once; an empty table gives nothing."""
+    from public_tokenizers import PATTERN
+    docs = odd_texts(spark)
+    path = tokenizer_path("word_bpe_49k.json")
+    out = packing.pack(docs, path, with_ids=False).collect()
+    by_doc = collections.Counter(r["doc_id"] for r in out if r["start"] == 0)
+    assert by_doc == collections.Counter(r["doc_id"] for r in docs.collect())
+    assert packing.pack(docs.limit(0), path, with_ids=False).collect() == []
+    bpe = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    got = bytebpe.digest_round_trip(docs, bpe, PATTERN).collect()
+    assert collections.Counter((r["doc_id"], r["decoded_sha256"]) for r in got) == collections.Counter(
+        (r["doc_id"], hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in docs.collect())
+    assert bytebpe.digest_round_trip(docs.limit(0), bpe, PATTERN).collect() == []
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_html_deep_nesting():
     assert html.blocks("<div class=ad>" * 20_000 + PARA) == [(html.OPEN, MAIN)]
 
